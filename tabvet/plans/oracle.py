@@ -171,3 +171,41 @@ ORACLE: dict[str, str] = {
     "f8_correlation_score": CORRELATION_SCORE,
     "f9_diversity_score": DIVERSITY,
 }
+
+
+# ---- profile (P) and sizing (N) ---------------------------------------------
+
+from tabvet.plans import oracle_profile as op  # noqa: E402
+
+ORACLE.update({
+    "p1_dataset_summary_orders": op.dataset_summary_sql("orders"),
+    "p1_dataset_summary_lineitem": op.dataset_summary_sql("lineitem"),
+    "p2_missing_profile_orders": op.missing_profile_sql("orders"),
+    "p4_unique_counts_lineitem": op.unique_counts_sql("lineitem"),
+    "p5_column_kinds_lineitem": op.column_kinds_sql("lineitem"),
+    "p5_column_kinds_orders": op.column_kinds_sql("orders"),
+    "p6_semantic_types_orders": op.semantic_types_sql("orders"),
+    "p6_semantic_types_customer": op.semantic_types_sql("customer"),
+    "p6_semantic_types_lineitem": op.semantic_types_sql("lineitem"),
+    "p6_semantic_types_documents": op.semantic_types_sql("documents"),
+    "p6_semantic_types_events": op.semantic_types_sql("events"),
+    "p6_semantic_types_labeled_docs": op.semantic_types_sql("labeled_docs", target="quality"),
+    "p7_numeric_stats_lineitem": op.numeric_stats_sql(
+        "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]),
+    "p8_top_categories_orders": op.top_categories_sql("orders", ["o_orderstatus", "o_orderdate", "o_orderpriority"]),
+    "p9_correlations_lineitem": op.correlations_sql(
+        "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]),
+    "p10_class_distribution_labels": op.class_distribution_sql("labels", "quality"),
+    "p11_low_cardinality_lineitem": op.low_cardinality_sql("lineitem"),
+    "p13_infer_task_labeled_docs": op.infer_task_sql("labeled_docs", "quality"),
+    "p13_infer_task_lineitem": op.infer_task_sql("lineitem", "l_extendedprice"),
+    "p14_detect_issues_orders": op.detect_issues_sql("orders"),
+    "p14_detect_issues_labeled_docs": op.detect_issues_sql("labeled_docs", "quality"),
+    "p14_detect_issues_supplier": op.detect_issues_sql("supplier"),
+    "p15_sdtypes_orders": op.sdtypes_sql("orders"),
+    "p15_sdtypes_customer": op.sdtypes_sql("customer"),
+    "p15_sdtypes_labeled_docs": op.sdtypes_sql("labeled_docs"),
+    "n1_plan_labeled_docs": op.plan_sql_minority("labeled_docs", "quality"),
+    "n1_plan_labeled_docs_by_lang": op.plan_sql_minority("labeled_docs", "quality", by="lang"),
+    "n2_plan_supplier": op.plan_sql_small("supplier"),
+})

@@ -33,3 +33,60 @@ QUERIES: dict[str, Query] = {
     "f8_correlation_score": _pair(fid.correlation_score),
     "f9_diversity_score": _pair(fid.diversity_score),
 }
+
+
+# ---- profile (P) and sizing (N) ---------------------------------------------
+
+from tabvet.operators import profile as prof  # noqa: E402
+from tabvet.operators import sizing  # noqa: E402
+from tabvet.plans.fixtures import documents_labeled  # noqa: E402
+from tabvet.sources.io import load_table  # noqa: E402
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "labeled_docs":
+        return documents_labeled(spark, sf_dir)
+    return load_table(spark, sf_dir, name)
+
+
+def _on(name: str, fn, **kw):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(table(spark, sf_dir, name), **kw)
+    run.__doc__ = fn.__doc__
+    return run
+
+
+LINEITEM_NUMERICAL = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+ORDERS_CATEGORICAL = ["o_orderstatus", "o_orderdate", "o_orderpriority"]
+
+QUERIES.update({
+    "p1_dataset_summary_orders": _on("orders", prof.dataset_summary),
+    "p1_dataset_summary_lineitem": _on("lineitem", prof.dataset_summary),
+    "p2_missing_profile_orders": _on("orders", prof.missing_profile),
+    "p4_unique_counts_lineitem": _on("lineitem", prof.unique_counts),
+    "p5_column_kinds_lineitem": _on("lineitem", prof.column_kinds),
+    "p5_column_kinds_orders": _on("orders", prof.column_kinds),
+    "p6_semantic_types_orders": _on("orders", prof.semantic_types),
+    "p6_semantic_types_customer": _on("customer", prof.semantic_types),
+    "p6_semantic_types_lineitem": _on("lineitem", prof.semantic_types),
+    "p6_semantic_types_documents": _on("documents", prof.semantic_types),
+    "p6_semantic_types_events": _on("events", prof.semantic_types),
+    "p6_semantic_types_labeled_docs": _on("labeled_docs", prof.semantic_types, target="quality"),
+    "p7_numeric_stats_lineitem": _on("lineitem", prof.numeric_stats),
+    "p8_top_categories_orders": _on("orders", prof.top_categories),
+    "p9_correlations_lineitem": _on("lineitem", prof.correlations),
+    "p10_class_distribution_labels": _on("labels", prof.class_distribution, target="quality"),
+    "p11_low_cardinality_lineitem": _on("lineitem", prof.low_cardinality_columns),
+    "p13_infer_task_labeled_docs": _on("labeled_docs", prof.infer_task, target="quality"),
+    "p13_infer_task_lineitem": _on("lineitem", prof.infer_task, target="l_extendedprice"),
+    "p14_detect_issues_orders": _on("orders", prof.detect_issues),
+    "p14_detect_issues_labeled_docs": _on("labeled_docs", prof.detect_issues, target="quality"),
+    "p14_detect_issues_supplier": _on("supplier", prof.detect_issues),
+    "p15_sdtypes_orders": _on("orders", prof.sdtype_classify),
+    "p15_sdtypes_customer": _on("customer", prof.sdtype_classify),
+    "p15_sdtypes_labeled_docs": _on("labeled_docs", prof.sdtype_classify),
+    "n1_plan_labeled_docs": _on("labeled_docs", sizing.augmentation_plan, target="quality"),
+    "n1_plan_labeled_docs_by_lang": _on("labeled_docs", sizing.augmentation_plan, target="quality", by="lang"),
+    "n2_plan_supplier": _on("supplier", sizing.augmentation_plan),
+    "n4_plan_supplier_ratio": _on("supplier", sizing.augmentation_plan, ratio=0.3),
+})
