@@ -34,3 +34,11 @@ def documents_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = load_table(spark, sf_dir, "labels")
     return labels.join(docs, "doc_id")
+
+
+def lineitem_full_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lineitem columns, split into the same two md5-parity halves."""
+    li = load_table(spark, sf_dir, "lineitem")
+    half = hash52(F.col("l_orderkey").cast("string")) % 2
+    base = li.withColumn("_half", half)
+    return base.where(F.col("_half") == 0).drop("_half"), base.where(F.col("_half") == 1).drop("_half")

@@ -209,3 +209,9 @@ ORACLE.update({
     "n1_plan_labeled_docs_by_lang": op.plan_sql_minority("labeled_docs", "quality", by="lang"),
     "n2_plan_supplier": op.plan_sql_small("supplier"),
 })
+
+ORACLE.update({
+    "c1_discover_constraints": op.constraints_discover_sql("lineitem_real"),
+    "c2_constraint_violations": op.constraint_violations_sql("lineitem_real", "lineitem_syn"),
+    "c3_validity_score": op.validity_sql("lineitem_real", "lineitem_syn"),
+})

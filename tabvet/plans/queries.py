@@ -90,3 +90,38 @@ QUERIES.update({
     "n2_plan_supplier": _on("supplier", sizing.augmentation_plan),
     "n4_plan_supplier_ratio": _on("supplier", sizing.augmentation_plan, ratio=0.3),
 })
+
+
+# ---- constraints (C) --------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tabvet.operators import constraints as cons  # noqa: E402
+from tabvet.plans.fixtures import lineitem_full_halves  # noqa: E402
+
+
+def _rules_text(rules: DataFrame) -> DataFrame:
+    return rules.select("column_name", "kind", "num_value", "ts_value",
+                        F.array_join("str_values", "|").alias("values_text"))
+
+
+def q_constraints_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = lineitem_full_halves(spark, sf_dir)
+    return _rules_text(cons.discover_constraints(real))
+
+
+def q_constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, syn = lineitem_full_halves(spark, sf_dir)
+    return cons.constraint_violations(syn, cons.discover_constraints(real))
+
+
+def q_validity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, syn = lineitem_full_halves(spark, sf_dir)
+    return cons.validity_score(syn, cons.discover_constraints(real))
+
+
+QUERIES.update({
+    "c1_discover_constraints": q_constraints_discover,
+    "c2_constraint_violations": q_constraint_violations,
+    "c3_validity_score": q_validity_score,
+})
