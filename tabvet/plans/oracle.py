@@ -215,3 +215,113 @@ ORACLE.update({
     "c2_constraint_violations": op.constraint_violations_sql("lineitem_real", "lineitem_syn"),
     "c3_validity_score": op.validity_sql("lineitem_real", "lineitem_syn"),
 })
+
+
+# ---- dependency (D1-D8) -----------------------------------------------------
+
+def _sim(diffs: str, name: str) -> str:
+    return (f"SELECT CASE WHEN count(*) > 0 THEN round(least(greatest(1.0 - avg(d), 0.0), 1.0), 6) + 0.0 END AS {name}, "
+            f"CAST(count(*) AS BIGINT) AS n_pairs FROM ({diffs})")
+
+
+PEARSON_SIM = f"""WITH {PAIR},
+r AS ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 0')}), s AS ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 1')}),
+rr AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM r),
+ss AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM s)
+{_sim('SELECT abs(rr.rho - ss.rho) AS d FROM rr JOIN ss USING (a, b)', 'pearson_similarity')}"""
+
+_RANKS = "ranked AS (SELECT src, " + ", ".join(
+    f"rank() OVER (PARTITION BY src ORDER BY {c}) + (count(*) OVER (PARTITION BY src, {c}) - 1) / 2.0 AS {c}"
+    for c in NUM_COLS) + " FROM li)"
+
+SPEARMAN_PAIRS = f"""WITH {PAIR}, {_RANKS},
+r AS ({_pearson_pairs('ranked', NUM_COLS, 'WHERE src = 0')})
+SELECT a, b, round(CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END, 6) AS rho FROM r"""
+
+SPEARMAN_SIM = f"""WITH {PAIR}, {_RANKS},
+r AS ({_pearson_pairs('ranked', NUM_COLS, 'WHERE src = 0')}), s AS ({_pearson_pairs('ranked', NUM_COLS, 'WHERE src = 1')}),
+rr AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM r),
+ss AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM s)
+{_sim('SELECT abs(rr.rho - ss.rho) AS d FROM rr JOIN ss USING (a, b)', 'spearman_similarity')}"""
+
+
+def _cramers(where: str) -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, coalesce(CAST({a} AS VARCHAR), 'nan') AS va, "
+        f"coalesce(CAST({b} AS VARCHAR), 'nan') AS vb, count(*) AS n FROM li WHERE {where} GROUP BY 3, 4"
+        for i, a in enumerate(CAT_COLS) for b in CAT_COLS[i + 1:])
+    return f"""(SELECT a, b, CASE WHEN r < 2 OR c < 2 THEN 0.0 ELSE sqrt(greatest(s - 1, 0.0) / (least(r, c) - 1)) END AS v
+  FROM (SELECT cl.a, cl.b, sum(cl.n * cl.n / (R.R * C.C)) AS s, count(DISTINCT cl.va) AS r, count(DISTINCT cl.vb) AS c
+        FROM ({cells}) cl
+        JOIN (SELECT a, b, va, sum(n) AS R FROM ({cells}) GROUP BY a, b, va) R USING (a, b, va)
+        JOIN (SELECT a, b, vb, sum(n) AS C FROM ({cells}) GROUP BY a, b, vb) C USING (a, b, vb)
+        GROUP BY cl.a, cl.b))"""
+
+
+CRAMERS = f"WITH {PAIR} SELECT a, b, round({'v'}, 6) + 0.0 AS cramers_v FROM {_cramers('src = 0')}"
+CAT_DEP_SIM = f"""WITH {PAIR}, vr AS {_cramers('src = 0')}, vs AS {_cramers('src = 1')}
+{_sim('SELECT abs(round(vr.v, 6) - round(vs.v, 6)) AS d FROM vr JOIN vs USING (a, b)', 'categorical_dependency_similarity')}"""
+
+
+def _eta(where: str) -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{n}' AS num, '{c}' AS cat, coalesce(CAST({c} AS VARCHAR), 'nan') AS g, CAST({n} AS DOUBLE) AS x "
+        f"FROM li WHERE {where} AND {n} IS NOT NULL" for n in NUM_COLS for c in CAT_COLS)
+    return f"""(SELECT num, cat, CASE WHEN levels < 2 OR n * vp <= 0 THEN 0.0 ELSE sqrt(ssb / (n * vp)) END AS eta
+  FROM (SELECT g.num, g.cat, sum(g.ng * (g.mg - t.m) * (g.mg - t.m)) AS ssb, count(*) AS levels, max(t.n) AS n, max(t.vp) AS vp
+        FROM (SELECT num, cat, g, count(*) AS ng, avg(x) AS mg FROM ({long}) GROUP BY 1, 2, 3) g
+        JOIN (SELECT num, cat, count(*) AS n, avg(x) AS m, var_pop(x) AS vp FROM ({long}) GROUP BY 1, 2) t USING (num, cat)
+        GROUP BY g.num, g.cat))"""
+
+
+ETA = f"WITH {PAIR} SELECT num, cat, round(eta, 6) + 0.0 AS eta FROM {_eta('src = 0')}"
+MIXED_SIM = f"""WITH {PAIR}, er AS {_eta('src = 0')}, es AS {_eta('src = 1')}
+{_sim('SELECT abs(round(er.eta, 6) - round(es.eta, 6)) AS d FROM er JOIN es USING (num, cat)', 'mixed_dependency_similarity')}"""
+
+
+def _strip_with(sql: str) -> str:
+    body = sql.split("\n", 1)[1] if sql.startswith("WITH") else sql
+    return body
+
+
+DEPENDENCY = f"""WITH {PAIR},
+r AS ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 0')}), s AS ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 1')}),
+rr AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM r),
+ss AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM s),
+{_RANKS},
+r2 AS ({_pearson_pairs('ranked', NUM_COLS, 'WHERE src = 0')}), s2 AS ({_pearson_pairs('ranked', NUM_COLS, 'WHERE src = 1')}),
+rr2 AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM r2),
+ss2 AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM s2),
+vr AS {_cramers('src = 0')}, vs AS {_cramers('src = 1')}, er AS {_eta('src = 0')}, es AS {_eta('src = 1')},
+parts AS (
+  SELECT 'pearson_similarity' AS part, round(least(greatest(1.0 - avg(abs(rr.rho - ss.rho)), 0.0), 1.0), 6) + 0.0 AS value FROM rr JOIN ss USING (a, b)
+  UNION ALL SELECT 'spearman_similarity', round(least(greatest(1.0 - avg(abs(rr2.rho - ss2.rho)), 0.0), 1.0), 6) + 0.0 FROM rr2 JOIN ss2 USING (a, b)
+  UNION ALL SELECT 'categorical_dependency_similarity', round(least(greatest(1.0 - avg(abs(round(vr.v, 6) - round(vs.v, 6))), 0.0), 1.0), 6) + 0.0 FROM vr JOIN vs USING (a, b)
+  UNION ALL SELECT 'mixed_dependency_similarity', round(least(greatest(1.0 - avg(abs(round(er.eta, 6) - round(es.eta, 6))), 0.0), 1.0), 6) + 0.0 FROM er JOIN es USING (num, cat))
+SELECT part, value, 'computed' AS status FROM parts
+UNION ALL SELECT 'overall_dependency_score', round(avg(value), 6) + 0.0, 'computed' FROM parts"""
+
+_ROWKEY = "concat_ws(chr(31), " + ", ".join(
+    [f"coalesce(CAST(CAST(round(CAST({c} AS DOUBLE) * 1000000.0) AS BIGINT) AS VARCHAR), 'nan')"
+     for c in ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax"]]
+    + ["coalesce(CAST(l_linenumber AS VARCHAR), 'nan')", "coalesce(l_returnflag, 'nan')", "coalesce(l_linestatus, 'nan')"]) + ")"
+
+BALANCED = f"""WITH {PAIR},
+k AS (SELECT least(500, (SELECT count(*) FROM li WHERE src = 0), (SELECT count(*) FROM li WHERE src = 1)) AS k),
+u AS (SELECT *, ('0x' || substr(md5('42:sample:' || {_ROWKEY}), 1, 13))::BIGINT AS h FROM li),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, l_quantity, l_extendedprice, net_price, l_discount, l_tax,
+                                   l_linenumber, l_returnflag, l_linestatus) AS rn FROM u)
+SELECT l_quantity, l_extendedprice, net_price, l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus, src
+FROM r WHERE rn <= (SELECT k FROM k)"""
+
+ORACLE.update({
+    "d1_pearson_similarity": PEARSON_SIM,
+    "d2_spearman_pairs": SPEARMAN_PAIRS,
+    "d2_spearman_similarity": SPEARMAN_SIM,
+    "d3_cramers_v": CRAMERS,
+    "d4_categorical_dependency_similarity": CAT_DEP_SIM,
+    "d5_correlation_ratio": ETA,
+    "d6_mixed_dependency_similarity": MIXED_SIM,
+    "d7_dependency_similarity": DEPENDENCY,
+    "d8_balanced_samples": BALANCED,
+})

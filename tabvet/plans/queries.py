@@ -125,3 +125,44 @@ QUERIES.update({
     "c2_constraint_violations": q_constraint_violations,
     "c3_validity_score": q_validity_score,
 })
+
+
+# ---- dependency (D1-D8) -----------------------------------------------------
+
+from tabvet.operators import dependency as dep  # noqa: E402
+
+
+def q_cramers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = lineitem_halves(spark, sf_dir)
+    return dep.cramers_v(real, ["l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"])
+
+
+def q_correlation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = lineitem_halves(spark, sf_dir)
+    return dep.correlation_ratio(real, ["l_quantity", "l_extendedprice", "net_price"],
+                                 ["l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"])
+
+
+def q_spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = lineitem_halves(spark, sf_dir)
+    return dep.spearman_pairs(real, ["l_quantity", "l_extendedprice", "net_price"]).select(
+        "a", "b", F.round("rho", 6).alias("rho"))
+
+
+def q_balanced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, syn = lineitem_halves(spark, sf_dir)
+    r, s = dep.balanced_samples(real, syn, cap=500, seed=42)
+    return r.withColumn("src", F.lit(0)).unionByName(s.withColumn("src", F.lit(1)))
+
+
+QUERIES.update({
+    "d1_pearson_similarity": _pair(dep.pearson_similarity),
+    "d2_spearman_pairs": q_spearman_pairs,
+    "d2_spearman_similarity": _pair(dep.spearman_similarity),
+    "d3_cramers_v": q_cramers_v,
+    "d4_categorical_dependency_similarity": _pair(dep.categorical_dependency_similarity),
+    "d5_correlation_ratio": q_correlation_ratio,
+    "d6_mixed_dependency_similarity": _pair(dep.mixed_dependency_similarity),
+    "d7_dependency_similarity": _pair(dep.dependency_similarity),
+    "d8_balanced_samples": q_balanced_samples,
+})
