@@ -42,3 +42,27 @@ def lineitem_full_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
     half = hash52(F.col("l_orderkey").cast("string")) % 2
     base = li.withColumn("_half", half)
     return base.where(F.col("_half") == 0).drop("_half"), base.where(F.col("_half") == 1).drop("_half")
+
+
+def lineitem_thirds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pair columns split into thirds by md5 of l_orderkey: train, holdout, synthetic."""
+    li = load_table(spark, sf_dir, "lineitem")
+    third = hash52(F.col("l_orderkey").cast("string")) % 3
+    base = li.select(
+        "l_quantity", "l_extendedprice",
+        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("net_price"),
+        "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus", third.alias("_t"))
+    return tuple(base.where(F.col("_t") == i).drop("_t") for i in range(3))
+
+
+def labeled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labeled documents with a rule prediction (long documents predicted as quality 1)."""
+    return documents_labeled(spark, sf_dir).withColumn(
+        "predicted", (F.col("n_chars") >= 2000).cast("int"))
+
+
+def priced_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with a list-price estimate quantity x retail price from ``part``."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    return li.join(part, "l_partkey").withColumn("estimate", F.col("l_quantity") * F.col("p_retailprice"))

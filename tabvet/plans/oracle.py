@@ -325,3 +325,252 @@ ORACLE.update({
     "d7_dependency_similarity": DEPENDENCY,
     "d8_balanced_samples": BALANCED,
 })
+
+
+# ---- privacy (V) ------------------------------------------------------------
+
+_ALL = ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
+_COLS = ", ".join(_ALL)
+
+
+def _md5u(seed_tag: str, key: str) -> str:
+    return f"('0x' || substr(md5('{seed_tag}:' || {key}), 1, 13))::BIGINT"
+
+
+def _micro(c: str) -> str:
+    return f"coalesce(CAST(CAST(round(CAST({c} AS DOUBLE) * 1000000.0) AS BIGINT) AS VARCHAR), 'nan')"
+
+
+def _vc(c: str) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), 'nan')"
+
+
+EXACT_MATCH = f"""WITH {PAIR},
+r AS (SELECT DISTINCT {_COLS} FROM li WHERE src = 0),
+s AS (SELECT {_COLS}, count(*) AS m FROM li WHERE src = 1 GROUP BY {_COLS}),
+hit AS (SELECT coalesce(sum(m), 0) AS matched FROM s WHERE EXISTS (
+          SELECT 1 FROM r WHERE {' AND '.join(f'r.{c} IS NOT DISTINCT FROM s.{c}' for c in _ALL)})),
+tot AS (SELECT count(*) AS n FROM li WHERE src = 1)
+SELECT round(CASE WHEN n > 0 THEN matched / n ELSE 0.0 END, 6) + 0.0 AS exact_duplicate_rate,
+       CAST(matched AS BIGINT) AS matched_rows, CAST(n AS BIGINT) AS synthetic_rows FROM hit, tot"""
+
+_NUMS = NUM_COLS
+_CATS = CAT_COLS
+_REAL_KEY = "concat_ws(chr(31), " + ", ".join([_micro(c) for c in _NUMS] + [_vc(c) for c in _CATS]) + ")"
+_SYN_KEY = "concat_ws(chr(31), " + ", ".join([_micro(c) for c in _NUMS + ["l_discount", "l_tax"]]
+                                              + [_vc(c) for c in ["l_linenumber", "l_returnflag", "l_linestatus"]]) + ")"
+_GOWER = "(" + " + ".join(
+    [f"CASE WHEN s.{c} IS NOT NULL AND o.{c} IS NOT NULL THEN abs(s.{c} - o.{c}) / sp.{c} ELSE 0.0 END" for c in _NUMS]
+    + [f"CASE WHEN coalesce(CAST(s.{c} AS VARCHAR), 'None') = coalesce(CAST(o.{c} AS VARCHAR), 'None') THEN 0.0 ELSE 1.0 END"
+       for c in _CATS]) + ") / (" + " + ".join(
+    [f"CASE WHEN s.{c} IS NOT NULL AND o.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in _NUMS] + [str(len(_CATS))]) + ")"
+
+NEAR_CTE = f"""real AS (SELECT {_COLS} FROM li WHERE src = 0), syn AS (SELECT {_COLS} FROM li WHERE src = 1),
+sp AS (SELECT {', '.join(f"coalesce(nullif(max({c}) - min({c}), 0), 1.0) AS {c}" for c in _NUMS)} FROM real),
+rs AS (SELECT * FROM (SELECT *, {_md5u('42:near_real', _REAL_KEY)} AS h FROM real)
+       ORDER BY h, {', '.join(_NUMS)}, {', '.join(f'CAST({c} AS VARCHAR)' for c in _CATS)} LIMIT 200),
+np AS (SELECT least(80, (SELECT count(*) FROM syn), (SELECT count(*) FROM real)) AS k),
+ss AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY h, {_COLS}) AS id FROM
+         (SELECT *, {_md5u('42:near_syn', _SYN_KEY)} AS h FROM syn)) WHERE id <= (SELECT k FROM np)),
+best AS (SELECT s.id, min({_GOWER}) AS d FROM ss s, rs o, sp GROUP BY s.id),
+near AS (SELECT round(CASE WHEN count(*) > 0 THEN avg(CASE WHEN d < 0.05 THEN 1.0 ELSE 0.0 END) ELSE 0.0 END, 6) + 0.0
+                  AS high_similarity_rate,
+                CAST(count(*) FILTER (WHERE d < 0.05) AS BIGINT) AS close_rows, CAST(count(*) AS BIGINT) AS probed_rows
+         FROM best)"""
+
+NEAR_MATCH = f"WITH {PAIR}, {NEAR_CTE} SELECT * FROM near"
+
+PRIVACY_SCORE = f"""WITH {PAIR}, {NEAR_CTE},
+dup AS ({EXACT_MATCH.split(chr(10), 1)[1].replace('WITH ', '', 0)})
+SELECT 1 AS x"""
+
+PRIVACY_SCORE = f"""WITH {PAIR}, {NEAR_CTE},
+r0 AS (SELECT DISTINCT {_COLS} FROM li WHERE src = 0),
+s0 AS (SELECT {_COLS}, count(*) AS m FROM li WHERE src = 1 GROUP BY {_COLS}),
+hit AS (SELECT coalesce(sum(m), 0) AS matched FROM s0 WHERE EXISTS (
+          SELECT 1 FROM r0 WHERE {' AND '.join(f'r0.{c} IS NOT DISTINCT FROM s0.{c}' for c in _ALL)})),
+dup AS (SELECT round(matched / (SELECT count(*) FROM li WHERE src = 1), 6) + 0.0 AS exact_duplicate_rate FROM hit)
+SELECT round(least(greatest(1.0 - 0.7 * exact_duplicate_rate - 0.3 * high_similarity_rate, 0.0), 1.0), 6) + 0.0 AS privacy_score,
+       exact_duplicate_rate, high_similarity_rate,
+       round(exact_duplicate_rate + 0.5 * high_similarity_rate, 6) + 0.0 AS membership_risk_indicator,
+       CASE WHEN exact_duplicate_rate + 0.5 * high_similarity_rate >= 0.20 THEN 'HIGH'
+            WHEN exact_duplicate_rate + 0.5 * high_similarity_rate >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS privacy_risk_level
+FROM dup, near"""
+
+THIRDS = """
+li3 AS (
+  SELECT l_quantity, l_extendedprice, l_extendedprice * (1.0 - l_discount) AS net_price,
+         l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus,
+         (('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 13))::BIGINT % 3)::INTEGER AS t
+  FROM lineitem)"""
+_DP_NUM = ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax", "l_linenumber"]
+_DP_CAT = ["l_returnflag", "l_linestatus"]
+_DP_KEY = "concat_ws(chr(31), " + ", ".join([_micro(c) for c in _DP_NUM] + [_vc(c) for c in _DP_CAT]) + ")"
+
+
+def _dp_sample(t: int, tag: str) -> str:
+    return (f"(SELECT * FROM (SELECT {_COLS}, {_md5u('42:' + tag, _DP_KEY)} AS h FROM li3 WHERE t = {t}) "
+            f"ORDER BY h, {', '.join(_DP_NUM)}, {', '.join(_DP_CAT)} LIMIT 128)")
+
+
+_DP_DIST = "(" + " + ".join(
+    [f"(CASE WHEN a.{c} IS NULL AND b.{c} IS NULL THEN 0.0 WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 1.0 "
+     f"ELSE abs(a.{c} - b.{c}) / sc.{c} END) / 8.0" for c in _DP_NUM]
+    + [f"(CASE WHEN coalesce(a.{c}, 'None') = coalesce(b.{c}, 'None') THEN 0.0 ELSE 1.0 END) / 8.0" for c in _DP_CAT]) + ")"
+
+DISTANCE_PRIVACY = f"""WITH {THIRDS},
+sc AS (SELECT {', '.join(f"CASE WHEN stddev_pop({c}) > 1e-8 THEN stddev_pop({c}) ELSE 1.0 END AS {c}" for c in _DP_NUM)}
+       FROM li3 WHERE t = 0),
+rs AS (SELECT row_number() OVER () AS id, * FROM {_dp_sample(0, 'dp_train')}),
+hs AS (SELECT row_number() OVER () AS id, * FROM {_dp_sample(1, 'dp_holdout')}),
+gs AS (SELECT row_number() OVER () AS id, * FROM {_dp_sample(2, 'dp_syn')}),
+to_train AS (SELECT a.id, min({_DP_DIST}) AS d FROM gs a, rs b, sc GROUP BY a.id),
+to_hold AS (SELECT a.id, min({_DP_DIST}) AS d FROM gs a, hs b, sc GROUP BY a.id),
+mem AS (SELECT 1 AS label, -min({_DP_DIST}) AS score FROM rs a, gs b, sc GROUP BY a.id
+        UNION ALL SELECT 0, -min({_DP_DIST}) FROM hs a, gs b, sc GROUP BY a.id),
+rk AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM mem),
+auc AS (SELECT round((sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+              / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 6) + 0.0 AS distance_attack_auc FROM rk),
+tr AS (SELECT {_COLS}, count(*) AS m FROM li3 WHERE t = 2 GROUP BY {_COLS}),
+r0 AS (SELECT DISTINCT {_COLS} FROM li3 WHERE t = 0),
+ex AS (SELECT round(coalesce(sum(m), 0) / (SELECT count(*) FROM li3 WHERE t = 2), 6) + 0.0 AS exact_training_match_rate
+       FROM tr WHERE EXISTS (SELECT 1 FROM r0 WHERE {' AND '.join(f'r0.{c} IS NOT DISTINCT FROM tr.{c}' for c in _ALL)}))
+SELECT exact_training_match_rate,
+       (SELECT round(avg(CASE WHEN d < 0.01 THEN 1.0 ELSE 0.0 END), 6) + 0.0 FROM to_train) AS near_training_match_rate,
+       (SELECT round(median(d), 6) + 0.0 FROM to_train) AS median_distance_to_train,
+       (SELECT round(median(d), 6) + 0.0 FROM to_hold) AS median_distance_to_holdout,
+       distance_attack_auc,
+       (SELECT CAST(count(*) AS BIGINT) FROM rs) AS train_sample_count,
+       (SELECT CAST(count(*) AS BIGINT) FROM hs) AS holdout_sample_count,
+       CAST(128 AS BIGINT) AS sample_cap
+FROM ex, auc"""
+
+ORACLE.update({
+    "v1_exact_match_rate": EXACT_MATCH,
+    "v2_near_match_rate": NEAR_MATCH,
+    "v3_privacy_score": PRIVACY_SCORE,
+    "v4_distance_privacy": DISTANCE_PRIVACY,
+})
+
+
+# ---- splits and prediction metrics (U) --------------------------------------
+
+LABELED = "(SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
+
+
+def _split_sql(src: str, key: str, stratum: str, test: float, validation: float, seed: int, out_cols: str) -> str:
+    def alloc(name, frame, frac):
+        return f"""
+c_{name} AS (SELECT s, count(*) AS n FROM {frame} GROUP BY s),
+t_{name} AS (SELECT sum(n) AS total, CAST(ceil(CAST({frac} AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS BIGINT) AS take FROM c_{name}),
+e_{name} AS (SELECT s, CAST(n AS DOUBLE) * take / total AS ex, floor(CAST(n AS DOUBLE) * take / total) AS fl FROM c_{name}, t_{name}),
+a_{name} AS (SELECT s, fl + CASE WHEN row_number() OVER (ORDER BY ex - fl DESC, s)
+                  <= (SELECT take FROM t_{name}) - (SELECT sum(fl) FROM e_{name}) THEN 1 ELSE 0 END AS alloc FROM e_{name})"""
+    return f"""WITH k AS (SELECT *, {stratum} AS s, {_md5u(f'{seed}:split_test', key)} AS h1,
+                    {_md5u(f'{seed + 1}:split_validation', key)} AS h2 FROM {src}),
+{alloc('t', 'k', test)},
+r1 AS (SELECT k.*, row_number() OVER (PARTITION BY s ORDER BY h1) - 1 AS rk FROM k),
+m1 AS (SELECT r1.*, rk < alloc AS is_test FROM r1 JOIN a_t USING (s)),
+dev AS (SELECT * FROM m1 WHERE NOT is_test),
+{alloc('v', 'dev', validation)},
+r2 AS (SELECT dev.*, row_number() OVER (PARTITION BY s ORDER BY h2) - 1 AS rk2 FROM dev),
+m2 AS (SELECT r2.*, CASE WHEN rk2 < alloc THEN 'validation' ELSE 'train' END AS split FROM r2 JOIN a_v USING (s))
+SELECT {out_cols}, split FROM m2
+UNION ALL SELECT {out_cols}, 'test' FROM m1 WHERE is_test"""
+
+
+_LAB_KEY = "concat_ws(chr(31), " + ", ".join(_vc(c) for c in ["doc_id", "quality", "toxic", "lang", "source", "n_chars"]) + ")"
+_ORD_KEY = ("concat_ws(chr(31), " + ", ".join([_vc("o_orderkey"), _vc("o_custkey"), _vc("o_orderstatus"),
+                                              _micro("o_totalprice"), "coalesce(CAST(epoch_us(o_orderdate) AS VARCHAR), 'nan')",
+                                              _vc("o_orderpriority")]) + ")")
+_LI_KEY = ("concat_ws(chr(31), " + ", ".join([_vc(c) for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]]
+                                             + [_micro(c) for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]]
+                                             + [_vc("l_returnflag"), _vc("l_linestatus"),
+                                                "coalesce(CAST(epoch_us(l_shipdate) AS VARCHAR), 'nan')"]) + ")")
+
+SPLIT_LABELED = _split_sql(LABELED, _LAB_KEY, "CAST(quality AS VARCHAR)", 0.25, 0.25, 42, "doc_id")
+SPLIT_UNLABELED = _split_sql("orders", _ORD_KEY, "'all'", 0.2, 0.25, 7, "o_orderkey")
+
+TWO_WAY = f"""WITH k AS (SELECT *, CAST(l_returnflag AS VARCHAR) AS s, {_md5u('42:split_test', _LI_KEY)} AS h1 FROM lineitem),
+c_t AS (SELECT s, count(*) AS n FROM k GROUP BY s),
+t_t AS (SELECT sum(n) AS total, CAST(ceil(CAST(0.25 AS DOUBLE) * CAST(sum(n) AS DOUBLE)) AS BIGINT) AS take FROM c_t),
+e_t AS (SELECT s, CAST(n AS DOUBLE) * take / total AS ex, floor(CAST(n AS DOUBLE) * take / total) AS fl FROM c_t, t_t),
+a_t AS (SELECT s, fl + CASE WHEN row_number() OVER (ORDER BY ex - fl DESC, s)
+                  <= (SELECT take FROM t_t) - (SELECT sum(fl) FROM e_t) THEN 1 ELSE 0 END AS alloc FROM e_t),
+r1 AS (SELECT k.*, row_number() OVER (PARTITION BY s ORDER BY h1) - 1 AS rk FROM k)
+SELECT CASE WHEN rk < alloc THEN 'test' ELSE 'train' END AS split, l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n
+FROM r1 JOIN a_t USING (s) GROUP BY 1, 2, 3"""
+
+PRED = f"(SELECT *, CAST(n_chars >= 2000 AS INTEGER) AS predicted FROM {LABELED})"
+
+
+def _macro_sql(src: str, y: str, p: str, g: str, x: str = "") -> str:
+    return f"""conf{x} AS (SELECT CAST({g} AS VARCHAR) AS g, CAST({y} AS VARCHAR) AS y, CAST({p} AS VARCHAR) AS p, count(*) AS n
+                FROM {src} GROUP BY 1, 2, 3),
+lbl{x} AS (SELECT DISTINCT g, y AS label FROM conf{x} UNION SELECT DISTINCT g, p FROM conf{x}),
+per{x} AS (SELECT l.g, l.label,
+               coalesce((SELECT sum(n) FROM conf{x} c WHERE c.g = l.g AND c.y = l.label AND c.p = l.label), 0) AS tp,
+               coalesce((SELECT sum(n) FROM conf{x} c WHERE c.g = l.g AND c.y = l.label), 0) AS t,
+               coalesce((SELECT sum(n) FROM conf{x} c WHERE c.g = l.g AND c.p = l.label), 0) AS q FROM lbl{x} l),
+macro{x} AS (SELECT g, avg(CASE WHEN q > 0 THEN tp / q ELSE 0.0 END) AS prec, avg(CASE WHEN t > 0 THEN tp / t ELSE 0.0 END) AS rec,
+                 avg(CASE WHEN t + q > 0 THEN 2 * tp / (t + q) ELSE 0.0 END) AS f1 FROM per{x} GROUP BY g),
+acc{x} AS (SELECT g, sum(n) AS n, sum(CASE WHEN y = p THEN n ELSE 0 END) AS hit FROM conf{x} GROUP BY g)"""
+
+
+def _auc_sql(src: str, label: str, score: str, g: str) -> str:
+    return f"""rk AS (SELECT CAST({g} AS VARCHAR) AS g, {label} AS label,
+                rank() OVER (PARTITION BY {g} ORDER BY CAST({score} AS DOUBLE))
+                + (count(*) OVER (PARTITION BY {g}, {score}) - 1) / 2.0 AS r
+              FROM {src} WHERE {score} IS NOT NULL AND {label} IS NOT NULL),
+auc AS (SELECT g, sum(r) FILTER (WHERE label = 1) AS r1, count(*) FILTER (WHERE label = 1) AS n1,
+               count(*) FILTER (WHERE label <> 1) AS n0 FROM rk GROUP BY g)"""
+
+
+CLASSIFICATION = f"""WITH {_macro_sql(PRED, 'quality', 'predicted', "'all'")}, {_auc_sql(PRED, 'quality', 'n_chars', "'all'")}
+SELECT round(hit / n, 6) + 0.0 AS accuracy, round(prec, 6) + 0.0 AS precision_macro, round(rec, 6) + 0.0 AS recall_macro,
+       round(f1, 6) + 0.0 AS f1_macro, CAST(n AS BIGINT) AS n, round(f1, 6) + 0.0 AS primary_value,
+       'f1_macro' AS primary_metric,
+       round((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) + 0.0 AS roc_auc
+FROM macro JOIN acc USING (g) JOIN auc USING (g)"""
+
+PRICED = ("(SELECT l.l_quantity, l.l_extendedprice, p.p_retailprice, l.l_quantity * p.p_retailprice AS estimate "
+          "FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey)")
+REGRESSION = f"""WITH e AS (SELECT l_extendedprice AS y, l_extendedprice - estimate AS e FROM {PRICED}),
+a AS (SELECT avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, sum(e * e) AS ss_res, var_pop(y) * count(y) AS ss_tot,
+             count(*) AS n FROM e),
+b AS (SELECT *, CASE WHEN ss_tot > 0 THEN 1.0 - ss_res / ss_tot WHEN ss_res = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM a)
+SELECT round(mae, 6) + 0.0 AS mae, round(rmse, 6) + 0.0 AS rmse, round(r2, 6) + 0.0 AS r2, CAST(n AS BIGINT) AS n,
+       round(r2, 6) + 0.0 AS primary_value, 'r2' AS primary_metric FROM b"""
+
+ROC = f"""WITH {_auc_sql(PRED, 'quality', 'n_chars', "'all'")}
+SELECT CASE WHEN n1 > 0 AND n0 > 0 THEN round((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) + 0.0 END AS auc,
+       CAST(n1 AS BIGINT) AS positives, CAST(n0 AS BIGINT) AS negatives FROM auc"""
+ROC_BY = f"""WITH {_auc_sql(PRED, 'quality', 'n_chars', 'lang')}
+SELECT g AS "group", CASE WHEN n1 > 0 AND n0 > 0 THEN round((r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) + 0.0 END AS auc,
+       CAST(n1 AS BIGINT) AS positives, CAST(n0 AS BIGINT) AS negatives FROM auc"""
+
+FAIRNESS = f"""WITH {_macro_sql(PRED, 'quality', 'predicted', 'lang')},
+gap AS (SELECT CASE WHEN count(*) >= 2 THEN max(f1) - min(f1) END AS max_gap FROM macro)
+SELECT g AS "group", CAST(n AS DOUBLE) AS n, round(f1, 6) + 0.0 AS f1, round(prec, 6) + 0.0 AS precision,
+       round(rec, 6) + 0.0 AS recall, round(max_gap, 6) + 0.0 AS max_gap
+FROM macro JOIN acc USING (g), gap"""
+
+PRED_ALT = f"(SELECT *, toxic AS alt FROM {PRED})"
+_m1 = _macro_sql(PRED_ALT, 'quality', 'predicted', 'lang')
+_m2 = _macro_sql(PRED_ALT, "quality", "alt", "lang", "2")
+IMPROVEMENT = f"""WITH {_m1}, {_m2}
+SELECT m.g AS "group", round(m.f1, 6) + 0.0 AS baseline, round(m2.f1, 6) + 0.0 AS augmented,
+       round((round(m2.f1, 6) - round(m.f1, 6)) / CASE WHEN round(m.f1, 6) = 0 THEN 1.0 ELSE abs(round(m.f1, 6)) END, 6) + 0.0 AS improvement
+FROM macro m JOIN macro2 m2 USING (g)"""
+
+ORACLE.update({
+    "u1_three_way_split_labeled": SPLIT_LABELED,
+    "u2_two_way_split_lineitem": TWO_WAY,
+    "u3_three_way_split_unlabeled": SPLIT_UNLABELED,
+    "u5_classification_metrics": CLASSIFICATION,
+    "u6_regression_metrics": REGRESSION,
+    "u9_primary_improvement": IMPROVEMENT,
+    "u12_roc_auc": ROC,
+    "u12_roc_auc_by_lang": ROC_BY,
+    "u13_group_fairness": FAIRNESS,
+})

@@ -166,3 +166,85 @@ QUERIES.update({
     "d7_dependency_similarity": _pair(dep.dependency_similarity),
     "d8_balanced_samples": q_balanced_samples,
 })
+
+
+# ---- privacy (V) ------------------------------------------------------------
+
+from tabvet.operators import evaluation as ev  # noqa: E402
+from tabvet.operators import privacy as priv  # noqa: E402
+from tabvet.operators import splits as spl  # noqa: E402
+from tabvet.plans.fixtures import labeled_predictions, lineitem_thirds, priced_lineitems  # noqa: E402
+
+
+def q_distance_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, holdout, syn = lineitem_thirds(spark, sf_dir)
+    return priv.distance_privacy(train, holdout, syn, cap=128, seed=42)
+
+
+QUERIES.update({
+    "v1_exact_match_rate": _pair(priv.exact_match_rate),
+    "v2_near_match_rate": _pair(priv.near_match_rate),
+    "v3_privacy_score": _pair(priv.privacy_score),
+    "v4_distance_privacy": q_distance_privacy,
+})
+
+
+# ---- splits and prediction metrics (U) --------------------------------------
+
+def q_three_way_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "labeled_docs")
+    return spl.three_way_split(df, "quality", test=0.25, validation=0.25, seed=42).select("doc_id", "split")
+
+
+def q_three_way_unlabeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load_table(spark, sf_dir, "orders")
+    return spl.three_way_split(df, None, test=0.2, validation=0.25, seed=7).select("o_orderkey", "split")
+
+
+def q_two_way_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load_table(spark, sf_dir, "lineitem")
+    s = spl.two_way_split(df, "l_returnflag", test=0.25, seed=42)
+    return s.groupBy("split", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def q_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.classification_metrics(labeled_predictions(spark, sf_dir), "quality", "predicted", score="n_chars")
+
+
+def q_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.regression_metrics(priced_lineitems(spark, sf_dir), "l_extendedprice", "estimate")
+
+
+def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.roc_auc(labeled_predictions(spark, sf_dir), "quality", "n_chars")
+
+
+def q_roc_auc_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.roc_auc(labeled_predictions(spark, sf_dir), "quality", "n_chars", by="lang")
+
+
+def q_fairness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.group_fairness(labeled_predictions(spark, sf_dir), "quality", "predicted", "lang")
+
+
+def q_primary_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U9 over per-language F1: baseline = rule on n_chars, augmented = rule on toxic."""
+    df = labeled_predictions(spark, sf_dir).withColumn("alt", F.col("toxic"))
+    base = ev.group_fairness(df, "quality", "predicted", "lang").select("group", F.col("f1").alias("baseline"))
+    aug = ev.group_fairness(df, "quality", "alt", "lang").select("group", F.col("f1").alias("augmented"))
+    j = base.join(aug, "group")
+    return j.select("group", "baseline", "augmented",
+                    F.round(ev.primary_improvement_col(F.col("baseline"), F.col("augmented")), 6).alias("improvement"))
+
+
+QUERIES.update({
+    "u1_three_way_split_labeled": q_three_way_labeled,
+    "u2_two_way_split_lineitem": q_two_way_lineitem,
+    "u3_three_way_split_unlabeled": q_three_way_unlabeled,
+    "u5_classification_metrics": q_classification,
+    "u6_regression_metrics": q_regression,
+    "u9_primary_improvement": q_primary_improvement,
+    "u12_roc_auc": q_roc_auc,
+    "u12_roc_auc_by_lang": q_roc_auc_by_lang,
+    "u13_group_fairness": q_fairness,
+})
