@@ -574,3 +574,32 @@ ORACLE.update({
     "u12_roc_auc_by_lang": ROC_BY,
     "u13_group_fairness": FAIRNESS,
 })
+
+
+# ---- generation (G) ---------------------------------------------------------
+
+def _bootstrap_sql(where: str, n_expr: str) -> str:
+    return f"""WITH src AS (SELECT * FROM orders WHERE {where}),
+st AS (SELECT stddev_pop(CAST(o_orderkey AS DOUBLE)) AS sd_k, min(o_orderkey) AS mn_k, max(o_orderkey) AS mx_k,
+              stddev_pop(CAST(o_custkey AS DOUBLE)) AS sd_c, min(o_custkey) AS mn_c, max(o_custkey) AS mx_c,
+              stddev_pop(o_totalprice) AS sd_p, min(o_totalprice) AS mn_p, max(o_totalprice) AS mx_p FROM orders),
+m AS (SELECT count(*) AS m FROM src),
+idx AS (SELECT *, row_number() OVER (ORDER BY {_md5u('42:bootstrap_index', _ORD_KEY)}) - 1 AS i FROM src),
+draws AS (SELECT range AS d, CAST(floor({_md5u('42:draw', 'CAST(range AS VARCHAR)')} / 4503599627370496.0 * (SELECT m FROM m)) AS BIGINT) AS i
+          FROM range((SELECT {n_expr}))),
+z AS (SELECT d, i,
+  sqrt(-2 * ln(greatest({_md5u('42:n1:o_orderkey', 'CAST(d AS VARCHAR)')} / 4503599627370496.0, 1e-300))) * cos(2 * pi() * {_md5u('42:n2:o_orderkey', 'CAST(d AS VARCHAR)')} / 4503599627370496.0) AS zk,
+  sqrt(-2 * ln(greatest({_md5u('42:n1:o_custkey', 'CAST(d AS VARCHAR)')} / 4503599627370496.0, 1e-300))) * cos(2 * pi() * {_md5u('42:n2:o_custkey', 'CAST(d AS VARCHAR)')} / 4503599627370496.0) AS zc,
+  sqrt(-2 * ln(greatest({_md5u('42:n1:o_totalprice', 'CAST(d AS VARCHAR)')} / 4503599627370496.0, 1e-300))) * cos(2 * pi() * {_md5u('42:n2:o_totalprice', 'CAST(d AS VARCHAR)')} / 4503599627370496.0) AS zp
+  FROM draws)
+SELECT z.d AS _draw,
+  CAST(round_even(least(greatest(o_orderkey + zk * 0.01 * sd_k, mn_k), mx_k), 0) AS BIGINT) AS o_orderkey,
+  CAST(round_even(least(greatest(o_custkey + zc * 0.01 * sd_c, mn_c), mx_c), 0) AS BIGINT) AS o_custkey,
+  o_orderstatus, least(greatest(o_totalprice + zp * 0.01 * sd_p, mn_p), mx_p) AS o_totalprice, o_orderdate, o_orderpriority
+FROM z JOIN idx USING (i), st"""
+
+
+ORACLE.update({
+    "g1_bootstrap_orders": _bootstrap_sql("TRUE", "(SELECT count(*) FROM orders) // 2"),
+    "g2_bootstrap_orders_where": _bootstrap_sql("CAST(o_orderstatus AS VARCHAR) = 'F'", "(SELECT count(*) FROM orders) // 4"),
+})

@@ -248,3 +248,47 @@ QUERIES.update({
     "u12_roc_auc_by_lang": q_roc_auc_by_lang,
     "u13_group_fairness": q_fairness,
 })
+
+
+# ---- generation (G) ---------------------------------------------------------
+
+from tabvet.operators import generate as gen  # noqa: E402
+
+
+def q_bootstrap_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load_table(spark, sf_dir, "orders")
+    n = orders.count() // 2
+    return gen.bootstrap_sample(orders, n, seed=42)
+
+
+def q_bootstrap_orders_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load_table(spark, sf_dir, "orders")
+    n = orders.count() // 4
+    return gen.bootstrap_sample(orders, n, seed=42, where={"o_orderstatus": "F"})
+
+
+def q_copula_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = lineitem_halves(spark, sf_dir)
+    model = gen.copula_fit(real)
+    return gen.copula_sample(spark, model, real.count(), seed=42)
+
+
+def q_copula_lineitem_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, _ = lineitem_halves(spark, sf_dir)
+    model = gen.copula_fit(real)
+    return gen.copula_sample(spark, model, real.count() // 4, seed=42, where={"l_returnflag": "R"})
+
+
+def q_codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load_table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
+    enc, state = gen.mixed_encode(df)
+    return gen.mixed_decode(enc, state)
+
+
+QUERIES.update({
+    "g1_bootstrap_orders": q_bootstrap_orders,
+    "g2_bootstrap_orders_where": q_bootstrap_orders_where,
+    "g4_copula_sample_lineitem": q_copula_lineitem,
+    "g5_copula_sample_lineitem_where": q_copula_lineitem_where,
+    "g10_codec_round_trip_orders": q_codec_round_trip,
+})
