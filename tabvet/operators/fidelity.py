@@ -124,13 +124,12 @@ def _order_statistics(cdf: DataFrame, side: str, probs: Sequence[float]) -> Data
 
     For each (col, p) the order statistics k = floor(h) and k + 1 with
     h = (n - 1) p are found by a range match against the cumulative counts of
-    that side; the targets table (columns x probabilities) is broadcast.
+    that side; the targets table (columns x probabilities) is broadcast
+    (its size is fixed by the number of columns).
     """
     cnt, cum, tot = ("a", "cum_a", "na") if side == "real" else ("b", "cum_b", "nb")
-    spark = cdf.sparkSession
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "p double")
     sizes = cdf.select("col", F.col(tot).alias("n")).distinct()
-    targets = (sizes.crossJoin(F.broadcast(probs_df))  # columns x 9 rows, both sides tiny
+    targets = (sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("h", (F.col("n") - 1) * F.col("p"))
                .withColumn("k_lo", F.floor("h").cast("bigint"))
                .withColumn("k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))

@@ -136,8 +136,9 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, weights: Sequence
         *df.columns, "_slice",
         *[F.sum(w).over(w_local.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_run_{w}") for w in weights],
         *([F.lead(order).over(w_local).alias("_next_local")] if next_value else []))
-    # offsets has one row per (slice, key): bounded by partitions x keys.
-    joined = local.join(F.broadcast(offsets), ["_slice", *keys])
+    # offsets has one row per (slice, key); with many keys it is not small, so
+    # the join strategy is left to AQE's runtime size check.
+    joined = local.join(offsets, ["_slice", *keys])
     out_cols = [*df.columns, *[(F.col(f"_run_{w}") + F.col(f"_off_{w}")).alias(f"cum_{w}") for w in weights]]
     if next_value:
         out_cols.append(F.coalesce(F.col("_next_local"), F.col("_next_first")).alias(f"next_{order}"))
@@ -159,7 +160,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select("_slice", *keys, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
     local = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*ordcols)))
-    joined = local.join(F.broadcast(offsets), ["_slice", *keys])
+    joined = local.join(offsets, ["_slice", *keys])
     return joined.select(*df.columns, (F.col("_rn") - 1 + F.col("_off")).cast("bigint").alias(name))
 
 
@@ -187,3 +188,67 @@ def expand_counts(df: DataFrame, count_col: str, chunk: int = 4096) -> DataFrame
         F.explode(F.sequence(F.col("_chunk") * chunk,
                              F.least(F.col("_m"), (F.col("_chunk") + 1) * chunk).cast("int") - 1)).alias("_copy")
     ).drop("_copy")
+
+
+def lag_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
+             partitions: int | None = None) -> DataFrame:
+    """Previous row's values (``prev_<c>``) within ``keys`` ordered by ``order``.
+
+    Skew-safe: rows are range-sliced on (keys, order); the first row of each
+    slice takes the last row of the previous non-empty slice of its key from a
+    table of O(slices x keys) rows.
+    """
+    keys = list(keys)
+    sliced = _slices(df, keys, [order], partitions)
+    w = Window.partitionBy("_slice", *keys).orderBy(order)
+    local = sliced.select("*", F.row_number().over(w).alias("_pos"),
+                          *[F.lag(c).over(w).alias(f"_lag_{c}") for c in columns])
+    last = sliced.groupBy("_slice", *keys).agg(*[F.max_by(c, order).alias(f"_last_{c}") for c in columns])
+    prev = last.select("_slice", *keys, *[F.lag(f"_last_{c}").over(Window.partitionBy(*keys).orderBy("_slice"))
+                                          .alias(f"_prev_{c}") for c in columns])
+    joined = local.join(prev, ["_slice", *keys])
+    return joined.select(*df.columns, *[F.when(F.col("_pos") == 1, F.col(f"_prev_{c}")).otherwise(F.col(f"_lag_{c}"))
+                                        .alias(f"prev_{c}") for c in columns])
+
+
+def ffill_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
+               partitions: int | None = None) -> DataFrame:
+    """Forward fill ``columns`` within ``keys`` by ``order`` (leading nulls stay null)."""
+    keys = list(keys)
+    sliced = _slices(df, keys, [order], partitions)
+    w = Window.partitionBy("_slice", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_ff_{c}") for c in columns])
+    last = sliced.groupBy("_slice", *keys).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_lnn_{c}") for c in columns])
+    carry_w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select("_slice", *keys, *[F.last(f"_lnn_{c}", ignorenulls=True).over(carry_w).alias(f"_carry_{c}")
+                                           for c in columns])
+    joined = local.join(carry, ["_slice", *keys])
+    others = [c for c in df.columns if c not in columns]
+    return joined.select(*others, *[F.coalesce(F.col(f"_ff_{c}"), F.col(f"_carry_{c}")).alias(c) for c in columns]).select(*df.columns)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """numpy-style (linear) quantiles of ``value`` per ``keys``: (keys..., p, q).
+
+    Values are reduced to counts; order statistics are located through a
+    distributed prefix sum and a (keys x probs) target table.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    ps = prefix_sum(vc, keys, "_v", ["_k"])
+    sizes = vc.groupBy(*keys).agg(F.sum("_k").alias("_n"))
+    targets = (sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+               .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
+               .withColumn("_klo", F.floor("_h").cast("bigint"))
+               .withColumn("_khi", F.least(F.col("_klo") + 1, F.col("_n") - 1))
+               .withColumn("_frac", F.col("_h") - F.col("_klo")))
+    ks = targets.select(*keys, "p", F.col("_klo").alias("_kk")).unionByName(
+        targets.select(*keys, "p", F.col("_khi").alias("_kk"))).distinct()
+    support = ps.select(*keys, "_v", (F.col("cum__k") - F.col("_k")).alias("_lo"), F.col("cum__k").alias("_hi"))
+    found = support.join(ks, keys).where((F.col("_kk") >= F.col("_lo")) & (F.col("_kk") < F.col("_hi")))
+    lo = found.select(*keys, "p", F.col("_kk").alias("_klo"), F.col("_v").alias("_vlo"))
+    hi = found.select(*keys, "p", F.col("_kk").alias("_khi"), F.col("_v").alias("_vhi"))
+    return (targets.join(lo, [*keys, "p", "_klo"]).join(hi, [*keys, "p", "_khi"])
+            .select(*keys, "p", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("q")))

@@ -66,3 +66,19 @@ def priced_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load_table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
     part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     return li.join(part, "l_partkey").withColumn("estimate", F.col("l_quantity") * F.col("p_retailprice"))
+
+
+def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regular hourly series per event_type, zero-filled: (event_type, hour, n_events, value_sum).
+
+    The spine runs from each type's first to last occupied hour, so the grid
+    is regular by construction (the explicit regularisation the sequence
+    operators require).
+    """
+    ev = load_table(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), "value")
+    hourly = ev.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value_sum"))
+    bounds = ev.groupBy("event_type").agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
+    spine = bounds.select("event_type", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
+    return spine.join(hourly, ["event_type", "hour"], "left").select(
+        "event_type", "hour", F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"),
+        F.coalesce("value_sum", F.lit(0.0)).alias("value_sum"))

@@ -603,3 +603,139 @@ ORACLE.update({
     "g1_bootstrap_orders": _bootstrap_sql("TRUE", "(SELECT count(*) FROM orders) // 2"),
     "g2_bootstrap_orders_where": _bootstrap_sql("CAST(o_orderstatus AS VARCHAR) = 'F'", "(SELECT count(*) FROM orders) // 4"),
 })
+
+
+# ---- sequences (T) ----------------------------------------------------------
+
+_C_TRAIN = repr(1 - 0.2 - 0.2)
+_C_VALID = repr(1 - 0.2)
+
+GRID = """
+ev AS (SELECT event_type, date_trunc('hour', ts) AS hour, value FROM events),
+hourly AS (SELECT event_type, hour, count(*) AS n_events, sum(value) AS value_sum FROM ev GROUP BY 1, 2),
+bounds AS (SELECT event_type, min(hour) AS lo, max(hour) AS hi FROM ev GROUP BY 1),
+spine AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour FROM bounds),
+grid AS (SELECT s.event_type, s.hour, CAST(coalesce(h.n_events, 0) AS DOUBLE) AS n_events,
+                coalesce(h.value_sum, 0.0) AS value_sum
+         FROM spine s LEFT JOIN hourly h USING (event_type, hour))"""
+
+
+def _profile_sql(src: str, entity: str, ts: str) -> str:
+    return f"""d AS (SELECT CAST({entity} AS VARCHAR) AS entity,
+                 epoch_us({ts}) - lag(epoch_us({ts})) OVER (PARTITION BY {entity} ORDER BY {ts}) AS dt FROM {src}),
+m AS (SELECT entity, CAST(floor(quantile_cont(dt, 0.5)) AS BIGINT) AS interval_us FROM d WHERE dt IS NOT NULL GROUP BY 1)
+SELECT entity, CAST(count(*) AS BIGINT) AS rows, interval_us,
+       CAST(count(*) FILTER (WHERE abs(dt - interval_us) > greatest(1.0, interval_us * 0.01)) AS BIGINT) AS irregular_intervals
+FROM d JOIN m USING (entity) GROUP BY entity, interval_us"""
+
+
+PROFILE_RAW = f"WITH {_profile_sql('events', 'event_type', 'ts')}"
+PROFILE_GRID = f"WITH {GRID}, {_profile_sql('grid', 'event_type', 'hour')}"
+
+SPLIT_GRID = f"""{GRID},
+pos AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS pos,
+               count(*) OVER (PARTITION BY event_type) AS n FROM grid),
+b AS (SELECT *, CAST(trunc(n * CAST({_C_TRAIN} AS DOUBLE)) AS BIGINT) AS e1,
+              CAST(trunc(n * CAST({_C_VALID} AS DOUBLE)) AS BIGINT) AS e2 FROM pos),
+sp AS (SELECT *, CASE WHEN pos < e1 THEN 'train' WHEN pos < e2 THEN 'validation' ELSE 'test' END AS split,
+              pos - CASE WHEN pos < e1 THEN 0 WHEN pos < e2 THEN e1 ELSE e2 END AS q,
+              CASE WHEN pos < e1 THEN e1 WHEN pos < e2 THEN e2 - e1 ELSE n - e2 END AS n_part FROM b)"""
+
+CHRONO = f"""WITH {SPLIT_GRID}
+SELECT event_type AS entity, split, CAST(count(*) AS BIGINT) AS rows, min(hour) AS first_hour, max(hour) AS last_hour
+FROM sp GROUP BY 1, 2"""
+
+SCALE = f"""{SPLIT_GRID},
+st AS (SELECT min(n_events) AS lo0, max(n_events) AS hi0, min(value_sum) AS lo1, max(value_sum) AS hi1,
+              quantile_cont(n_events, 0.5) AS md0, quantile_cont(value_sum, 0.5) AS md1 FROM sp WHERE split = 'train'),
+sc AS (SELECT sp.*, (n_events - lo0) / CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END * 2 - 1 AS f0,
+              (value_sum - lo1) / CASE WHEN hi1 > lo1 THEN hi1 - lo1 ELSE 1.0 END * 2 - 1 AS f1 FROM sp, st),
+starts AS (SELECT DISTINCT event_type, split, n_part, q AS s FROM sc WHERE q % 6 = 0 AND q + 24 <= n_part),
+win AS (SELECT w.event_type, w.split, w.s, r.q - w.s AS t, r.hour, r.f0, r.f1,
+               w.event_type || ':' || w.split || ':' || CAST(w.s AS VARCHAR) AS wid
+        FROM starts w JOIN sc r ON r.event_type = w.event_type AND r.split = w.split AND r.q >= w.s AND r.q < w.s + 24)"""
+
+SCALER = f"""WITH {SCALE}
+SELECT 'n_events' AS feature, lo0 AS minimum, CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END AS span, md0 AS training_median FROM st
+UNION ALL SELECT 'value_sum', lo1, CASE WHEN hi1 > lo1 THEN hi1 - lo1 ELSE 1.0 END, md1 FROM st"""
+
+WINDOWS = f"""WITH {SCALE}
+SELECT split, event_type AS entity, CAST(s AS BIGINT) AS start, min(hour) AS first_ts, max(hour) AS last_ts,
+       CAST(count(*) AS BIGINT) AS n_steps, round(sum(f0 + f1), 6) AS value_total
+FROM win GROUP BY split, event_type, s"""
+
+WINDOW_BOOTSTRAP = f"""WITH {SCALE},
+ids AS (SELECT DISTINCT wid, split FROM win),
+tr AS (SELECT wid, row_number() OVER (ORDER BY {_md5u('42:window_index', 'wid')}, wid) - 1 AS i FROM ids WHERE split = 'train'),
+m AS (SELECT count(*) AS m FROM tr),
+draws AS (SELECT range AS draw, CAST(floor({_md5u('42:draw', 'CAST(range AS VARCHAR)')} / 4503599627370496.0 * (SELECT m FROM m)) AS BIGINT) AS i
+          FROM range((SELECT count(*) FROM ids WHERE split = 'test')))
+SELECT draw, wid AS source_window_id FROM draws JOIN tr USING (i)"""
+
+_METRIC_BASE = f"""{SCALE},
+lv AS (SELECT CASE WHEN split = 'train' THEN 0 ELSE 1 END AS src, wid, t, 0 AS f, f0 AS v FROM win WHERE split IN ('train', 'test')
+       UNION ALL SELECT CASE WHEN split = 'train' THEN 0 ELSE 1 END, wid, t, 1, f1 FROM win WHERE split IN ('train', 'test')),
+wm AS (SELECT src, wid, f, avg(v) AS m FROM lv GROUP BY 1, 2, 3),
+c AS (SELECT lv.*, v - m AS c FROM lv JOIN wm USING (src, wid, f)),
+den AS (SELECT src, wid, f, sum(c * c) AS den FROM c GROUP BY 1, 2, 3)"""
+
+_LAGS = list(range(1, min(10, 24 // 4) + 1))
+
+SEQ_METRICS = f"""WITH {_METRIC_BASE},
+vc AS (SELECT f, v, sum(1 - src) AS a, sum(src) AS b FROM lv GROUP BY 1, 2),
+cdf AS (SELECT f, sum(a) OVER (PARTITION BY f ORDER BY v) / sum(a) OVER (PARTITION BY f) AS Fa,
+               sum(b) OVER (PARTITION BY f ORDER BY v) / sum(b) OVER (PARTITION BY f) AS Fb FROM vc),
+ks AS (SELECT f, max(abs(Fa - Fb)) AS ks FROM cdf GROUP BY f),
+mom AS (SELECT f, avg(v) FILTER (WHERE src = 0) AS mr, avg(v) FILTER (WHERE src = 1) AS ms,
+               var_pop(v) FILTER (WHERE src = 0) AS vr, var_pop(v) FILTER (WHERE src = 1) AS vs FROM lv GROUP BY f),
+lags AS (SELECT unnest({_LAGS}) AS lag),
+ac AS (SELECT a.src, a.wid, a.f, l.lag, sum(a.c * b.c) AS num FROM c a JOIN lags l ON TRUE
+       JOIN c b ON b.src = a.src AND b.wid = a.wid AND b.f = a.f AND b.t = a.t + l.lag GROUP BY 1, 2, 3, 4),
+acf AS (SELECT ac.src, ac.f, ac.lag, avg(num / den) AS acf FROM ac JOIN den USING (src, wid, f) WHERE den > 1e-12
+        GROUP BY 1, 2, 3),
+acd AS (SELECT r.f, avg(abs(r.acf - s.acf)) AS acf_error FROM acf r JOIN acf s ON r.f = s.f AND r.lag = s.lag
+        AND r.src = 0 AND s.src = 1 GROUP BY r.f),
+slope AS (SELECT src, wid, f, sum(v * (t - 11.5)) / {sum((t - 11.5) ** 2 for t in range(24))} AS sl FROM lv GROUP BY 1, 2, 3),
+sl AS (SELECT f, avg(sl) FILTER (WHERE src = 0) AS sr, avg(sl) FILTER (WHERE src = 1) AS ss FROM slope GROUP BY f),
+ks_idx AS (SELECT unnest(range(0, 13)) AS k),
+pw AS (SELECT c.src, c.wid, c.f, k.k, pow(sum(c.c * cos(2 * pi() * k.k * c.t / 24.0)), 2)
+                                     + pow(sum(c.c * sin(2 * pi() * k.k * c.t / 24.0)), 2) AS p
+       FROM c JOIN ks_idx k ON TRUE GROUP BY 1, 2, 3, 4),
+mp AS (SELECT src, f, k, avg(p) AS p FROM pw GROUP BY 1, 2, 3),
+np AS (SELECT src, f, k, p / sum(p) OVER (PARTITION BY src, f) AS p, sum(p) OVER (PARTITION BY src, f) AS tot FROM mp),
+js AS (SELECT r.f, CASE WHEN min(r.tot) > 0 AND min(s.tot) > 0 THEN
+              0.5 * sum(CASE WHEN r.p > 0 THEN r.p * log2(r.p / ((r.p + s.p) / 2)) ELSE 0 END)
+            + 0.5 * sum(CASE WHEN s.p > 0 THEN s.p * log2(s.p / ((r.p + s.p) / 2)) ELSE 0 END) END AS js
+       FROM np r JOIN np s ON r.f = s.f AND r.k = s.k AND r.src = 0 AND s.src = 1 GROUP BY r.f)
+SELECT ks.f AS feature_index, round(ks, 6) + 0.0 AS ks_statistic,
+       round(abs(mr - ms) / greatest(sqrt(vr), 1e-8), 6) + 0.0 AS normalized_mean_error,
+       round(abs(vr - vs) / (vr + 1e-8), 6) + 0.0 AS normalized_variance_error,
+       round(acf_error, 6) + 0.0 AS acf_error,
+       round(abs(sr - ss) / greatest(sqrt(vr), 1e-8), 6) + 0.0 AS normalized_trend_error,
+       round(greatest(js, 0.0), 6) + 0.0 AS spectral_js_divergence
+FROM ks JOIN mom USING (f) JOIN sl USING (f) LEFT JOIN js USING (f) LEFT JOIN acd USING (f)"""
+
+SEQ_SUMMARY = f"""WITH {_METRIC_BASE},
+pairs AS (SELECT a.src, 0 AS lag, a.v AS x, b.v AS y FROM lv a JOIN lv b ON a.src = b.src AND a.wid = b.wid AND a.t = b.t
+          WHERE a.f = 0 AND b.f = 1
+          UNION ALL
+          SELECT a.src, 1, a.v, b.v FROM lv a JOIN lv b ON a.src = b.src AND a.wid = b.wid AND b.t = a.t + 1
+          WHERE a.f = 0 AND b.f = 1),
+cc AS (SELECT src, lag, CASE WHEN stddev_pop(x) > 1e-8 AND stddev_pop(y) > 1e-8 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS r
+       FROM pairs GROUP BY 1, 2),
+xc AS (SELECT round(avg(abs(a.r - b.r)), 6) + 0.0 AS cross_correlation_error FROM cc a JOIN cc b ON a.lag = b.lag
+          AND a.src = 0 AND b.src = 1),
+wv AS (SELECT wid, list([f0, f1] ORDER BY t) AS vals FROM win WHERE split = 'test' GROUP BY wid),
+uq AS (SELECT round(count(DISTINCT vals) / count(*), 6) + 0.0 AS unique_sequence_ratio FROM wv)
+SELECT * FROM xc, uq"""
+
+ORACLE.update({
+    "t2_profile_events_raw": PROFILE_RAW,
+    "t2_profile_event_grid": PROFILE_GRID,
+    "t4_chronological_split": CHRONO,
+    "t6_scaler": SCALER,
+    "t7_sliding_windows": WINDOWS,
+    "t10_window_bootstrap": WINDOW_BOOTSTRAP,
+    "t11_t15_sequence_metrics": SEQ_METRICS,
+    "t15_t16_sequence_summary": SEQ_SUMMARY,
+})

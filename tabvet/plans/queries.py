@@ -292,3 +292,102 @@ QUERIES.update({
     "g5_copula_sample_lineitem_where": q_copula_lineitem_where,
     "g10_codec_round_trip_orders": q_codec_round_trip,
 })
+
+
+# ---- sequences (T) ----------------------------------------------------------
+
+from tabvet.operators import sequences as seq  # noqa: E402
+from tabvet.plans.fixtures import event_grid  # noqa: E402
+
+GRID_SPEC = seq.SequenceSpec(timestamp="hour", features=("n_events", "value_sum"), entity="event_type",
+                             sequence_length=24, stride=6, test_fraction=0.2, validation_fraction=0.2)
+RAW_SPEC = seq.SequenceSpec(timestamp="ts", features=("value",), entity="event_type", sequence_length=24)
+
+
+def _grid_windows(spark, sf_dir):
+    return seq.prepare_sequences(event_grid(spark, sf_dir), GRID_SPEC)
+
+
+def q_profile_raw(spark, sf_dir):
+    return seq.profile_sequences(load_table(spark, sf_dir, "events"), RAW_SPEC).entities
+
+
+def q_profile_grid(spark, sf_dir):
+    return seq.profile_sequences(event_grid(spark, sf_dir), GRID_SPEC).entities
+
+
+def q_chrono_split(spark, sf_dir):
+    s = seq.chronological_split(event_grid(spark, sf_dir), GRID_SPEC)
+    return s.groupBy(F.col("_entity").alias("entity"), "split").agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows"), F.timestamp_micros(F.min("_t")).alias("first_hour"),
+        F.timestamp_micros(F.max("_t")).alias("last_hour"))
+
+
+def q_scaler(spark, sf_dir):
+    p = _grid_windows(spark, sf_dir)
+    s = p.scaler
+    return spark.createDataFrame([(f, float(lo), float(sp), float(md)) for f, lo, sp, md in
+                                  zip(s.features, s.minimum, s.span, s.training_median)],
+                                 "feature string, minimum double, span double, training_median double")
+
+
+def q_windows(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    return w.select("split", "entity", "start", F.element_at("timestamps", 1).alias("first_ts"),
+                    F.element_at("timestamps", -1).alias("last_ts"), F.size("values").cast("bigint").alias("n_steps"),
+                    F.round(F.aggregate(F.flatten("values"), F.lit(0.0), lambda a, x: a + x), 6).alias("value_total"))
+
+
+def q_windows_to_rows(spark, sf_dir):
+    p = _grid_windows(spark, sf_dir)
+    return seq.windows_to_rows(p.windows.where(F.col("split") == "validation"), GRID_SPEC, p.scaler, p.interval_us)
+
+
+def q_window_bootstrap(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    train = w.where(F.col("split") == "train")
+    n = w.where(F.col("split") == "test").count()
+    return seq.window_bootstrap(train, n, seed=42).select("draw", "source_window_id")
+
+
+def q_sequence_metrics(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    per, _ = seq.sequence_metrics(w.where(F.col("split") == "train"), w.where(F.col("split") == "test"), 2, 24)
+    return per
+
+
+def q_sequence_summary(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    _, summary = seq.sequence_metrics(w.where(F.col("split") == "train"), w.where(F.col("split") == "test"), 2, 24)
+    return summary
+
+
+def q_sequence_privacy(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    train = w.where(F.col("split") == "train")
+    syn = seq.window_bootstrap(train, w.where(F.col("split") == "test").count(), seed=42)
+    return seq.sequence_distance_privacy(train, w.where(F.col("split") == "validation"), syn, cap=128, seed=42)
+
+
+def q_temporal_gates(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    train = w.where(F.col("split") == "train")
+    syn = seq.window_bootstrap(train, w.where(F.col("split") == "test").count(), seed=42)
+    per, _ = seq.sequence_metrics(w.where(F.col("split") == "validation"), syn, 2, 24)
+    priv = seq.sequence_distance_privacy(train, w.where(F.col("split") == "validation"), syn, cap=128, seed=42)
+    return seq.temporal_gates(per, priv)
+
+
+QUERIES.update({
+    "t2_profile_events_raw": q_profile_raw,
+    "t2_profile_event_grid": q_profile_grid,
+    "t4_chronological_split": q_chrono_split,
+    "t6_scaler": q_scaler,
+    "t7_sliding_windows": q_windows,
+    "t9_windows_to_rows": q_windows_to_rows,
+    "t10_window_bootstrap": q_window_bootstrap,
+    "t11_t15_sequence_metrics": q_sequence_metrics,
+    "t15_t16_sequence_summary": q_sequence_summary,
+    "v5_sequence_distance_privacy": q_sequence_privacy,
+    "t18_temporal_gates": q_temporal_gates,
+})
