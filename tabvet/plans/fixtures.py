@@ -82,3 +82,45 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(hourly, ["event_type", "hour"], "left").select(
         "event_type", "hour", F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"),
         F.coalesce("value_sum", F.lit(0.0)).alias("value_sum"))
+
+
+def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One candidate metric row per document ``source`` (all scores in [0, 1]).
+
+    A stand-in candidate table computed from the data so that gates, Pareto
+    fronts and selection run over table-derived rows: each source plays the
+    role of one candidate synthetic table.
+    """
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    labels = load_table(spark, sf_dir, "labels")
+    d = docs.join(labels, "doc_id", "left")
+    total = docs.agg(F.count(F.lit(1)).alias("n_total"), F.avg("n_chars").alias("avg_all"), F.max("n_chars").alias("max_all"),
+                     F.count_distinct("lang").alias("n_langs"))
+    lang_all = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("k_all"))
+    lang_src = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("k"))
+    n_src = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    # TV over all languages without pairing every source with every language:
+    # sum_all |p - q| = sum_present |p - q| + (1 - sum_present q)
+    q = F.col("k_all") / F.col("n_total")
+    tv = (lang_src.join(lang_all, "lang").join(n_src, "source").crossJoin(total)  # total is one row
+          .groupBy("source").agg((F.lit(1.0) - F.lit(0.5) * (F.sum(F.abs(F.col("k") / F.col("n") - q))
+                                                             + F.lit(1.0) - F.sum(q))).alias("distribution_score")))
+    per = d.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("u"), F.avg((F.col("n_chars") >= 50).cast("double")).alias("validity"),
+        F.avg("toxic").alias("toxic"), F.avg("quality").alias("quality"), F.count_distinct("lang").alias("langs"),
+        F.avg("n_chars").alias("avg_chars"), F.stddev_pop("n_chars").alias("sd_chars"))
+    j = per.join(tv, "source").crossJoin(total)  # total is one row
+    r = lambda c: F.round(c, 6)
+    return j.select(
+        F.col("source").alias("candidate_id"),
+        r(F.lit(1.0) - F.col("u") / F.col("n")).alias("exact_match_rate"),
+        r(F.col("u") / F.col("n")).alias("diversity_score"),
+        r(F.col("validity")).alias("validity_score"),
+        r(F.lit(1.0) - F.coalesce(F.col("toxic"), F.lit(0.0))).alias("privacy_score"),
+        r(F.coalesce(F.col("quality"), F.lit(0.0))).alias("utility"),
+        r(F.col("langs") / F.col("n_langs")).alias("dependency_score"),
+        r(F.col("distribution_score")).alias("distribution_score"),
+        r(F.lit(1.0) - F.abs(F.col("avg_chars") - F.col("avg_all")) / F.col("max_all")).alias("multivariate_score"),
+        r(F.least(F.lit(1.0), F.col("sd_chars") / F.col("avg_chars"))).alias("discriminator_score"),
+        (F.col("distribution_score") >= 0.55).alias("passed"),
+        (F.col("n") / 1000.0).alias("cost_seconds"))

@@ -739,3 +739,118 @@ ORACLE.update({
     "t11_t15_sequence_metrics": SEQ_METRICS,
     "t15_t16_sequence_summary": SEQ_SUMMARY,
 })
+
+
+# ---- text (X), gates and selection (R), sources (S) --------------------------
+
+RENDER = """SELECT o_orderkey, 'Order ' || CAST(o_orderkey AS VARCHAR) || ' for customer ' || coalesce(CAST(o_custkey AS VARCHAR), 'None')
+  || ': ' || concat_ws(', ', 'o_orderstatus=' || coalesce(CAST(o_orderstatus AS VARCHAR), 'None'),
+                       'o_totalprice=' || coalesce(CAST(o_totalprice AS VARCHAR), 'None'),
+                       'o_orderpriority=' || coalesce(CAST(o_orderpriority AS VARCHAR), 'None')) AS text
+FROM orders"""
+
+_RULES = "(SELECT * FROM (VALUES ('o_orderstatus', 'F', 'o_orderstatus=F'), ('o_orderstatus', 'O', 'o_orderstatus=O'), ('o_orderstatus', 'P', 'pending')) r(field, value, expected_text))"
+CONSISTENCY_CTE = f"""r AS ({RENDER}),
+j AS (SELECT r.o_orderkey, o.o_orderstatus, lower(r.text) AS t FROM r JOIN orders o USING (o_orderkey)),
+h AS (SELECT j.o_orderkey, ru.field, contains(j.t, lower(ru.expected_text)) AS hit FROM j
+      JOIN {_RULES} ru ON ru.field = 'o_orderstatus' AND ru.value = CAST(j.o_orderstatus AS VARCHAR)),
+per AS (SELECT j.o_orderkey, coalesce(string_agg(h.field, ',' ORDER BY h.field) FILTER (WHERE h.hit), '') AS matched,
+               CAST(count(*) FILTER (WHERE NOT h.hit) AS BIGINT) AS n_violations
+        FROM j LEFT JOIN h USING (o_orderkey) GROUP BY j.o_orderkey)"""
+CONSISTENCY = f"WITH {CONSISTENCY_CTE} SELECT o_orderkey, matched, n_violations, n_violations = 0 AS consistent FROM per"
+CONSISTENCY_SUMMARY = f"""WITH {CONSISTENCY_CTE}
+SELECT CAST(count(*) AS BIGINT) AS count, CAST(count(*) FILTER (WHERE n_violations = 0) AS BIGINT) AS consistent_count,
+       round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE n_violations = 0) / count(*) ELSE 1.0 END, 6) + 0.0 AS consistency_rate
+FROM per"""
+
+CANDIDATES = """cand AS (
+  WITH d AS (SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+  total AS (SELECT count(*) AS n_total, avg(n_chars) AS avg_all, max(n_chars) AS max_all, count(DISTINCT lang) AS n_langs FROM documents),
+  la AS (SELECT lang, count(*) AS k_all FROM documents GROUP BY lang),
+  ls AS (SELECT source, lang, count(*) AS k FROM documents GROUP BY 1, 2),
+  ns AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+  tv AS (SELECT source, 1.0 - 0.5 * (sum(abs(k / n - k_all / n_total)) + 1.0 - sum(k_all / n_total)) AS distribution_score
+         FROM ls JOIN la USING (lang) JOIN ns USING (source), total GROUP BY source),
+  per AS (SELECT source, count(*) AS n, count(DISTINCT text) AS u, avg(CASE WHEN n_chars >= 50 THEN 1.0 ELSE 0.0 END) AS validity,
+                 avg(toxic) AS toxic, avg(quality) AS quality, count(DISTINCT lang) AS langs, avg(n_chars) AS avg_chars,
+                 stddev_pop(n_chars) AS sd_chars FROM d GROUP BY source)
+  SELECT source AS candidate_id, round(1.0 - u / n, 6) AS exact_match_rate, round(u / n, 6) AS diversity_score,
+         round(validity, 6) AS validity_score, round(1.0 - coalesce(toxic, 0.0), 6) AS privacy_score,
+         round(coalesce(quality, 0.0), 6) AS utility, round(langs / n_langs, 6) AS dependency_score,
+         round(distribution_score, 6) AS distribution_score,
+         round(1.0 - abs(avg_chars - avg_all) / max_all, 6) AS multivariate_score,
+         round(least(1.0, sd_chars / avg_chars), 6) AS discriminator_score,
+         distribution_score >= 0.55 AS passed, n / 1000.0 AS cost_seconds
+  FROM per JOIN tv USING (source), total)"""
+
+_HARD = """g AS (SELECT *, list_filter([
+    CASE WHEN privacy_score IS NULL OR privacy_score < 0.70 THEN 'privacy_score_below_threshold' END,
+    CASE WHEN exact_match_rate IS NOT NULL AND exact_match_rate > 0.05 THEN 'exact_match_rate_above_threshold' END,
+    CASE WHEN validity_score IS NULL OR validity_score < 0.95 THEN 'validity_score_below_threshold' END,
+    CASE WHEN distribution_score IS NULL OR distribution_score < 0.60 THEN 'distribution_score_below_threshold' END],
+    lambda x: x IS NOT NULL) AS failed FROM cand)"""
+
+RUN_GATES = f"""WITH {CANDIDATES}
+SELECT candidate_id, array_to_string(list_filter([
+    CASE WHEN NOT passed THEN 'overall_validation_below_threshold' END,
+    CASE WHEN privacy_score < 0.70 THEN 'privacy_score_below_threshold' END,
+    CASE WHEN exact_match_rate > 0.05 THEN 'exact_match_rate_above_threshold' END,
+    CASE WHEN validity_score IS NULL OR validity_score < 0.95 THEN 'validity_score_below_threshold' END,
+    CASE WHEN round(distribution_score, 4) < 0.60 THEN 'distribution_score_below_threshold' END], lambda x: x IS NOT NULL), ',') AS failed,
+  passed AND NOT (privacy_score < 0.70 OR exact_match_rate > 0.05 OR validity_score IS NULL OR validity_score < 0.95
+                  OR round(distribution_score, 4) < 0.60) AS artifact_eligible
+FROM cand"""
+
+HARD_GATES = f"""WITH {CANDIDATES}, {_HARD}
+SELECT candidate_id, len(failed) = 0 AS passed_hard_gates,
+       CASE WHEN len(failed) > 0 THEN array_to_string(failed, ', ') END AS failure_reason FROM g"""
+
+_OBJ = ["utility", "dependency_score", "distribution_score", "multivariate_score", "diversity_score",
+        "discriminator_score", "privacy_score", "validity_score"]
+_PRIO = ("0.45 * coalesce(utility, 0) + 0.15 * coalesce(dependency_score, 0) + 0.15 * coalesce(distribution_score, 0) "
+         "+ 0.10 * coalesce(multivariate_score, 0) + 0.10 * coalesce(diversity_score, 0) + 0.05 * coalesce(discriminator_score, 0)")
+_DOM = (" AND ".join(f"coalesce(o.{c}, 0) >= coalesce(c.{c}, 0)" for c in _OBJ) + " AND (" +
+        " OR ".join(f"coalesce(o.{c}, 0) > coalesce(c.{c}, 0)" for c in _OBJ) + ")")
+PARETO_CTE = f"""{CANDIDATES}, {_HARD},
+v AS (SELECT * FROM g WHERE len(failed) = 0),
+f AS (SELECT c.candidate_id FROM v c WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.candidate_id <> c.candidate_id AND {_DOM}))"""
+PARETO = f"""WITH {PARETO_CTE}
+SELECT candidate_id, candidate_id IN (SELECT candidate_id FROM f) AS pareto_optimal, round({_PRIO}, 8) AS priority FROM g"""
+SELECT_CAND = f"""WITH {PARETO_CTE}
+SELECT candidate_id, round({_PRIO}, 8) AS priority, TRUE AS selected FROM g WHERE candidate_id IN (SELECT candidate_id FROM f)
+ORDER BY {_PRIO} DESC, candidate_id DESC LIMIT 1"""
+
+QUALITY_COST = f"""WITH {CANDIDATES}, {_HARD},
+t AS (SELECT candidate_id AS generator, distribution_score AS s, cost_seconds AS c, len(failed) = 0 AS ok FROM g),
+pool AS (SELECT * FROM t WHERE ok OR NOT EXISTS (SELECT 1 FROM t WHERE ok)),
+fr AS (SELECT * FROM pool p WHERE NOT EXISTS (SELECT 1 FROM pool o WHERE o.generator <> p.generator
+         AND o.s >= p.s AND o.c <= p.c AND (o.s > p.s OR o.c < p.c))),
+mx AS (SELECT coalesce(nullif(max(c), 0), 1) AS m FROM fr),
+win AS (SELECT generator FROM fr, mx ORDER BY s - 0.05 * c / m DESC LIMIT 1)
+SELECT generator, generator IN (SELECT generator FROM fr) AS pareto_optimal,
+       generator IN (SELECT generator FROM win) AS selected, EXISTS (SELECT 1 FROM t WHERE ok) AS quality_gates_passed FROM t"""
+
+_LI_ROWKEY = _LI_KEY
+FINGERPRINT = f"""SELECT CAST(sum({_md5u_plain}) % 4503599627370496 AS BIGINT) AS dataset_hash""" if False else f"""
+SELECT CAST(sum(('0x' || substr(md5({_LI_KEY}), 1, 13))::BIGINT::HUGEINT) % 4503599627370496 AS BIGINT) AS dataset_hash,
+       CAST(count(*) AS BIGINT) AS num_rows,
+       'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS columns,
+       'source' AS generator, CAST(42 AS BIGINT) AS random_seed
+FROM lineitem"""
+
+PREVIEW = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10"
+READ_VALIDATE = "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(11 AS BIGINT) AS columns FROM lineitem"
+
+ORACLE.update({
+    "x1_render_text_orders": RENDER,
+    "x2_text_consistency_orders": CONSISTENCY,
+    "x2_consistency_summary_orders": CONSISTENCY_SUMMARY,
+    "r1_run_gates": RUN_GATES,
+    "r2_hard_gates": HARD_GATES,
+    "r3_pareto_frontier": PARETO,
+    "r4_select_candidate": SELECT_CAND,
+    "r5_select_quality_cost": QUALITY_COST,
+    "s2_read_validate_lineitem": READ_VALIDATE,
+    "s9_preview_orders": PREVIEW,
+    "s10_fingerprint_lineitem": FINGERPRINT,
+})

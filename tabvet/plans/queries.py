@@ -391,3 +391,90 @@ QUERIES.update({
     "v5_sequence_distance_privacy": q_sequence_privacy,
     "t18_temporal_gates": q_temporal_gates,
 })
+
+
+# ---- text (X), gates and selection (R), sources (S) --------------------------
+
+from tabvet.operators import select as sel  # noqa: E402
+from tabvet.operators import text as txt  # noqa: E402
+from tabvet.plans.fixtures import source_candidates  # noqa: E402
+from tabvet.sources import io as sio  # noqa: E402
+
+ORDER_TEMPLATE = "Order {record_id} for customer {o_custkey}: "
+ORDER_FIELDS = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
+STATUS_RULES = {"o_orderstatus": {"F": "o_orderstatus=F", "O": "o_orderstatus=O", "P": "pending"}}
+
+
+def _rendered(spark, sf_dir):
+    orders = load_table(spark, sf_dir, "orders")
+    return txt.render_text(orders, ORDER_TEMPLATE, ORDER_FIELDS, record_id="o_orderkey").join(
+        orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+
+
+def q_render(spark, sf_dir):
+    return _rendered(spark, sf_dir).select("o_orderkey", "text")
+
+
+def q_consistency(spark, sf_dir):
+    per = txt.text_consistency(_rendered(spark, sf_dir), "text", txt.rules_frame(spark, STATUS_RULES), "o_orderkey")
+    return per.select("o_orderkey", F.array_join("matched_fields", ",").alias("matched"),
+                      F.size("violations").cast("bigint").alias("n_violations"), "consistent")
+
+
+def q_consistency_summary(spark, sf_dir):
+    per = txt.text_consistency(_rendered(spark, sf_dir), "text", txt.rules_frame(spark, STATUS_RULES), "o_orderkey")
+    return txt.consistency_summary(per)
+
+
+def q_run_gates(spark, sf_dir):
+    g = sel.run_gates(source_candidates(spark, sf_dir))
+    return g.select("candidate_id", F.array_join("failed_gates", ",").alias("failed"), "artifact_eligible")
+
+
+def q_hard_gates(spark, sf_dir):
+    g = sel.hard_gates(source_candidates(spark, sf_dir))
+    return g.select("candidate_id", "passed_hard_gates", "failure_reason")
+
+
+def q_pareto(spark, sf_dir):
+    return sel.pareto_frontier(source_candidates(spark, sf_dir), "labeled").select("candidate_id", "pareto_optimal", "priority")
+
+
+def q_select(spark, sf_dir):
+    return sel.select_candidate(source_candidates(spark, sf_dir), "labeled").select("candidate_id", "priority", "selected")
+
+
+def q_quality_cost(spark, sf_dir):
+    c = sel.hard_gates(source_candidates(spark, sf_dir)).select(
+        F.col("candidate_id").alias("generator"), F.lit("completed").alias("status"),
+        F.col("distribution_score").alias("validation_score"), "cost_seconds", "failed_gates")
+    return sel.select_quality_cost(c, 0.05).select("generator", "pareto_optimal", "selected", "quality_gates_passed")
+
+
+def q_fingerprint(spark, sf_dir):
+    return sio.dataset_fingerprint(load_table(spark, sf_dir, "lineitem"), "source", 42).select(
+        "dataset_hash", "num_rows", "columns", "generator", "random_seed")
+
+
+def q_preview(spark, sf_dir):
+    return sio.preview(load_table(spark, sf_dir, "orders"), ["o_orderkey"], 10)
+
+
+def q_read_validate(spark, sf_dir):
+    df = sio.validate_table(sio.read_table(spark, f"{sf_dir}/lineitem.parquet"))
+    return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns"))
+
+
+QUERIES.update({
+    "x1_render_text_orders": q_render,
+    "x2_text_consistency_orders": q_consistency,
+    "x2_consistency_summary_orders": q_consistency_summary,
+    "r1_run_gates": q_run_gates,
+    "r2_hard_gates": q_hard_gates,
+    "r3_pareto_frontier": q_pareto,
+    "r4_select_candidate": q_select,
+    "r5_select_quality_cost": q_quality_cost,
+    "s2_read_validate_lineitem": q_read_validate,
+    "s9_preview_orders": q_preview,
+    "s10_fingerprint_lineitem": q_fingerprint,
+})

@@ -94,9 +94,13 @@ def write_run_record(spark: SparkSession, path: str, run_id: str, status: str, c
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
-    """First n rows in a stable order, each also as JSON (nulls kept)."""
-    return df.orderBy(*order_by).limit(n).withColumn("json", F.to_json(F.struct(*[F.col(c) for c in df.columns]),
-                                                                        {"ignoreNullFields": "false"}))
+    """First n rows in a stable order (a top-n: each task keeps n rows)."""
+    return df.orderBy(*order_by).limit(n)
+
+
+def preview_json(df: DataFrame) -> DataFrame:
+    """Each row as JSON with nulls kept as null."""
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def dataset_fingerprint(df: DataFrame, generator: str, seed: int) -> DataFrame:
