@@ -39,14 +39,37 @@ def check_flat(df: DataFrame) -> None:
             raise ValueError(f"nested column {f.name!r} ({f.dataType.simpleString()}) is not supported")
 
 
+def distinct_frame(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(col, unique_count): distinct non-null values per column, lazily.
+
+    One long-form (col, text) group-by instead of one count-distinct per
+    column (which would expand every row once per column).  Floating zeros are
+    normalised so -0.0 and 0.0 count once, as in Spark's own distinct.
+    """
+    cols = list(columns) if columns is not None else df.columns
+    types = schema_types(df)
+
+    def text(c):
+        if isinstance(types[c], (T.FloatType, T.DoubleType)):
+            return F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)).cast("string")
+        return F.col(c).cast("string")
+
+    arr = F.array(*[F.struct(F.lit(c).alias("col"), text(c).alias("s")) for c in cols])
+    long = df.select(F.explode(arr).alias("x")).select("x.col", "x.s").where(F.col("s").isNotNull())
+    return long.groupBy("col", "s").agg(F.count(F.lit(1)).alias("k")).groupBy("col").agg(
+        F.count(F.lit(1)).cast("bigint").alias("unique_count"))
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> dict[str, int]:
-    """Distinct non-null values per column, one aggregate job."""
+    """Distinct non-null values per column (exact by default), one job."""
     cols = list(columns) if columns is not None else df.columns
     if not cols:
         return {}
-    fn = (lambda c: F.approx_count_distinct(F.col(c), 0.01)) if approx else (lambda c: F.count_distinct(F.col(c)))
-    row = df.agg(*[fn(c).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
-    return {c: int(row[f"_d{i}"]) for i, c in enumerate(cols)}
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
+        return {c: int(row[f"_d{i}"]) for i, c in enumerate(cols)}
+    got = {r["col"]: int(r["unique_count"]) for r in distinct_frame(df, cols).collect()}
+    return {c: got.get(c, 0) for c in cols}
 
 
 def kinds_from(df: DataFrame, unique: dict[str, int]) -> tuple[list[str], list[str]]:

@@ -478,3 +478,20 @@ QUERIES.update({
     "s9_preview_orders": q_preview,
     "s10_fingerprint_lineitem": q_fingerprint,
 })
+
+
+# ---- flagship: bootstrap lineitem, then validate it (G1 + F10 + V3 + C3) ----
+
+from tabvet.operators import validation as val  # noqa: E402
+from tabvet.plans.fixtures import PAIR_COLUMNS  # noqa: E402
+
+
+def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap half as many rows as the real half of lineitem and report every quality metric."""
+    real, _ = lineitem_halves(spark, sf_dir)
+    n = max(1, real.count() // 2)
+    syn = gen.bootstrap_sample(real, n, seed=42).drop("_draw")
+    return val.validation_summary(real, syn.select(*PAIR_COLUMNS), seed=42)
+
+
+QUERIES["f10_validation_summary_bootstrap"] = q_flagship
