@@ -20,7 +20,7 @@ def roc_auc(df: DataFrame, label: str, score: str, by: str | None = None) -> Dat
     distributed prefix sum; null when one class is absent.
     """
     grp = F.col(by).cast("string") if by else F.lit("all")
-    y = F.col(label).cast("double")
+    y = F.col(label).cast("string").try_cast("double")
     counts = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(grp.alias("_g"), F.col(score).cast("double").alias("s")).agg(
         F.sum((y == 1).cast("long")).alias("pos"), F.sum((y != 1).cast("long")).alias("neg"))
     counts = counts.withColumn("cnt", F.col("pos") + F.col("neg"))
@@ -57,8 +57,11 @@ def _macro(conf: DataFrame) -> DataFrame:
     return macro.join(acc, "_g").withColumn("accuracy", F.col("hit") / F.col("n"))
 
 
-def classification_metrics(df: DataFrame, y: str, yhat: str, score: str | None = None) -> DataFrame:
-    """Accuracy, macro precision/recall/F1 (0 on empty), ROC-AUC only for exactly 2 classes."""
+def classification_metrics(df: DataFrame, y: str, yhat: str, score: str | None = None,
+                           positive: str | None = None) -> DataFrame:
+    """Accuracy, macro precision/recall/F1 (0 on empty), ROC-AUC only for exactly 2 classes.
+
+    ``score`` is the score of the ``positive`` class (default: label 1)."""
     m = _macro(_confusion(df, y, yhat))
     out = m.select(r6(F.col("accuracy")).alias("accuracy"), r6(F.col("precision")).alias("precision_macro"),
                    r6(F.col("recall")).alias("recall_macro"), r6(F.col("f1")).alias("f1_macro"),
@@ -69,7 +72,9 @@ def classification_metrics(df: DataFrame, y: str, yhat: str, score: str | None =
     n_classes = df.where(F.col(y).isNotNull()).select(F.col(y).cast("string")).distinct().limit(3).count()
     if n_classes != 2:
         return out.withColumn("roc_auc", F.lit(None).cast("double"))
-    auc = roc_auc(df, y, score).select(F.col("auc").alias("roc_auc"))
+    lab = y if positive is None else "_pos"
+    src = df if positive is None else df.withColumn("_pos", (F.col(y).cast("string") == F.lit(positive)).cast("int"))
+    auc = roc_auc(src, lab, score).select(F.col("auc").alias("roc_auc"))
     return out.crossJoin(auc)  # one-row frames
 
 

@@ -103,7 +103,7 @@ def align_output(syn: DataFrame, like: DataFrame, n_expected: int | None = None,
     cols = []
     for c in like.columns:
         if is_numeric_type(types[c]) and not isinstance(types[c], T.BooleanType):
-            cols.append(F.try_cast(F.col(c).cast("string"), types[c].simpleString()).alias(c))
+            cols.append(F.col(c).cast("string").try_cast(types[c].simpleString()).alias(c))
         else:
             cols.append(F.col(c).cast(types[c]).alias(c))
     out = syn.select(*cols)

@@ -495,3 +495,83 @@ def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["f10_validation_summary_bootstrap"] = q_flagship
+
+
+# ---- MLlib diagnostics and downstream utility (D9-D14, U4, U7, U8, U10, U11, T17) ----
+
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from tabvet.operators import models as mdl  # noqa: E402
+
+
+def _syn_bootstrap_half(spark, sf_dir):
+    real, _ = lineitem_halves(spark, sf_dir)
+    syn = gen.bootstrap_sample(real, max(1, real.count() // 2), seed=7).drop("_draw")
+    return real, syn
+
+
+def q_mixed_features(spark, sf_dir):
+    real, _ = lineitem_halves(spark, sf_dir)
+    fm = mdl.fit_features(real, ["l_quantity", "l_extendedprice", "net_price"], ["l_discount", "l_returnflag", "l_linestatus"])
+    return fm.transform(real).select(vector_to_array("features").alias("features"))
+
+
+def _docs_split(spark, sf_dir):
+    df = table(spark, sf_dir, "labeled_docs").drop("doc_id", "toxic")
+    s = spl.two_way_split(df, "quality", test=0.25, seed=42)
+    return s.where(F.col("split") == "train").drop("split"), s.where(F.col("split") == "test").drop("split")
+
+
+def q_evaluate_split(spark, sf_dir):
+    train, test = _docs_split(spark, sf_dir)
+    return mdl.evaluate_split(train, test, "quality", "classification", model="random_forest")
+
+
+def q_evaluate_regression(spark, sf_dir):
+    df = priced_lineitems(spark, sf_dir).select("l_quantity", "p_retailprice", "l_extendedprice")
+    s = spl.two_way_split(df, "l_extendedprice", test=0.25, seed=42)
+    return mdl.evaluate_split(s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split"),
+                              "l_extendedprice", "regression", model="ridge")
+
+
+def q_compare_augmentation(spark, sf_dir):
+    train, test = _docs_split(spark, sf_dir)
+    syn = gen.bootstrap_sample(train, max(1, train.count() // 2), seed=9).drop("_draw")
+    return mdl.compare_augmentation(train, test, syn, "quality", "classification")
+
+
+def q_cross_validate(spark, sf_dir):
+    train, _ = _docs_split(spark, sf_dir)
+    return mdl.cross_validate(train, "quality", "classification", folds=3)
+
+
+def q_real_vs_synthetic(spark, sf_dir):
+    train, test = _docs_split(spark, sf_dir)
+    syn = gen.bootstrap_sample(train, train.count(), seed=11).drop("_draw")
+    return mdl.train_real_vs_synthetic(train, test, syn, "quality", "classification")
+
+
+def q_forecast(spark, sf_dir):
+    p = _grid_windows(spark, sf_dir)
+    w = p.windows
+    train = w.where(F.col("split") == "train")
+    syn = seq.window_bootstrap(train, train.count(), seed=42).select("window_id", "values")
+    return seq.forecast_utility(train.select("window_id", "values"), w.where(F.col("split") == "test").select("window_id", "values"),
+                                syn, target_index=0, horizon=2, span=p.scaler.span[0], length=GRID_SPEC.sequence_length)
+
+
+QUERIES.update({
+    "d9_mixed_features_lineitem": q_mixed_features,
+    "d10_mmd_lineitem": lambda spark, sf_dir: mdl.mmd(*_syn_bootstrap_half(spark, sf_dir), cap=500),
+    "d10_mmd_rff_lineitem": lambda spark, sf_dir: mdl.mmd(*_syn_bootstrap_half(spark, sf_dir), cap=None),
+    "d11_discriminator_ensemble_lineitem": lambda spark, sf_dir: mdl.discriminator_ensemble(*_syn_bootstrap_half(spark, sf_dir)),
+    "d12_pca_structure_lineitem": lambda spark, sf_dir: mdl.pca_structure_score(*_syn_bootstrap_half(spark, sf_dir)),
+    "d13_knn_discriminator_lineitem": lambda spark, sf_dir: mdl.knn_discriminator(*_syn_bootstrap_half(spark, sf_dir)),
+    "d14_unsupervised_utility_lineitem": lambda spark, sf_dir: mdl.unsupervised_utility(*_syn_bootstrap_half(spark, sf_dir)),
+    "u7_evaluate_split_labeled_docs": q_evaluate_split,
+    "u7_evaluate_split_regression": q_evaluate_regression,
+    "u8_compare_augmentation": q_compare_augmentation,
+    "u10_cross_validate": q_cross_validate,
+    "u11_train_real_vs_synthetic": q_real_vs_synthetic,
+    "t17_forecast_utility": q_forecast,
+})
