@@ -575,3 +575,32 @@ QUERIES.update({
     "u11_train_real_vs_synthetic": q_real_vs_synthetic,
     "t17_forecast_utility": q_forecast,
 })
+
+
+# ---- end-to-end jobs (R6-R8) -------------------------------------------------
+
+from tabvet.plans import pipeline as pipe  # noqa: E402
+
+
+def q_run_pipeline(spark, sf_dir):
+    df = table(spark, sf_dir, "labeled_docs").drop("doc_id")
+    res = pipe.run_pipeline(df, "quality", candidates=("bootstrap", "gaussian_copula"), group="lang")
+    return res.trials.withColumn("decision", F.lit(res.decision)).withColumn("selected", F.col("candidate") == F.lit(res.selected))
+
+
+def q_run_experiment_tables(spark, sf_dir):
+    df = table(spark, sf_dir, "labeled_docs").drop("doc_id")
+    out = pipe.run_experiment_tables(df, "quality", group="lang")
+    return out["trials"]
+
+
+def q_run_experiment_sequences(spark, sf_dir):
+    out = pipe.run_experiment_sequences(event_grid(spark, sf_dir), GRID_SPEC)
+    return out["gates"].crossJoin(out["summary"])  # two one-row frames
+
+
+QUERIES.update({
+    "r6_run_pipeline_labeled_docs": q_run_pipeline,
+    "r7_run_experiment_tables": q_run_experiment_tables,
+    "r8_run_experiment_sequences": q_run_experiment_sequences,
+})
