@@ -854,3 +854,29 @@ ORACLE.update({
     "s9_preview_orders": PREVIEW,
     "s10_fingerprint_lineitem": FINGERPRINT,
 })
+
+
+# ---- extra oracles: N4 ratio override, T9 windows to rows ----------------------
+
+PLAN_OVERRIDE = """WITH r AS (SELECT count(*) AS rows FROM supplier),
+z AS (SELECT rows, CAST(round_even(CAST(rows AS DOUBLE) * 0.3, 0) AS BIGINT) AS req,
+             greatest(1, CAST(floor(rows * 0.5) AS BIGINT)) AS mx FROM r)
+SELECT 'all' AS segment, least(req, mx) > 0 AS generation_needed, 'small_dataset_expansion' AS generation_mode,
+       CAST(least(greatest(req, 0), mx) AS BIGINT) AS samples_to_generate, CAST(rows AS BIGINT) AS original_rows,
+       CAST(NULL AS VARCHAR) AS target_class, CAST(NULL AS BIGINT) AS current_target_count,
+       CAST(NULL AS BIGINT) AS desired_target_count, CAST(mx AS BIGINT) AS max_allowed_samples, req > mx AS capped,
+       round(least(greatest(req, 0), mx) / greatest(rows, 1), 6) + 0.0 AS augmentation_ratio
+FROM z"""
+
+WINDOWS_TO_ROWS = f"""WITH {SCALE},
+v AS (SELECT * FROM win WHERE split = 'validation'),
+ids AS (SELECT wid, row_number() OVER (ORDER BY wid) - 1 AS i FROM (SELECT DISTINCT wid FROM v))
+SELECT 'synthetic_' || CAST(i AS VARCHAR) AS event_type, TIMESTAMP '2000-01-01 00:00:00' + t * INTERVAL 1 HOUR AS hour,
+       (f0 + 1) / 2 * CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END + lo0 AS n_events,
+       (f1 + 1) / 2 * CASE WHEN hi1 > lo1 THEN hi1 - lo1 ELSE 1.0 END + lo1 AS value_sum
+FROM v JOIN ids USING (wid), st"""
+
+ORACLE.update({
+    "n4_plan_supplier_ratio": PLAN_OVERRIDE,
+    "t9_windows_to_rows": WINDOWS_TO_ROWS,
+})
