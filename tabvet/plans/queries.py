@@ -483,6 +483,8 @@ QUERIES.update({
 # ---- flagship: bootstrap lineitem, then validate it (G1 + F10 + V3 + C3) ----
 
 from tabvet.operators import validation as val  # noqa: E402
+from tabvet.session import cut_lineage  # noqa: E402
+from tabvet.operators.pairs import column_kinds_of  # noqa: E402
 from tabvet.plans.fixtures import PAIR_COLUMNS  # noqa: E402
 
 
@@ -490,8 +492,10 @@ def q_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap half as many rows as the real half of lineitem and report every quality metric."""
     real, _ = lineitem_halves(spark, sf_dir)
     n = max(1, real.count() // 2)
-    syn = gen.bootstrap_sample(real, n, seed=42).drop("_draw")
-    return val.validation_summary(real, syn.select(*PAIR_COLUMNS), seed=42)
+    kinds = column_kinds_of(real)  # one distinct-count pass, shared by generator and metrics
+    # the synthetic table is written once; every metric below reads it
+    syn = cut_lineage(gen.bootstrap_sample(real, n, seed=42, numerical=kinds[0]).drop("_draw").select(*PAIR_COLUMNS))
+    return val.validation_summary(real, syn, seed=42, kinds=kinds)
 
 
 QUERIES["f10_validation_summary_bootstrap"] = q_flagship
