@@ -1,10 +1,12 @@
 """Shared mechanisms: column kinds, long form, distributed prefix sums.
 
-Prefix sums and ranks never use a window without ``partitionBy``: rows are
-range-partitioned on (group, order) so each task holds a contiguous slice, a
-tiny per-slice total table gives offsets, and a window local to each slice
-finishes the running sum.  The range exchange is shared by both branches of
-the plan (Spark reuses the identical exchange), so slice ids agree.
+Prefix sums, ranks, lags and forward fills never use a window without
+``partitionBy``.  A size check first measures the largest group: groups that
+fit one task (<= SINGLE_TASK_ROWS) use a plain per-group window.  Larger ones
+are range-partitioned on (group, order) so each task holds a contiguous slice;
+a per-slice total table gives offsets and a window local to each slice
+finishes the job.  The sliced frame is checkpointed so both consumers agree
+on the slice ids.
 """
 
 from __future__ import annotations
@@ -73,14 +75,16 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
 
 
 # Columns whose sketch estimate exceeds this are certainly above the kind limit
-# (the sketch's relative error is 1 %), so only small ones are counted exactly.
+# (the sketch's relative error is about 5 %), so only small ones are counted exactly.
 EXACT_BELOW = 1000
+SKETCH_RSD = 0.05
 
 
 def kind_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int]:
     """Distinct counts good enough for the 12-value kind rule, cheaply at scale.
 
-    One aggregate of HyperLogLog sketches (merged map-side, no value shuffle);
+    One aggregate of small HyperLogLog sketches (512 registers, merged map-side,
+    no value shuffle);
     columns estimated at <= 1000 values are then counted exactly with the
     long-form group-by.  Large columns keep their estimate: it can only be
     used to say "more than 12".
@@ -88,7 +92,7 @@ def kind_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str
     cols = list(columns) if columns is not None else df.columns
     if not cols:
         return {}
-    row = df.agg(*[F.approx_count_distinct(F.col(c), 0.01).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.approx_count_distinct(F.col(c), SKETCH_RSD).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
     approx = {c: int(row[f"_d{i}"]) for i, c in enumerate(cols)}
     small = [c for c in cols if approx[c] <= EXACT_BELOW]
     exact = distinct_counts(df, small) if small else {}
@@ -159,8 +163,23 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions
     return cut_lineage(sliced)
 
 
+# A key with at most this many rows is processed by one window task (it fits
+# easily in one executor); larger keys go through the range-sliced path.
+SINGLE_TASK_ROWS = 2_000_000
+
+
+def _fits_one_task(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
+    """Size check: is the largest ``keys`` group small enough for one task?"""
+    limit = SINGLE_TASK_ROWS if limit is None else limit
+    if limit <= 0:
+        return False
+    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (biggest or 0) <= limit
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str],
-               next_value: bool = False, partitions: int | None = None) -> DataFrame:
+               next_value: bool = False, partitions: int | None = None,
+               single_task_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``weights`` within ``keys`` ordered by ``order``.
 
     ``order`` must be unique within ``keys`` (aggregate to value counts first).
@@ -168,6 +187,11 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, weights: Sequence
     value within the key, null for the last).  No task ever holds a whole key.
     """
     keys = list(keys)
+    if _fits_one_task(df, keys, single_task_rows):
+        w_key = Window.partitionBy(*keys).orderBy(order)
+        return df.select(*df.columns,
+                         *[F.sum(w).over(w_key.rowsBetween(Window.unboundedPreceding, 0)).alias(f"cum_{w}") for w in weights],
+                         *([F.lead(order).over(w_key).alias(f"next_{order}")] if next_value else []))
     sliced = _slices(df, keys, [order], partitions)
     per_slice = sliced.groupBy("_slice", *keys).agg(
         *[F.sum(w).alias(f"_tot_{w}") for w in weights], F.min(order).alias("_first"))
@@ -192,7 +216,7 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: str, weights: Sequence
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
     """Exact 0-based row_number within ``keys`` by ``order`` without a global sort task.
 
     Ties in ``order`` are broken by a per-row id taken from the input scan;
@@ -201,6 +225,9 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     keys = list(keys)
     tagged = df.withColumn("_one", F.lit(1)).withColumn("_tie", F.monotonically_increasing_id())
     ordcols = list(order) + ["_tie"]
+    if _fits_one_task(df, keys, single_task_rows):
+        w_key = Window.partitionBy(*keys).orderBy(*ordcols)
+        return tagged.select(*df.columns, (F.row_number().over(w_key) - 1).cast("bigint").alias(name))
     sliced = _slices(tagged, keys, ordcols, partitions)
     per_slice = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_tot"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -210,10 +237,12 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return joined.select(*df.columns, (F.col("_rn") - 1 + F.col("_off")).cast("bigint").alias(name))
 
 
-def dense_index(df: DataFrame, order: Sequence[str] | Column, name: str = "_idx") -> DataFrame:
+def dense_index(df: DataFrame, order: Sequence[str] | Column, name: str = "_idx",
+                single_task_rows: int | None = None) -> DataFrame:
     """0..N-1 index in ``order`` (one group); ties only among interchangeable rows."""
     order_cols = [order] if isinstance(order, str) else list(order)
-    return rank_within(df.withColumn("_g", F.lit(0)), ["_g"], order_cols, name).drop("_g")
+    return rank_within(df.withColumn("_g", F.lit(0)), ["_g"], order_cols, name,
+                       single_task_rows=single_task_rows).drop("_g")
 
 
 def expand_counts(df: DataFrame, count_col: str, chunk: int = 4096) -> DataFrame:
@@ -237,7 +266,7 @@ def expand_counts(df: DataFrame, count_col: str, chunk: int = 4096) -> DataFrame
 
 
 def lag_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
     """Previous row's values (``prev_<c>``) within ``keys`` ordered by ``order``.
 
     Skew-safe: rows are range-sliced on (keys, order); the first row of each
@@ -245,6 +274,9 @@ def lag_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[s
     table of O(slices x keys) rows.
     """
     keys = list(keys)
+    if _fits_one_task(df, keys, single_task_rows):
+        w_key = Window.partitionBy(*keys).orderBy(order)
+        return df.select(*df.columns, *[F.lag(c).over(w_key).alias(f"prev_{c}") for c in columns])
     sliced = _slices(df, keys, [order], partitions)
     w = Window.partitionBy("_slice", *keys).orderBy(order)
     local = sliced.select("*", F.row_number().over(w).alias("_pos"),
@@ -258,9 +290,13 @@ def lag_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[s
 
 
 def ffill_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str],
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
     """Forward fill ``columns`` within ``keys`` by ``order`` (leading nulls stay null)."""
     keys = list(keys)
+    if _fits_one_task(df, keys, single_task_rows):
+        w_key = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        others = [c for c in df.columns if c not in columns]
+        return df.select(*others, *[F.last(c, ignorenulls=True).over(w_key).alias(c) for c in columns]).select(*df.columns)
     sliced = _slices(df, keys, [order], partitions)
     w = Window.partitionBy("_slice", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = sliced.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_ff_{c}") for c in columns])
@@ -274,7 +310,8 @@ def ffill_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence
     return joined.select(*others, *[F.coalesce(F.col(f"_ff_{c}"), F.col(f"_carry_{c}")).alias(c) for c in columns]).select(*df.columns)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    single_task_rows: int | None = None) -> DataFrame:
     """numpy-style (linear) quantiles of ``value`` per ``keys``: (keys..., p, q).
 
     Values are reduced to counts; order statistics are located through a
@@ -283,7 +320,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     keys = list(keys)
     spark = df.sparkSession
     vc = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    ps = prefix_sum(vc, keys, "_v", ["_k"])
+    ps = prefix_sum(vc, keys, "_v", ["_k"], single_task_rows=single_task_rows)
     sizes = vc.groupBy(*keys).agg(F.sum("_k").alias("_n"))
     targets = (sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
