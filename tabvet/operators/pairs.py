@@ -41,25 +41,51 @@ def check_flat(df: DataFrame) -> None:
             raise ValueError(f"nested column {f.name!r} ({f.dataType.simpleString()}) is not supported")
 
 
+def _family(dtype: T.DataType) -> str:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType,
+                          T.TimestampType, T.TimestampNTZType)):
+        return "bigint"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double"
+    return "string"
+
+
+def _as_family(c: str, dtype: T.DataType, family: str) -> Column:
+    col = F.col(c)
+    if family == "bigint":
+        if isinstance(dtype, T.DateType):
+            return F.unix_date(col).cast("bigint")
+        if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(col.cast("timestamp"))
+        return col.cast("bigint")
+    if family == "double":
+        return F.when(col == 0, F.lit(0.0)).otherwise(col.cast("double"))  # -0.0 and 0.0 count once
+    return col.cast("string")
+
+
 def distinct_frame(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(col, unique_count): distinct non-null values per column, lazily.
 
-    One long-form (col, text) group-by instead of one count-distinct per
-    column (which would expand every row once per column).  Floating zeros are
-    normalised so -0.0 and 0.0 count once, as in Spark's own distinct.
+    Columns are stacked per type family (integers/booleans/times as bigint,
+    floats as double, the rest as string) and grouped on (col, value): one
+    map-side-combined group-by per family instead of one count-distinct per
+    column (which would expand every row once per column).
     """
     cols = list(columns) if columns is not None else df.columns
     types = schema_types(df)
-
-    def text(c):
-        if isinstance(types[c], (T.FloatType, T.DoubleType)):
-            return F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)).cast("string")
-        return F.col(c).cast("string")
-
-    arr = F.array(*[F.struct(F.lit(c).alias("col"), text(c).alias("s")) for c in cols])
-    long = df.select(F.explode(arr).alias("x")).select("x.col", "x.s").where(F.col("s").isNotNull())
-    return long.groupBy("col", "s").agg(F.count(F.lit(1)).alias("k")).groupBy("col").agg(
-        F.count(F.lit(1)).cast("bigint").alias("unique_count"))
+    out = None
+    for family in ("bigint", "double", "string"):
+        fam = [c for c in cols if _family(types[c]) == family]
+        if not fam:
+            continue
+        arr = F.array(*[F.struct(F.lit(c).alias("col"), _as_family(c, types[c], family).alias("v")) for c in fam])
+        long = df.select(F.explode(arr).alias("x")).select("x.col", "x.v").where(F.col("v").isNotNull())
+        counts = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("col").agg(
+            F.count(F.lit(1)).cast("bigint").alias("unique_count"))
+        out = counts if out is None else out.unionByName(counts)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "col string, unique_count bigint")
+    return out
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> dict[str, int]:
