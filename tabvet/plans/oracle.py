@@ -880,3 +880,73 @@ ORACLE.update({
     "n4_plan_supplier_ratio": PLAN_OVERRIDE,
     "t9_windows_to_rows": WINDOWS_TO_ROWS,
 })
+
+
+# ---- flagship: bootstrap of the real half + validation summary (F10) -----------
+
+def _py(expr: str, d: int) -> str:
+    return op.pyround(expr, d)
+
+
+_FLAG_KEY = "concat_ws(chr(31), " + ", ".join(
+    [_micro(c) for c in ["l_quantity", "l_extendedprice", "net_price", "l_discount", "l_tax"]]
+    + [_vc(c) for c in ["l_linenumber", "l_returnflag", "l_linestatus"]]) + ")"
+
+
+def _noise(col: str) -> str:
+    u1 = _md5u(f"42:n1:{col}", "CAST(d AS VARCHAR)") + " / 4503599627370496.0"
+    u2 = _md5u(f"42:n2:{col}", "CAST(d AS VARCHAR)") + " / 4503599627370496.0"
+    return f"sqrt(-2 * ln(greatest({u1}, 1e-300))) * cos(2 * pi() * {u2})"
+
+
+op.SOURCES["flag_real"] = "(SELECT * EXCLUDE (src) FROM li WHERE src = 0)"
+op.SOURCES["flag_boot"] = "(SELECT * EXCLUDE (src) FROM li WHERE src = 1)"
+op.SCHEMAS["flag_real"] = [("l_quantity", "float"), ("l_extendedprice", "float"), ("net_price", "float"),
+                           ("l_discount", "float"), ("l_tax", "float"), ("l_linenumber", "int"),
+                           ("l_returnflag", "str"), ("l_linestatus", "str")]
+op.SCHEMAS["flag_boot"] = op.SCHEMAS["flag_real"]
+
+_NUMS3 = ["l_quantity", "l_extendedprice", "net_price"]
+_BOOT = f"""
+base AS ({PAIR.split('AS (', 1)[1].rsplit(')', 1)[0]}),
+real AS (SELECT * EXCLUDE (src) FROM base WHERE src = 0),
+st0 AS (SELECT {', '.join(f"stddev_pop({c}) AS sd_{c}, min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in _NUMS3)} FROM real),
+idx AS (SELECT *, row_number() OVER (ORDER BY {_md5u('42:bootstrap_index', _FLAG_KEY)}) - 1 AS i FROM real),
+draws AS (SELECT range AS d, CAST(floor({_md5u('42:draw', 'CAST(range AS VARCHAR)')} / 4503599627370496.0
+                 * (SELECT count(*) FROM real)) AS BIGINT) AS i FROM range((SELECT count(*) FROM real) // 2)),
+z AS (SELECT d, i, {', '.join(f"{_noise(c)} AS z_{c}" for c in _NUMS3)} FROM draws),
+boot AS (SELECT {', '.join(f"least(greatest({c} + z_{c} * 0.01 * sd_{c}, mn_{c}), mx_{c}) AS {c}" for c in _NUMS3)},
+                l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus FROM z JOIN idx USING (i), st0),
+li AS (SELECT *, 0 AS src FROM real UNION ALL SELECT *, 1 AS src FROM boot)"""
+
+
+def _body(sql: str) -> str:
+    """A full statement that starts with 'WITH <PAIR>,' minus the PAIR CTE (it reads our li)."""
+    head = f"WITH {PAIR},"
+    assert sql.startswith(head)
+    return "WITH " + sql[len(head):]
+
+
+FLAGSHIP = f"""WITH {_BOOT}, {NUM_CDF}, {CAT_SHARES},
+ksw AS (SELECT col, {_py('max(abs(F - G))', 6)} AS ks,
+               {_py("sum(abs(F - G) * coalesce(next_v - v, 0.0)) / CASE WHEN max(std_real) IS NULL OR max(std_real) = 0 THEN 1.0 ELSE max(std_real) END", 6)} AS nw
+        FROM cdf2 JOIN rstd USING (col) GROUP BY col HAVING max(na) >= 2 AND max(nb) >= 2),
+tvs AS (SELECT col, {_py('0.5 * sum(abs(p - q))', 6)} AS tv FROM csh GROUP BY col),
+fparts AS (SELECT {_py('least(greatest(1.0 - ks, 0.0), 1.0)', 6)} AS f, 1.0 / (1.0 + nw) AS dd FROM ksw
+           UNION ALL SELECT {_py('least(greatest(1.0 - tv, 0.0), 1.0)', 6)}, least(greatest(1.0 - tv, 0.0), 1.0) FROM tvs),
+marg AS (SELECT {_py('avg(f)', 6)} AS fidelity_score, {_py('avg(dd)', 6)} AS distribution_score FROM fparts),
+cor AS ({_body(CORRELATION_SCORE)}),
+div AS ({_body(DIVERSITY)}),
+prv AS ({_body(PRIVACY_SCORE)}),
+vld AS ({op.validity_sql('flag_real', 'flag_boot')}),
+core AS (SELECT 1 AS o, 'fidelity_score' AS metric, {_py('fidelity_score', 4)} AS value FROM marg
+         UNION ALL SELECT 2, 'distribution_score', {_py('distribution_score', 4)} FROM marg
+         UNION ALL SELECT 3, 'correlation_score', {_py('correlation_score', 4)} FROM cor
+         UNION ALL SELECT 4, 'diversity_score', {_py('diversity_score', 4)} FROM div
+         UNION ALL SELECT 5, 'privacy_score', {_py('privacy_score', 4)} FROM prv)
+SELECT metric, value FROM core
+UNION ALL SELECT 'overall_score', {_py('avg(value)', 4)} FROM core
+UNION ALL SELECT 'passed', CASE WHEN {_py('avg(value)', 4)} >= 0.55 THEN 1.0 ELSE 0.0 END FROM core
+UNION ALL SELECT 'validity_score', validity_score FROM vld"""
+
+ORACLE["f10_validation_summary_bootstrap"] = FLAGSHIP
