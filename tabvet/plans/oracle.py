@@ -950,3 +950,43 @@ UNION ALL SELECT 'passed', CASE WHEN {_py('avg(value)', 4)} >= 0.55 THEN 1.0 ELS
 UNION ALL SELECT 'validity_score', validity_score FROM vld"""
 
 ORACLE["f10_validation_summary_bootstrap"] = FLAGSHIP
+
+
+# ---- V5: sequence distance privacy over the hourly grid windows ----------------
+
+_SEQ_PRIV = f"""WITH {SCALE},
+flat AS (SELECT wid, split, t * 2 + 0 AS pos, f0 AS v FROM win UNION ALL SELECT wid, split, t * 2 + 1, f1 FROM win),
+ids AS (SELECT DISTINCT wid, split FROM win),
+tr_ix AS (SELECT wid, row_number() OVER (ORDER BY {_md5u('42:window_index', 'wid')}, wid) - 1 AS i FROM ids WHERE split = 'train'),
+draws AS (SELECT range AS draw, CAST(floor({_md5u('42:draw', 'CAST(range AS VARCHAR)')} / 4503599627370496.0
+                 * (SELECT count(*) FROM tr_ix)) AS BIGINT) AS i FROM range((SELECT count(*) FROM ids WHERE split = 'test'))),
+boot AS (SELECT 'bootstrap_' || CAST(draw AS VARCHAR) AS wid, tr_ix.wid AS src_wid FROM draws JOIN tr_ix USING (i)),
+bflat AS (SELECT b.wid, f.pos, f.v FROM boot b JOIN flat f ON f.wid = b.src_wid),
+tr_s AS (SELECT wid FROM ids WHERE split = 'train' ORDER BY {_md5u('42:sdp_train', 'wid')}, wid LIMIT 128),
+ho_s AS (SELECT wid FROM ids WHERE split = 'validation' ORDER BY {_md5u('42:sdp_holdout', 'wid')}, wid LIMIT 128),
+ge_s AS (SELECT wid FROM boot ORDER BY {_md5u('42:sdp_syn', 'wid')}, wid LIMIT 128),
+trv AS (SELECT f.wid, f.pos, f.v FROM flat f JOIN tr_s USING (wid)),
+hov AS (SELECT f.wid, f.pos, f.v FROM flat f JOIN ho_s USING (wid)),
+gev AS (SELECT f.wid, f.pos, f.v FROM bflat f JOIN ge_s USING (wid)),
+dsc AS (SELECT pos, CASE WHEN stddev_pop(v) > 1e-8 THEN stddev_pop(v) ELSE 1.0 END AS s FROM trv GROUP BY pos),
+d_gt AS (SELECT a.wid AS a, b.wid AS b, sqrt(sum(pow(a.v / dsc.s - b.v / dsc.s, 2))) / sqrt(48.0) AS d
+         FROM gev a JOIN trv b USING (pos) JOIN dsc USING (pos) GROUP BY 1, 2),
+d_gh AS (SELECT a.wid AS a, b.wid AS b, sqrt(sum(pow(a.v / dsc.s - b.v / dsc.s, 2))) / sqrt(48.0) AS d
+         FROM gev a JOIN hov b USING (pos) JOIN dsc USING (pos) GROUP BY 1, 2),
+to_train AS (SELECT a, min(d) AS d FROM d_gt GROUP BY a),
+to_hold AS (SELECT a, min(d) AS d FROM d_gh GROUP BY a),
+att AS (SELECT 1 AS label, -min(d) AS score FROM d_gt GROUP BY b UNION ALL SELECT 0, -min(d) FROM d_gh GROUP BY b),
+rk AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM att),
+auc AS (SELECT round((sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+              / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 6) + 0.0 AS distance_attack_auc FROM rk),
+tlist AS (SELECT DISTINCT list(v ORDER BY pos) AS vals FROM flat WHERE split = 'train' GROUP BY wid),
+blist AS (SELECT wid, list(v ORDER BY pos) AS vals FROM bflat GROUP BY wid),
+ex AS (SELECT round(count(*) FILTER (WHERE vals IN (SELECT vals FROM tlist)) / count(*), 6) + 0.0 AS exact_training_match_rate FROM blist)
+SELECT exact_training_match_rate,
+       (SELECT round(avg(CASE WHEN d < 0.01 THEN 1.0 ELSE 0.0 END), 6) + 0.0 FROM to_train) AS near_training_match_rate,
+       (SELECT round(median(d), 6) + 0.0 FROM to_train) AS median_distance_to_train,
+       (SELECT round(median(d), 6) + 0.0 FROM to_hold) AS median_distance_to_holdout,
+       distance_attack_auc, CAST(128 AS BIGINT) AS sample_cap
+FROM ex, auc"""
+
+ORACLE["v5_sequence_distance_privacy"] = _SEQ_PRIV
