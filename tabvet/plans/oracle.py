@@ -990,3 +990,38 @@ SELECT exact_training_match_rate,
 FROM ex, auc"""
 
 ORACLE["v5_sequence_distance_privacy"] = _SEQ_PRIV
+
+
+# ---- T18: temporal gates on validation windows vs bootstrapped training windows ----
+
+def _metrics_from(lv_sql: str) -> str:
+    """Per-feature temporal metrics (same columns as SEQ_METRICS) over a given lv(src, wid, t, f, v)."""
+    body = SEQ_METRICS.split("vc AS (SELECT f, v, sum(1 - src)", 1)[1]
+    return f"""lv AS ({lv_sql}),
+wm AS (SELECT src, wid, f, avg(v) AS m FROM lv GROUP BY 1, 2, 3),
+c AS (SELECT lv.*, v - m AS c FROM lv JOIN wm USING (src, wid, f)),
+den AS (SELECT src, wid, f, sum(c * c) AS den FROM c GROUP BY 1, 2, 3),
+vc AS (SELECT f, v, sum(1 - src){body}"""
+
+
+_GATE_LV = """SELECT 0 AS src, wid, t, 0 AS f, f0 AS v FROM win WHERE split = 'validation'
+              UNION ALL SELECT 0, wid, t, 1, f1 FROM win WHERE split = 'validation'
+              UNION ALL SELECT 1, wid, CAST(pos // 2 AS BIGINT), CAST(pos % 2 AS INTEGER), v FROM bflat"""
+
+_PRIV_CTES = _SEQ_PRIV.split("WITH " + SCALE + ",", 1)[1].rsplit("\nSELECT exact_training_match_rate,", 1)[0]
+_TAIL = _SEQ_PRIV.rsplit("\nSELECT exact_training_match_rate,", 1)[1]
+
+TEMPORAL_GATES = f"""WITH {SCALE}, {_PRIV_CTES},
+privacy AS (SELECT exact_training_match_rate,{_TAIL}),
+per AS (WITH {_metrics_from(_GATE_LV)}),
+f AS (SELECT avg(ks_statistic) AS ks, avg(acf_error) AS acf, count(acf_error) AS n_acf, sum(ks_statistic) AS sks,
+             sum(acf_error) AS sacf, count(ks_statistic) AS n_ks FROM per),
+g AS (SELECT list_filter([CASE WHEN exact_training_match_rate > 0.05 THEN 'exact_match' END,
+                          CASE WHEN near_training_match_rate > 0.1 THEN 'near_match' END,
+                          CASE WHEN ks > 0.4 THEN 'marginal_ks' END,
+                          CASE WHEN n_acf = 0 OR acf > 0.3 THEN 'autocorrelation' END], lambda x: x IS NOT NULL) AS failed_gates,
+             round(1.0 / (1.0 + (sks + coalesce(sacf, 0.0)) / (n_ks + n_acf)), 6) + 0.0 AS validation_score
+      FROM f, privacy)
+SELECT failed_gates, len(failed_gates) = 0 AS eligible, validation_score FROM g"""
+
+ORACLE["t18_temporal_gates"] = TEMPORAL_GATES
