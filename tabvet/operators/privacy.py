@@ -191,10 +191,15 @@ def distance_privacy(train: DataFrame, holdout: DataFrame, syn: DataFrame, cap:
     def sample(df, tag):
         return seeded_sample(df.select(*cols).select(*typed), cap, seed, tag)
 
-    real_s, held_s, gen_s = sample(train, "dp_train"), sample(holdout, "dp_holdout"), sample(syn, "dp_syn")
-    arr_real = _literal_array(_bounded_rows(real_s, cap), fields)
-    arr_held = _literal_array(_bounded_rows(held_s, cap), fields)
-    arr_gen = _literal_array(_bounded_rows(gen_s, cap), fields)
+    spark = train.sparkSession
+    rows_real = _bounded_rows(sample(train, "dp_train"), cap)
+    rows_held = _bounded_rows(sample(holdout, "dp_holdout"), cap)
+    rows_gen = _bounded_rows(sample(syn, "dp_syn"), cap)
+    arr_real, arr_held, arr_gen = (_literal_array(r, fields) for r in (rows_real, rows_held, rows_gen))
+    # the probe frames are the collected samples themselves (at most ``cap`` rows each),
+    # so no full scan and top-k is repeated for every use below
+    schema = T.StructType([T.StructField(c, dt) for c, dt in fields])
+    real_s, held_s, gen_s = (spark.createDataFrame(r, schema) for r in (rows_real, rows_held, rows_gen))
     to_train = gen_s.select(_scaled_min(arr_real, cols, num, scales).alias("d"))
     to_hold = gen_s.select(_scaled_min(arr_held, cols, num, scales).alias("d"))
     members = real_s.select(F.lit(1).alias("label"), (-_scaled_min(arr_gen, cols, num, scales)).alias("score"))
