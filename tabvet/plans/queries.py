@@ -583,12 +583,12 @@ QUERIES.update({
 
 # ---- end-to-end jobs (R6-R8) -------------------------------------------------
 
-from tabvet.plans import pipeline as pipe  # noqa: E402
+from tabvet.plans import jobs as pipe  # noqa: E402
 
 
-def q_run_pipeline(spark, sf_dir):
+def q_run_end_to_end(spark, sf_dir):
     df = table(spark, sf_dir, "labeled_docs").drop("doc_id")
-    res = pipe.run_pipeline(df, "quality", candidates=("bootstrap", "gaussian_copula"), group="lang")
+    res = pipe.run_end_to_end(df, "quality", candidates=("bootstrap", "gaussian_copula"), group="lang")
     return res.trials.withColumn("decision", F.lit(res.decision)).withColumn("selected", F.col("candidate") == F.lit(res.selected))
 
 
@@ -604,7 +604,7 @@ def q_run_experiment_sequences(spark, sf_dir):
 
 
 QUERIES.update({
-    "r6_run_pipeline_labeled_docs": q_run_pipeline,
+    "r6_run_end_to_end_labeled_docs": q_run_end_to_end,
     "r7_run_experiment_tables": q_run_experiment_tables,
     "r8_run_experiment_sequences": q_run_experiment_sequences,
 })
