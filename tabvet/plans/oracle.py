@@ -279,11 +279,6 @@ MIXED_SIM = f"""WITH {PAIR}, er AS {_eta('src = 0')}, es AS {_eta('src = 1')}
 {_sim('SELECT abs(round(er.eta, 6) - round(es.eta, 6)) AS d FROM er JOIN es USING (num, cat)', 'mixed_dependency_similarity')}"""
 
 
-def _strip_with(sql: str) -> str:
-    body = sql.split("\n", 1)[1] if sql.startswith("WITH") else sql
-    return body
-
-
 DEPENDENCY = f"""WITH {PAIR},
 r AS ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 0')}), s AS ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 1')}),
 rr AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho FROM r),
@@ -380,10 +375,6 @@ near AS (SELECT round(CASE WHEN count(*) > 0 THEN avg(CASE WHEN d < 0.05 THEN 1.
 
 NEAR_MATCH = f"WITH {PAIR}, {NEAR_CTE} SELECT * FROM near"
 
-PRIVACY_SCORE = f"""WITH {PAIR}, {NEAR_CTE},
-dup AS ({EXACT_MATCH.split(chr(10), 1)[1].replace('WITH ', '', 0)})
-SELECT 1 AS x"""
-
 PRIVACY_SCORE = f"""WITH {PAIR}, {NEAR_CTE},
 r0 AS (SELECT DISTINCT {_COLS} FROM li WHERE src = 0),
 s0 AS (SELECT {_COLS}, count(*) AS m FROM li WHERE src = 1 GROUP BY {_COLS}),
@@ -830,8 +821,7 @@ win AS (SELECT generator FROM fr, mx ORDER BY s - 0.05 * c / m DESC LIMIT 1)
 SELECT generator, generator IN (SELECT generator FROM fr) AS pareto_optimal,
        generator IN (SELECT generator FROM win) AS selected, EXISTS (SELECT 1 FROM t WHERE ok) AS quality_gates_passed FROM t"""
 
-_LI_ROWKEY = _LI_KEY
-FINGERPRINT = f"""SELECT CAST(sum({_md5u_plain}) % 4503599627370496 AS BIGINT) AS dataset_hash""" if False else f"""
+FINGERPRINT = f"""
 SELECT CAST(sum(('0x' || substr(md5({_LI_KEY}), 1, 13))::BIGINT::HUGEINT) % 4503599627370496 AS BIGINT) AS dataset_hash,
        CAST(count(*) AS BIGINT) AS num_rows,
        'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS columns,
