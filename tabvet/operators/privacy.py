@@ -103,10 +103,11 @@ def near_match_rate(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int
     spark = real.sparkSession
     if not fields:
         return spark.createDataFrame([(0.0, 0, 0)], "high_similarity_rate double, close_rows bigint, probed_rows bigint")
-    n_real = real.limit(sample_real).count()
-    n_probe = syn.count() if sample_syn is None else min(sample_syn, syn.limit(sample_syn).count(), real.limit(sample_syn).count())
-    stats = real.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in numerical],
-                     *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in numerical]).first() if numerical else None
+    # one aggregate gives the real row count and the spans of the full real table
+    stats = real.agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in numerical],
+                     *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in numerical]).first()
+    n_real = min(sample_real, int(stats["_n"]))
+    n_probe = syn.count() if sample_syn is None else min(sample_syn, syn.limit(sample_syn).count(), int(stats["_n"]))
     spans = {}
     for c in numerical:
         mn, mx = stats[f"mn_{c}"], stats[f"mx_{c}"]
