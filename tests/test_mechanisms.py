@@ -77,3 +77,14 @@ def test_seeded_uniform_is_stable_and_uniform(spark):
     a = [r.u for r in df.repartition(7).orderBy("u").limit(5).collect()]
     b = [r.u for r in df.coalesce(1).orderBy("u").limit(5).collect()]
     assert a == b
+
+
+def test_sketch_kinds_agree_with_exact_counts(spark):
+    from tabvet.operators.pairs import distinct_counts, kind_counts, kinds_from
+
+    df = spark.range(20000).select((F.col("id") % 12).alias("twelve"), (F.col("id") % 13).alias("thirteen"),
+                                   (F.col("id") * 1.5).alias("wide"), (F.col("id") % 3).cast("string").alias("s"))
+    approx = kind_counts(df)
+    exact = distinct_counts(df)
+    assert approx["twelve"] == 12 and approx["thirteen"] == 13 and approx["s"] == 3
+    assert kinds_from(df, approx) == kinds_from(df, exact) == (["thirteen", "wide"], ["twelve", "s"])
