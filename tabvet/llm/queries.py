@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm import url_filter, warc
+from tabvet.llm import decontaminate, token_ids, url_filter, warc
 from tabvet.llm.common import table
 
 
@@ -13,14 +14,25 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_ids.write_token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_ids.read_token_ids(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc.write_packages(table(spark, sf_dir, "pages"), least_bytes=0)
     return warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     "op7_url_filter": op7_url_filter,
+    "op8_token_ids": op8_token_ids,
     "op9_warc": op9_warc,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE = {
@@ -54,4 +66,26 @@ ORACLE = {
                CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
         FROM d JOIN g USING (hex)""",
+    "op10_decontamination": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        phrase AS (
+            SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS p
+            FROM b, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+        lens AS (SELECT DISTINCT n FROM phrase),
+        grams AS (
+            SELECT doc_id, i, lens.n AS n, array_to_string(ws[i:i + lens.n - 1], ' ') AS p
+            FROM w, lens, unnest(range(1, len(ws) - lens.n + 2)) AS t(i)),
+        hits AS (SELECT g.doc_id, g.i, g.n, phrase.item_id FROM grams g JOIN phrase USING (n, p)),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+        listed AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
 }
