@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabvet.llm.common import shuffle_partitions, slice_bounds, slice_of
 
-K, L, M = 8, 2, 32
+K, L, M = 8, 2, 64
 EMPTY = 0xFFFFFFFF
 _FILL = 0x110000
 #: Elements of one block of hash values, so that it stays in the cache.

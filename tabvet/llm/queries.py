@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm import decontaminate, order_minhash, token_ids, url_filter, warc
+from tabvet.llm import decontaminate, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
 from tabvet.llm.common import table
 
 
@@ -13,6 +13,16 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix_family.repeated_spans(table(spark, sf_dir, "documents"))
+    return suffix_family.without_repeats(spans).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = seed_extend.repeated_spans(table(spark, sf_dir, "documents"))
+    return seed_extend.without_repeats(spans).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -34,6 +44,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
+    "op3_suffix_family": op3_suffix_family,
+    "op5_seed_extend": op5_seed_extend,
     "op7_url_filter": op7_url_filter,
     "op8_token_ids": op8_token_ids,
     "op9_warc": op9_warc,
