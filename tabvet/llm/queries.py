@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabvet.llm import decontaminate, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
+from tabvet.llm import decontaminate, minhash_dedup, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
 from tabvet.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = suffix_family.repeated_spans(table(spark, sf_dir, "documents"))
     return suffix_family.without_repeats(spans).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -30,7 +34,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = token_ids.write_token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return token_ids.read_token_ids(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_ids.read_token_ids(blocks, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_family": op3_suffix_family,
     "op5_seed_extend": op5_seed_extend,
     "op7_url_filter": op7_url_filter,
@@ -53,6 +58,21 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+            FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (
+            SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, w.doc_id = min(other) AS kept
+        FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
     "op7_url_filter": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0
