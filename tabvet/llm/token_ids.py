@@ -34,7 +34,7 @@ from tabvet.llm.common import in_shared_folder, shuffle_partitions, slice_bounds
 MAGIC = b"TIDS1\0\0\0"
 BLOCK_IDS = 4_000_000
 #: Distinct words a worker keeps the ids of; it starts anew beyond.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -131,6 +131,8 @@ class WordEncoder:
     def _part(self, part: str) -> list[int]:
         got = self.parts.get(part)
         if got is None:
+            if len(self.parts) > self.cache_words // 2:
+                self.parts.clear()
             byte_level = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
             got = self.parts[part] = [t.id for t in self.model.tokenize(byte_level)]
         return got
@@ -221,8 +223,8 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids
     return in_shared_folder(dealt.mapInArrow(encode, "slice int, block int, docs bigint, ids bigint, data binary"), "token-ids")
 
 
-def read_token_ids(blocks: DataFrame) -> DataFrame:
-    """One row per document of the written blocks: doc_id, start, n_tokens, ids_crc32, ids.
+def read_token_ids(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """One row per document of the written blocks: doc_id, start, n_tokens, ids_crc32 and, ``with_ids``, ids.
 
     ``start`` counts the ids of all documents before it: sums over the blocks (one
     small row per block), then inside the block.
@@ -235,17 +237,18 @@ def read_token_ids(blocks: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()),
-                            ("ids", pa.list_(pa.int32()))])
+                            *[("ids", pa.list_(pa.int32()))] * with_ids])
         for b in batches:
             for at, block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 ids, counts, keys = decode_block(data.as_buffer())
                 ends = np.cumsum(counts)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32)))
+                         ] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(starts[at, block] + ends - counts), pa.array(counts), pa.array(crc, pa.int64()),
-                     lists], schema=schema)
+                     *lists], schema=schema)
 
     return blocks.select("slice", "block", "data").mapInArrow(
-        decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+        decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
