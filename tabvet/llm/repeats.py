@@ -12,9 +12,8 @@ last window's end. That leaves about two anchors per ``length - gram`` tokens:
 2. ``repeated`` extends the matching runs both ways. Runs with equal stretches match in
    full, all their windows are repeated, and one of them stands for all from here on
    (so ten thousand copies cost as much as two). Where the stretches of one key differ,
-   each different stretch gives the hashes of its single windows, and windows that
-   occur in two stretches are repeated. Everything is counted with partial sums or
-   joined on hashes; nothing pairs the members of a group with one another.
+   one of each is fetched from the texts, and windows that occur in two of them are
+   repeated. Nothing pairs the members of a group with one another.
 3. ``covered`` brings the repeated windows to the documents as spans of tokens.
 
 Equality is judged on 64-bit hashes of whole sequences together with the 64-bit anchor
@@ -36,6 +35,8 @@ from tabvet.llm.order_minhash import mix64
 
 #: Tokens handled at once: short documents together, long ones in overlapping pieces.
 CHUNK = 1 << 18
+#: Different stretches of one key that a single task compares: some megabytes.
+TOGETHER = 4096
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,7 +68,12 @@ class Hashes:
 
 
 def byte_tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _BYTE[data], starts
+    return data, starts
+
+
+def _values(tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit value per token: words are hashes already."""
+    return _BYTE[tokens] if tokens.dtype == np.uint8 else tokens
 
 
 def word_tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +132,7 @@ def _runs(values: np.ndarray, doc_end: np.ndarray, length: int, gram: int) -> tu
     return first, last - first + 1, h[anchor[opens]], hashes.of(first, last + length)
 
 
-def _pieces(values: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
+def _pieces(first: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(document from, to, token from, to): whole documents together up to CHUNK tokens; long documents in pieces
     that overlap by a window less one token."""
     doc, docs = 0, len(first) - 1
@@ -164,10 +170,10 @@ def runs_of(docs: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFram
         for b in batches:
             doc, row = (b.column(i).to_numpy() for i in (0, 1))
             for part in _parts(b.column(2)):
-                values, starts = tokens(part[0], part[1])
-                for d, to, a, z in _pieces(values, starts, length):
+                found, starts = tokens(part[0], part[1])
+                for d, to, a, z in _pieces(starts, length):
                     ends = np.repeat(starts[d + 1:to + 1], np.diff(np.clip(starts[d:to + 1], a, z))) - a
-                    first, windows, key, stretch = _runs(values[a:z], np.minimum(ends, z - a), length, gram)
+                    first, windows, key, stretch = _runs(_values(found[a:z]), np.minimum(ends, z - a), length, gram)
                     of = np.searchsorted(starts, first + a, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(doc[part[2] + of]), pa.array(row[part[2] + of]), pa.array((first + a - starts[of]).astype(np.int32)),
@@ -187,48 +193,106 @@ def _parts(column: pa.Array, most: int = 4 * CHUNK) -> Iterator[tuple[np.ndarray
         at = to
 
 
-def _window_hashes(docs: DataFrame, stretches: DataFrame, tokens: Tokens, length: int) -> DataFrame:
-    """The windows of the given runs: key, hash, doc, row, first, single."""
+def _stretches(docs: DataFrame, runs: DataFrame, tokens: Tokens, length: int) -> DataFrame:
+    """The tokens of the given runs' stretches, fetched in one pass over the texts: key, alone, many, doc, row, first, tokens."""
 
-    def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "row", "first", "key", "hash", "single"]
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "alone", "many", "doc", "row", "first", "tokens"]
         for b in batches:
-            runs, of_runs = b.column(3).flatten(), np.asarray(b.column(3).offsets)
-            first, windows, key, single = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            flat, of = b.column(3).flatten(), np.asarray(b.column(3).offsets)
+            first, windows = (flat.field(i).to_numpy() for i in (0, 1))
             for i in range(b.num_rows):
-                data, starts = text_bytes(b.column(2).slice(i, 1))
-                values, _ = tokens(data, starts)
-                at = slice(of_runs[i] - of_runs[0], of_runs[i + 1] - of_runs[0])
-                n, low = windows[at], int(first[at].min())
-                hashes = Hashes(values[low:int((first[at] + n).max()) + length - 1])
-                place = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                got = hashes.of(place - low, place - low + length)
+                found, _ = tokens(*text_bytes(b.column(2).slice(i, 1)))
+                at = slice(of[i] - of[0], of[i + 1] - of[0])
+                n = at.stop - at.start
+                cut = [found[f:f + w + length - 1].tobytes() for f, w in zip(first[at].tolist(), windows[at].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), b.column(0)[i].as_py())), pa.array(np.full(len(place), b.column(1)[i].as_py())),
-                     pa.array(place.astype(np.int32)), pa.array(np.repeat(key[at], n)), pa.array(got.view(np.int64)),
-                     pa.array(np.repeat(single[at], n))], names=names)
+                    [*(flat.field(k).slice(at.start, n) for k in (2, 3, 4)), pa.array(np.full(n, b.column(0)[i].as_py())),
+                     pa.array(np.full(n, b.column(1)[i].as_py())), pa.array(first[at]), pa.array(cut, pa.binary())], names=names)
 
-    by_doc = stretches.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "windows", "key", "single")).alias("runs"))
+    by_doc = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "windows", "key", "alone", "many")).alias("runs"))
     texts = text_rows(docs).select("doc", "row", "text").join(by_doc, ["doc", "row"])
-    # Identical rows give one stretch each, which stands for both.
-    once = texts.select("doc", "row", "text", "runs")
-    return once.mapInArrow(hash_windows, "doc bigint, row bigint, first int, key bigint, hash bigint, single boolean")
+    return texts.mapInArrow(fetch, "key bigint, alone boolean, many boolean, doc bigint, row bigint, first int, tokens binary")
+
+
+def _window_hashes(rows: pa.Table | pa.RecordBatch, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, number of the row and place of every window of the rows' stretches."""
+    flat, starts = text_bytes(rows.column("tokens").combine_chunks() if isinstance(rows, pa.Table) else rows.column("tokens"))
+    starts, n = starts // width, np.diff(starts) // width - length + 1
+    hashes = Hashes(_values(np.frombuffer(flat.tobytes(), np.uint8 if width == 1 else np.uint64)))
+    of = np.repeat(np.arange(len(n)), n)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = starts[of] + within
+    return hashes.of(at, at + length), of, rows.column("first").to_numpy()[of] + within
+
+
+_SPANS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+
+def _compared(length: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows sorted by key: the windows of stretches that stand alone which also stand in another stretch of the key."""
+
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        hashed, of, place = _window_hashes(rows, length, width)
+        key = rows.column("key").to_numpy().view(np.uint64)[of]
+        _, number, times = np.unique(mix64(key * np.uint64(_B) + hashed), return_inverse=True, return_counts=True)
+        keep = np.flatnonzero((times[number] > 1) & rows.column("alone").to_numpy()[of])
+        of, place = of[keep], place[keep]
+        opens = np.flatnonzero(np.concatenate([[len(of) > 0], (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)]))
+        closes = np.concatenate([opens[1:] - 1, [len(of) - 1]]) if len(of) else opens
+        at = of[opens]
+        return pa.RecordBatch.from_arrays([pa.array(rows.column("doc").to_numpy()[at]), pa.array(rows.column("row").to_numpy()[at]),
+                                           pa.array(place[opens].astype(np.int32)), pa.array(place[closes].astype(np.int32))],
+                                          schema=_SPANS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            now = now if held is None else pa.concat_tables([held, now])
+            key = now.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield judge(now.slice(0, last).combine_chunks())
+            held = now.slice(last)
+        if held is not None and held.num_rows:
+            yield judge(held.combine_chunks())
+
+    return run
+
+
+def repeated(docs: DataFrame, matching: DataFrame, tokens: Tokens, length: int, together: int = TOGETHER) -> DataFrame:
+    """Repeated windows (doc, row, first, last) of the ``matching`` runs, whose keys occur more than once.
 
-def repeated(docs: DataFrame, matching: DataFrame, tokens: Tokens, length: int) -> DataFrame:
-    """Repeated windows (doc, row, first, last) of the ``matching`` runs, whose keys occur more than once."""
-    kinds = matching.groupBy("key", "stretch", "windows").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "row", "first")).alias("at"))
-    kinds = in_shared_folder(kinds, "stretches")
-    copied = (matching.join(kinds.where("n > 1").select("key", "stretch", "windows"), ["key", "stretch", "windows"], "left_semi")
+    Up to ``together`` different stretches of a key are compared in one task; those of a
+    key with more are compared as rows, one per window, which spreads them over all tasks.
+    """
+    width = 8 if tokens is word_tokens else 1
+    same = ["key", "stretch", "windows"]
+    kinds = in_shared_folder(matching.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "row", "first")).alias("at")),
+                             "stretches")
+    copied = (matching.join(kinds.where("n > 1").select(*same), same, "left_semi")
               .select("doc", "row", "first", (F.col("first") + F.col("windows") - 1).alias("last")))
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    apart = kinds.join(mixed, "key", "left_semi").select("at.*", "windows", "key", (F.col("n") == 1).alias("single"))
-    windows = in_shared_folder(_window_hashes(docs, apart, tokens, length), "windows")
-    again = windows.groupBy("key", "hash").agg(F.count("*").alias("n"), F.max("single").alias("any")).where("n > 1 AND any")
-    alone = (windows.where("single").join(again.select("key", "hash"), ["key", "hash"], "left_semi")
-             .select("doc", "row", "first", F.col("first").alias("last")))
-    return copied.unionByName(alone)
+    mixed = in_shared_folder(kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+                             .where("kinds > 1 AND least = 1").select("key", (F.col("kinds") > together).alias("many")), "mixed")
+    apart = kinds.join(mixed, "key").select("at.*", "windows", "key", (F.col("n") == 1).alias("alone"), "many")
+    stretches = in_shared_folder(_stretches(docs, apart, tokens, length), "apart")
+
+    few = (stretches.where("NOT many").select("key", "alone", "doc", "row", "first", "tokens")
+           .repartition("key").sortWithinPartitions("key").mapInArrow(_compared(length, width), "doc bigint, row bigint, first int, last int"))
+
+    def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashed, of, place = _window_hashes(b, length, width)
+            columns = [b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)[of] for n in ("key", "alone", "doc", "row")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(place.astype(np.int32)), pa.array(hashed.view(np.int64))],
+                                             names=["key", "alone", "doc", "row", "first", "hash"])
+
+    rows = stretches.where("many").mapInArrow(by_window, "key bigint, alone boolean, doc bigint, row bigint, first int, hash bigint")
+    again = in_shared_folder(rows.groupBy("key", "hash").agg(F.count("*").alias("n"), F.max("alone").alias("any"))
+                             .where("n > 1 AND any").select("key", "hash"), "again")
+    most = (rows.where("alone").join(again, ["key", "hash"], "left_semi").select("doc", "row", "first", F.col("first").alias("last")))
+    return copied.unionByName(few).unionByName(most)
 
 
 def covered(docs: DataFrame, windows: DataFrame, length: int) -> DataFrame:

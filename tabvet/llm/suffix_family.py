@@ -24,42 +24,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabvet.llm import repeats
-from tabvet.llm.common import in_shared_folder
+from tabvet.llm.common import in_shared_folder, shuffle_partitions
 
 LENGTH, GRAM, BATCHES = 400, 100, 4
 
 
 class SuffixFamily:
-    """Levels of sorted suffix beginnings; ``levels``: (size in batches, table) from large to small."""
+    """Levels of sorted suffix arrays, cut into ``buckets`` by key: rows (bucket, size, keys), size in batches."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.levels: DataFrame | None = None
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Take in a batch (``key`` per suffix); the keys it has in common with a level or twice itself."""
-        array = in_shared_folder(suffixes.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), "suffixes")
-        found = array.where("n > 1").select("key")
-        for _, level in self.levels:
-            found = found.unionByName(array.select("key").join(level, "key", "left_semi"))
-        size, merged = 1, array.select("key")
-        found = in_shared_folder(found.distinct(), "found")
-        while self.levels and self.levels[-1][0] == size:
-            _, equal = self.levels.pop()
-            size, merged = 2 * size, in_shared_folder(equal.unionByName(merged).distinct().sortWithinPartitions("key"), "level")
-        self.levels.append((size, merged))
-        return found
+        """Take in a batch (``key`` per suffix); the keys it has in common with a level, or twice itself."""
+        buckets = self.buckets
+
+        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[np.ndarray] = []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                keys, times = np.unique(np.concatenate(held), return_counts=True)
+                for size, part in ((0, keys), (FOUND, keys[times > 1])):
+                    of = (part % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(of, kind="stable")
+                    cut = np.searchsorted(of[order], np.arange(buckets + 1))
+                    full = np.flatnonzero(np.diff(cut))
+                    yield _level_rows(full.tolist(), [size] * len(full), [part[order[cut[k]:cut[k + 1]]] for k in full])
+
+            for b in batches:
+                held.append(b.column(0).to_numpy().view(np.uint64))
+                if sum(map(len, held)) >= 1 << 20:
+                    yield from flush()
+                    held = []
+            if held:
+                yield from flush()
+
+        def merge_scan(group: pa.Table) -> pa.Table:
+            parts: dict[int, list[np.ndarray]] = {}
+            for size, keys in zip(group.column("size").to_pylist(), group.column("keys").to_pylist(), strict=True):
+                parts.setdefault(size, []).append(np.frombuffer(keys, np.uint64))
+            array, times = np.unique(np.concatenate(parts.pop(0, [np.zeros(0, np.uint64)])), return_counts=True)
+            found = [array[times > 1], *parts.pop(FOUND, [])]
+            found += [np.intersect1d(array, level[0], assume_unique=True) for level in parts.values()]
+            size, out = 1, {k: v[0] for k, v in parts.items()}
+            while size in out:
+                array, size = np.union1d(array, out.pop(size)), 2 * size
+            out = {FOUND: np.unique(np.concatenate(found)), size: array} | out
+            return pa.Table.from_batches([_level_rows([group.column("bucket")[0].as_py()] * len(out), list(out), list(out.values()))])
+
+        schema = "bucket int, size int, keys binary"
+        rows = suffixes.select("key").mapInArrow(arrays, schema)
+        rows = rows if self.levels is None else rows.unionByName(self.levels)
+        state = in_shared_folder(rows.groupBy("bucket").applyInArrow(merge_scan, schema), "suffix-levels")
+        self.levels = state.where(F.col("size") > 0)
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for keys in b.column(0):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys.as_buffer(), np.int64))], names=["key"])
+
+        return state.where(F.col("size") == FOUND).select("keys").mapInArrow(listed, "key bigint")
+
+
+#: In place of a level's size: keys found more than once.
+FOUND = -1
+
+
+def _level_rows(bucket: list[int], size: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(size, pa.int32()),
+                                       pa.array([k.tobytes() for k in keys], pa.binary())], names=["bucket", "size", "keys"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, text, spans of repeated bytes (flat start, end pairs) of every row. Null text: empty, no spans."""
+    spark = docs.sparkSession
     runs = in_shared_folder(repeats.runs_of(docs, repeats.byte_tokens, length, min(gram, length))
                             .withColumn("batch", F.pmod("row", F.lit(batches)).cast("int")), "byte-runs", partition_by="batch")
-    family, found = SuffixFamily(docs.sparkSession), None
+    family, found = SuffixFamily(spark, 4 * shuffle_partitions(spark)), None
     for k in range(batches):
-        keys = family.add(runs.where(F.col("batch") == k).select("key"))
+        keys = family.add(runs.where(F.col("batch") == k))
         found = keys if found is None else found.unionByName(keys)
-    matching = in_shared_folder(runs.drop("batch").join(found.distinct(), "key", "left_semi"), "byte-matches")
+    matching = in_shared_folder(runs.drop("batch").join(found, "key", "left_semi"), "byte-matches")
     return repeats.covered(docs, repeats.repeated(docs, matching, repeats.byte_tokens, length), length)
 
 
