@@ -26,7 +26,7 @@ WINDOW, GRAM = 35, 8
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, text, spans of repeated words (flat start, end pairs) of every row. Null text: empty, no spans."""
     runs = in_shared_folder(repeats.runs_of(docs, repeats.word_tokens, window, min(gram, window)), "word-runs")
-    seeds = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    seeds = in_shared_folder(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "seeds")
     matching = in_shared_folder(runs.join(seeds, "key", "left_semi"), "word-matches")
     return repeats.covered(docs, repeats.repeated(docs, matching, repeats.word_tokens, window), window)
 
