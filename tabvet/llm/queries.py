@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabvet.llm import decontaminate, minhash_dedup, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
+from tabvet.llm import decontaminate, minhash_dedup, mixing, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
 from tabvet.llm.common import table
 
 
@@ -27,6 +28,12 @@ def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_extend.without_repeats(spans).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+                       F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -51,6 +58,7 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_family": op3_suffix_family,
     "op5_seed_extend": op5_seed_extend,
+    "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_token_ids": op8_token_ids,
     "op9_warc": op9_warc,
