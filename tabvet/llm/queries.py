@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabvet.llm import decontaminate, minhash_dedup, mixing, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
+from tabvet.llm import decontaminate, language_crf, minhash_dedup, mixing, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
 from tabvet.llm.common import table
 
 
@@ -23,6 +23,13 @@ def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.without_repeats(spans).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    field = language_crf.learn(docs.where(~language_crf.held_out() & F.col("doc_id").isNotNull()))
+    out = language_crf.identify(docs.select("doc_id", language_crf.held_out().alias("held_out"), "text"), field)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = seed_extend.repeated_spans(table(spark, sf_dir, "documents"))
     return seed_extend.without_repeats(spans).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -57,6 +64,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_suffix_family": op3_suffix_family,
+    "op4_language_crf": op4_language_crf,
     "op5_seed_extend": op5_seed_extend,
     "op6_mixing": op6_mixing,
     "op7_url_filter": op7_url_filter,
