@@ -7,11 +7,10 @@ key; with 50 bands of 5 a pair at Jaccard 0.75 shares no band once in 770,000 ti
 
 Documents with equal sets are folded into one set first. In each bucket all sets are
 compared with its smallest (a star, never all pairs), and the links become components.
-In almost all buckets every set is then in one component and nothing is left to find. The
-sets of the other buckets go through an exact set join: with the shingles ordered from
-rare to frequent, sets of Jaccard >= t share one of their first n - ceil(t n) + 1. Only
-pairs from different components that share such a shingle are compared. Every link is
-confirmed on the full sets (64-bit hashes of the shingles).
+In almost all buckets every set is then in one component and nothing is left to find. In
+the others the sets of different components are compared inside tasks, block by block, and
+only links leave them. Every link is confirmed on the full sets (64-bit hashes of the
+shingles).
 """
 
 from __future__ import annotations
@@ -31,6 +30,8 @@ from tabvet.llm.repeats import CHUNK, Hashes, text_bytes, word_tokens
 SHINGLE_WORDS, PERCENT, BANDS, ROWS = 5, 75, 50, 5
 #: Document ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets of one bucket that are compared with one another in one task.
+BLOCK_SETS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -136,25 +137,66 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
-def _rare_first_pairs(sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles: all that can reach ``percent``."""
-    tokens = in_shared_folder(sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
-    counts = in_shared_folder(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "token-counts")
-    # Shingles of one set only come first in the order and pair nothing; they just use up the prefix.
-    shared = tokens.join(counts, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1
-    take = F.greatest(F.lit(0), length - (F.col("n") - F.size("shared"))).cast("int")
-    prefix = (shared.join(component, "node").where(take > 0)
-              .select("node", "n", "component", F.explode(F.slice("shared", F.lit(1), take)).alias("first"))
-              .select("node", "n", "component", "first.token"))
-    prefix = in_shared_folder(prefix, "prefixes")
-    other = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    fits = (F.col("component") < F.col("component_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-    met = prefix.withColumnRenamed("node", "a").join(other, "token").where(fits)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _links_between(shingles: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the linked pairs of different components among the sets of one block, from a blockwise co-occurrence product."""
+    m = len(sizes)
+    _, number, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    column = (np.cumsum(times > 1) - 1)[number][shared]
+    of, common, width = np.repeat(np.arange(m), sizes)[shared], np.zeros((m, m), np.float32), max(64, (1 << 22) // m)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, z = np.searchsorted(column, (low, low + width))
+        has = np.zeros((m, min(width, int(column[-1]) + 1 - low)), np.float32)
+        has[of[a:z], column[a:z] - low] = 1
+        common += has @ has.T
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    return np.nonzero(np.triu(linked & (component[:, None] != component[None, :]), 1))
+
+
+def _linked_across(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket: members (band, size, node, component).
+
+    A bucket of more than ``block`` sets is cut into blocks, and each two blocks meet in a task
+    of their own. Sets are compared inside the task; only links come out.
+    """
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    spread = members.select("band", "node", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    keyed = spread.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node", "component")
+
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        key, node, component = (rows.column(n).to_numpy() for n in ("key", "node", "component"))
+        lists = rows.column("shingles").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+        ends, cut = ends - ends[0], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i, j = _links_between(flat[ends[low]:ends[high]], np.diff(ends[low:high + 1]), component[low:high], percent)
+            a.append(node[low + i])
+            b.append(node[low + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            key = now.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:
+                yield judge(now.slice(0, last).combine_chunks())
+            held = now.slice(last)
+        if held is not None and held.num_rows:
+            yield judge(held.combine_chunks())
+
+    return (keyed.join(sets, "node").repartition("key").sortWithinPartitions("key").select("key", "node", "component", "shingles")
+            .mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
+                    block: int = BLOCK_SETS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (it is its own) of every row.
 
     Null text and texts without words: empty sets, alone. A null doc_id takes no part: component_id null, kept.
@@ -175,10 +217,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
 
     # A bucket of two is done with its one pair; in the others, sets of different components may still be linked.
     placed = members.where("size > 2").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = in_shared_folder(placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                             .where("low <> high").select("band"), "open")
-    rest = in_shared_folder(placed.join(open_, "band", "left_semi").select("node", "component").distinct(), "rest")
-    more = in_shared_folder(verified(_rare_first_pairs(texts.join(rest.select("node"), "node", "left_semi"), rest, percent), texts, percent), "more")
+    open_ = (placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size"),
+                                        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+             .where("low <> high"))
+    # Buckets of the same sets, made by other bands, are compared once.
+    open_ = in_shared_folder(open_.groupBy("who", "size").agg(F.min("band").alias("band")).select("band"), "open")
+    rest = placed.join(open_, "band", "left_semi").select("band", "size", "node", "component")
+    more = in_shared_folder(_linked_across(rest, texts, percent, block), "more")
     if not more.isEmpty():
         component = in_shared_folder(components(links.unionByName(more)), "components")
 
