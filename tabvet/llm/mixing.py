@@ -16,8 +16,11 @@ source of its own, last. Equal rows are taken each on their own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +128,23 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document, and one row of its further words
     (joined by one space) if it has any. n_chars, where present, follows the text."""
-    plan = mix_plan(docs, **settings)
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("mix_ranges", lambda r: F.slice(F.col("mix_words"), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    whole = plan.where("mix_passes > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_passes").cast("int"))))
-    rest = plan.where(F.size("mix_ranges") > 0).withColumn("mix_words", words).withColumn("text", part)
-    out = whole.select(*docs.columns).unionByName(rest.select(*docs.columns))
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    plan, columns = mix_plan(docs, **settings), docs.columns
+    at = columns.index("text")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, passes, ranges = (b.column(i).to_pylist() for i in (at, len(columns), len(columns) + 1))
+            further = [i for i, r in enumerate(ranges) if r]
+            rest = []
+            for i in further:
+                words = texts[i].encode().split()  # bytes split at the same six characters
+                rest.append(b" ".join(w for r in ranges[i] for w in words[r["from"]:r["to"]]).decode())
+            whole = np.repeat(np.arange(b.num_rows), passes)
+            out = b.select(range(len(columns))).take(pa.array(np.concatenate([whole, np.array(further, np.int64)]).astype(np.int64)))
+            text = pa.concat_arrays([out.column(at).slice(0, len(whole)), pa.array(rest, out.schema.field(at).type)])
+            out = out.set_column(at, out.schema.field(at), text)
+            for low in range(0, out.num_rows, 2000):  # copies would make a batch three times as large
+                yield out.slice(low, 2000)
+
+    out = plan.select(*columns, "mix_passes", "mix_ranges").mapInArrow(expand, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*columns) if "n_chars" in columns else out
