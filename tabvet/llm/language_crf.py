@@ -33,10 +33,12 @@ _TABLES: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For every code point whether it is a letter, and its lower case where that is one code point."""
     if not _TABLES:
-        every = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
-        lower = [x.lower() for x in every]
-        _TABLES.extend([np.array([x.isalpha() for x in every]),
-                        np.array([ord(y) if len(y) == 1 else ord(x) for x, y in zip(every, lower, strict=True)], np.uint32)])
+        letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+        for c in (*range(0xD800), *range(0xE000, 0x110000)):
+            if (x := chr(c)).isalpha():
+                letter[c] = True
+                lower[c] = ord(y) if len(y := x.lower()) == 1 else c
+        _TABLES.extend([letter, lower])
     return _TABLES[0], _TABLES[1]
 
 

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import in_shared_folder, shuffle_partitions, slice_bounds, slice_of
 
 MAGIC = b"TIDS1\0\0\0"
-BLOCK_IDS = 4_000_000
-#: Distinct words a worker keeps the ids of; it starts anew beyond.
-CACHE_WORDS = 500_000
+BLOCK_IDS = 2_000_000
+#: Distinct words a task keeps the ids of; it starts anew beyond.
+CACHE_WORDS = 400_000
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -172,18 +172,8 @@ class WordEncoder:
         self.used, self.known, self.waiting = self.used + total, words, []
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    """The worker's encoder of a tokenizer file; its cache outlives the task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS,
-                    encoder: Callable[[str], WordEncoder] = encoder_of) -> DataFrame:
+                    encoder: Callable[[str], WordEncoder] = WordEncoder) -> DataFrame:
     """Encode ``text`` of every row, append ``end_id``, write blocks in ascending doc_id order; the written table.
 
     Null text: the end id alone. Null doc_ids come first, equal ones by text. An
