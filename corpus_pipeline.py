@@ -1,7 +1,7 @@
 """Corpus pipeline over ``documents``: five stages, each one operator of ``tabvet.llm``.
 
-1. language ID: rows without a recognisable language go (``und``, or a mean word
-   probability below ``LEAST_SCORE``); ``lang`` becomes the predicted language;
+1. language ID: rows without a recognisable language (``und``) go; ``lang`` becomes the
+   predicted language;
 2. MinHash near-dedup: one document of each group stays;
 3. benchmark decontamination: contaminated documents go;
 4. mixing: documents stand as often as the mix takes them, plus one row of further words;
@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabvet.llm import decontaminate, language_crf, minhash_dedup, mixing, token_ids
-from tabvet.llm.common import in_shared_folder, table
-
-LEAST_SCORE = 0.3
+from tabvet.llm.common import in_shared_folder, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     field = language_crf.learn(docs.where(~language_crf.held_out() & F.col("doc_id").isNotNull()))
-    judged = language_crf.identify(docs, field).where((F.col("lang_pred") != language_crf.UND) & (F.col("score") >= LEAST_SCORE))
+    judged = language_crf.identify(docs, field).where(F.col("lang_pred") != language_crf.UND)
     return judged.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 from tabvet.session import checkpoint_dir
 
 
+#: Rows and bytes of one Arrow batch at most: long texts in 10,000 rows would fill a worker's memory.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, where its own bounds aren't lower."""
+    for key, most in _BATCH.items():
+        now = int(spark.conf.get(key, "0") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +35,7 @@ def in_shared_folder(df: DataFrame, name: str, partition_by: str | None = None)
     costs no recomputation of what stands before.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
