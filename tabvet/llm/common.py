@@ -18,8 +18,8 @@ _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execu
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, where its own bounds aren't lower."""
     for key, most in _BATCH.items():
-        now = int(spark.conf.get(key, "0") or 0)
-        if now <= 0 or now > most:
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
 
 
