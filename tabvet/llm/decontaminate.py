@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabvet.llm.common import in_shared_folder, strings
+from tabvet.llm.common import in_shared_folder, strings, tidy
 
 WINDOW_WORDS = 13
 SHARD_WORDS = 200_000
@@ -86,7 +86,7 @@ def build_index(docs: DataFrame, terms: list[bytes], shard_words: int = SHARD_WO
             sorted_ids = stream[order]
             order = order[:np.searchsorted(sorted_ids, absent)].astype("<i4")
             found, first = np.unique(sorted_ids[:len(order)], return_index=True)
-            lists = [order[a:z].tobytes() for a, z in zip(first, [*first[1:], len(order)], strict=True)]
+            lists = [order[a:z].tobytes() for a, z in zip(first, [*first[1:], len(order)][:len(first)], strict=True)]
             key = np.array([0 if k is None else k for k in keys], "<i8").tobytes() + bytes(k is None for k in keys)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard] * (len(found) + 2), pa.int64()), pa.array([_KEYS, _STARTS, *found.tolist()], pa.int32()),
@@ -105,7 +105,7 @@ def build_index(docs: DataFrame, terms: list[bytes], shard_words: int = SHARD_WO
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return in_shared_folder(rows.mapInArrow(post, "shard bigint, term int, data binary"), "postings")
+    return in_shared_folder(rows.mapInArrow(tidy(post), "shard bigint, term int, data binary"), "postings")
 
 
 def _shard(group: pa.Table) -> tuple[dict[int, np.ndarray], list[int | None], np.ndarray]:

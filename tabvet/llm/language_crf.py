@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabvet.llm.common import tidy
+
 SAMPLE_DOCS, SAMPLE_CHARS, CHAIN, BUCKETS = 300, 50_000, 64, 1 << 15
 UND = "und"
 _CHUNK_CHARS = 1 << 17
@@ -126,8 +128,10 @@ class LanguageField:
     def fit(self, texts: list[str], labels: list[int], chains: int = 4000, epochs: int = 5, rate: float = 0.3) -> LanguageField:
         """Adagrad on the log-likelihood of ``chains`` chains; half of them switch from one language to another."""
         rng, n = np.random.default_rng(self.seed), len(self.languages)
+        if not texts or not n:
+            return self
         w = Words(texts)
-        label = np.repeat(labels, np.diff(w.first))
+        label = np.repeat(np.asarray(labels, np.int64), np.diff(w.first))
         every, number = np.unique(w.word, return_inverse=True)
         votes = np.zeros((len(every), n))
         np.add.at(votes, (number, label), 1)
@@ -243,4 +247,4 @@ def identify(docs: DataFrame, field: LanguageField) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*b.schema.names, "lang_pred", "score"])
 
-    return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return out.mapInArrow(tidy(run), T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import in_shared_folder
+from tabvet.llm.common import in_shared_folder, tidy
 from tabvet.llm.components import components
 from tabvet.llm.order_minhash import mix64
 from tabvet.llm.repeats import CHUNK, Hashes, text_bytes, word_tokens
@@ -81,7 +81,7 @@ def _set_parts(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
     data, starts = text_bytes(column)
     at = 0
     while at < len(starts) - 1:
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + 4 * CHUNK, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK, side="right")) - 1)
         yield shingle_sets(data[starts[at]:starts[to]], starts[at:to + 1] - starts[at], words)
         at = to
 
@@ -108,7 +108,7 @@ def signed(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, rows
                 at += len(n)
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
+    return texts.mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int = SHINGLE_WORDS) ->
 
     ids = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(ids, "node", "left_semi").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return texts.join(ids, "node", "left_semi").mapInArrow(tidy(run), "node bigint, shingles array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -192,7 +192,7 @@ def _linked_across(members: DataFrame, sets: DataFrame, percent: int, block: int
             yield judge(held.combine_chunks())
 
     return (keyed.join(sets, "node").repartition("key").sortWithinPartitions("key").select("key", "node", "component", "shingles")
-            .mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            .mapInArrow(tidy(run), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import in_shared_folder
+from tabvet.llm.common import in_shared_folder, tidy
 
 WEIGHTS, MOST, BLOCK, SEED = (1, 2, 3), 3, 16, 11
 SHARD_WORDS, SHARDS, GROUPS = 65_536, 4096, 4096
@@ -146,5 +146,5 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
             for low in range(0, out.num_rows, 2000):  # copies would make a batch three times as large
                 yield out.slice(low, 2000)
 
-    out = plan.select(*columns, "mix_passes", "mix_ranges").mapInArrow(expand, docs.schema)
+    out = plan.where("mix_taken > 0").select(*columns, "mix_passes", "mix_ranges").mapInArrow(tidy(expand), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*columns) if "n_chars" in columns else out

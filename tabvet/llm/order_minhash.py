@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import shuffle_partitions, slice_bounds, slice_of
+from tabvet.llm.common import shuffle_partitions, slice_bounds, slice_of, tidy
 
 K, L, M = 8, 2, 64
 EMPTY = 0xFFFFFFFF
@@ -61,7 +61,7 @@ class OrderMinHash:
                 total = piece if total is None else total * power + piece
                 done += width
             if done < self.k:
-                h, width, power = h[:-width] * power + h[width:], 2 * width, power * power
+                h, width, power = h[:-width] * power + h[width:], 2 * width, np.uint64(pow(int(power), 2, 1 << 64))
         return mix64(total) if n else np.zeros(0, np.uint64)
 
     def numbered(self, kmers: np.ndarray) -> np.ndarray:
@@ -115,8 +115,7 @@ def fingerprints(docs: DataFrame, make: OrderMinHash | None = None) -> DataFrame
                 [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([to_hex(make.coordinates(x)) for x in texts])],
                 names=["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, n_chars bigint, fingerprint string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, fingerprint string")
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -175,7 +174,7 @@ def edit_report(docs: DataFrame, make: OrderMinHash | None = None,
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _REPORT, strict=True)]
                                              if out else [pa.array([], f.type) for f in _REPORT], schema=_REPORT)
 
-    return rows.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
                                 "edited_fingerprint string, near_edited double, near_next double")
 
 

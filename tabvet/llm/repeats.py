@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import in_shared_folder
+from tabvet.llm.common import in_shared_folder, tidy
 from tabvet.llm.order_minhash import mix64
 
 #: Tokens handled at once: short documents together, long ones in overlapping pieces.
@@ -90,7 +90,7 @@ def word_tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     closes[edge - 1] = inside[edge - 1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     while at < len(begin):
-        to = max(at + 1, int(np.searchsorted(end, begin[at] + 4 * CHUNK)))
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + CHUNK)))
         a, z = begin[at], end[to - 1]
         out.append(Hashes(_BYTE[data[a:z]]).of(begin[at:to] - a, end[at:to] - a))
         at = to
@@ -180,10 +180,10 @@ def runs_of(docs: DataFrame, tokens: Tokens, length: int, gram: int) -> DataFram
                          pa.array(windows.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(stretch.view(np.int64))],
                         names=["doc", "row", "first", "windows", "key", "stretch"])
 
-    return text_rows(docs).select("doc", "row", "text").mapInArrow(run, RUN)
+    return text_rows(docs).select("doc", "row", "text").mapInArrow(tidy(run), RUN)
 
 
-def _parts(column: pa.Array, most: int = 4 * CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _parts(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """A text column in parts of about ``most`` bytes: bytes, starts, number of the first text."""
     data, starts = text_bytes(column)
     at = 0
@@ -212,7 +212,7 @@ def _stretches(docs: DataFrame, runs: DataFrame, tokens: Tokens, length: int) ->
 
     by_doc = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "windows", "key", "alone", "many")).alias("runs"))
     texts = text_rows(docs).select("doc", "row", "text").join(by_doc, ["doc", "row"])
-    return texts.mapInArrow(fetch, "key bigint, alone boolean, many boolean, doc bigint, row bigint, first int, tokens binary")
+    return texts.mapInArrow(tidy(fetch), "key bigint, alone boolean, many boolean, doc bigint, row bigint, first int, tokens binary")
 
 
 def _window_hashes(rows: pa.Table | pa.RecordBatch, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,7 +288,7 @@ def repeated(docs: DataFrame, matching: DataFrame, tokens: Tokens, length: int,
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(place.astype(np.int32)), pa.array(hashed.view(np.int64))],
                                              names=["key", "alone", "doc", "row", "first", "hash"])
 
-    rows = stretches.where("many").mapInArrow(by_window, "key bigint, alone boolean, doc bigint, row bigint, first int, hash bigint")
+    rows = stretches.where("many").mapInArrow(tidy(by_window), "key bigint, alone boolean, doc bigint, row bigint, first int, hash bigint")
     again = in_shared_folder(rows.groupBy("key", "hash").agg(F.count("*").alias("n"), F.max("alone").alias("any"))
                              .where("n > 1 AND any").select("key", "hash"), "again")
     most = (rows.where("alone").join(again, ["key", "hash"], "left_semi").select("doc", "row", "first", F.col("first").alias("last")))

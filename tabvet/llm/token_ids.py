@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import in_shared_folder, shuffle_partitions, slice_bounds, slice_of
+from tabvet.llm.common import in_shared_folder, shuffle_partitions, slice_bounds, slice_of, tidy
 
 MAGIC = b"TIDS1\0\0\0"
 BLOCK_IDS = 2_000_000
@@ -147,6 +147,8 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         if len(self.numbers) > self.cache_words:
             self.clear()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         # Lower-casing early is the same only where it goes letter by letter.
         simple = text.isascii() or not _UNUSUAL.search(text)
         numbers = np.fromiter(map(self.numbers.__getitem__, (text.lower() if simple else text).split()), np.int64)
@@ -210,7 +212,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids
         if counts:
             yield flush()
 
-    return in_shared_folder(dealt.mapInArrow(encode, "slice int, block int, docs bigint, ids bigint, data binary"), "token-ids")
+    return in_shared_folder(dealt.mapInArrow(tidy(encode), "slice int, block int, docs bigint, ids bigint, data binary"), "token-ids")
 
 
 def read_token_ids(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -240,5 +242,4 @@ def read_token_ids(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
                     [pa.array(keys, pa.int64()), pa.array(starts[at, block] + ends - counts), pa.array(counts), pa.array(crc, pa.int64()),
                      *lists], schema=schema)
 
-    return blocks.select("slice", "block", "data").mapInArrow(
-        decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return blocks.select("slice", "block", "data").mapInArrow(tidy(decode), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
