@@ -40,7 +40,9 @@ def stable_value(col: Column, dtype: T.DataType) -> Column:
     booleans to 0/1, so a row key hashes the same in both engines.
     """
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.round(col.cast("double") * F.lit(1_000_000.0)).cast("bigint").cast("string")
+        value = col.cast("double")
+        micro = F.round(value * F.lit(1_000_000.0)).cast("bigint").cast("string")
+        return F.when(F.abs(value) < 9e12, micro).otherwise(value.cast("string"))  # larger values, infinities and NaN as text
     if isinstance(dtype, T.TimestampType) or isinstance(dtype, T.TimestampNTZType):
         return F.unix_micros(col.cast("timestamp")).cast("string")
     if isinstance(dtype, T.DateType):

@@ -119,9 +119,3 @@ def group_fairness(df: DataFrame, y: str, yhat: str, group: str, task_type: str
     return m.crossJoin(gap).select(  # gap is one row
         F.col("_g").alias("group"), F.col("n").cast("double").alias("n"), r6(F.col("f1")).alias("f1"),
         r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"), r6(F.col("max_gap")).alias("max_gap"))
-
-
-def best_of(metrics: DataFrame, value: str, window_by: str) -> DataFrame:
-    """Helper: row with the largest ``value`` per ``window_by`` (ties: first by name)."""
-    w = Window.partitionBy(window_by).orderBy(F.col(value).desc())
-    return metrics.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

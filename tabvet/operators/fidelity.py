@@ -247,8 +247,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Full symmetric matrix rows (row_col, col_col, correlation) incl. diagonal."""
     pairs = pearson_pairs(df, columns)
     spark = df.sparkSession
-    diag = spark.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, rho double")
-    # diagonal of a constant column is undefined in pandas -> 0
+    varies = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
+    # the correlation of a constant column with itself is undefined -> 0
+    diag = spark.createDataFrame([(c, c, 1.0 if varies[c] else 0.0) for c in columns], "a string, b string, rho double")
     full = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
     return full.unionByName(diag).select(F.col("a").alias("row_column"), F.col("b").alias("column_name"),
                                          r6(F.col("rho")).alias("correlation"))

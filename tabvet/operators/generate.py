@@ -26,7 +26,6 @@ from tabvet.operators.pairs import (INTEGER_TYPES, column_kinds_of, dense_index,
 # Relative noise of the bootstrap and copula grid resolution.
 BOOTSTRAP_NOISE = 0.01
 COPULA_GRID = 1000
-MAX_CONDITION_TRIES = 1000
 MAX_COPULA_CATEGORIES = 50_000
 
 

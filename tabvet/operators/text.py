@@ -57,23 +57,21 @@ def rules_frame(spark, rules: Mapping[str, Mapping[str, str]]) -> DataFrame:
 def text_consistency(df: DataFrame, text_col: str, rules: DataFrame, id_col: str) -> DataFrame:
     """X2 per record: matched fields, violations, consistent flag.
 
-    Record fields are unpivoted and inner-joined to the rule table (rules are
-    user-sized, so the join goes broadcast); a rule matches when its expected
-    text occurs case-insensitively in the record's text.
+    The rules become one row, a map from field and value to the rule, which every record
+    looks its own fields up in; records are neither shuffled nor joined back, so repeated
+    ids keep their own results. A rule matches when its expected text occurs
+    case-insensitively in the record's text. Of repeated rules one counts.
     """
     fields = [r["field"] for r in rules.select("field").distinct().collect() if r["field"] in df.columns]
-    base = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text"), *fields)
-    if fields:
-        long = base.select("_id", "_text", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
-                                                              for f in fields])).alias("x")).select("_id", "_text", "x.*")
-        hits = long.join(F.broadcast(rules), ["field", "value"]).withColumn(
-            "hit", F.col("_text").contains(F.lower(F.col("expected_text"))))
-        per = hits.groupBy("_id").agg(
-            F.sort_array(F.collect_list(F.when(F.col("hit"), F.col("field")))).alias("matched_fields"),
-            F.sort_array(F.collect_list(F.when(~F.col("hit"), F.struct("field", "value", "expected_text")))).alias("violations"))
-        out = base.select("_id").join(per, "_id", "left")
-    else:
-        out = base.select("_id").withColumn("matched_fields", F.lit(None)).withColumn("violations", F.lit(None))
+    rule = "struct<field:string,value:string,expected_text:string>"
+    entry = F.struct(F.concat_ws("\u001f", "field", "value").alias("k"), F.struct("field", "value", "expected_text").cast(rule).alias("v"))
+    table = rules.dropDuplicates(["field", "value"]).agg(F.map_from_entries(F.collect_list(entry)).alias("_rules"))
+    base = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_text"), *fields).crossJoin(F.broadcast(table))
+    own = [F.try_element_at("_rules", F.concat(F.lit(f"{f}\u001f"), F.col(f).cast("string"))) for f in fields]
+    base = base.withColumn("_own", F.array_compact(F.array(*own)) if own else F.array().cast(f"array<{rule}>"))
+    stands = lambda r: F.col("_text").contains(F.lower(r["expected_text"]))
+    out = base.select("_id", F.sort_array(F.transform(F.filter("_own", stands), lambda r: r["field"])).alias("matched_fields"),
+                      F.sort_array(F.filter("_own", lambda r: ~stands(r))).alias("violations"))
     empty_m = F.array().cast("array<string>")
     empty_v = F.array().cast("array<struct<field:string,value:string,expected_text:string>>")
     return out.select(F.col("_id").alias(id_col), F.coalesce("matched_fields", empty_m).alias("matched_fields"),
