@@ -119,10 +119,32 @@ def probit(p: Column) -> Column:
     return F.when(p < _P_LOW, low).when(p > 1 - _P_LOW, high).otherwise(mid)
 
 
+# Coefficients of J. F. Hart's published rational approximation of
+# the normal tail (absolute error near 1e-15).
+_HART_NUMERATOR = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383,
+                   112.079291497871, 221.213596169931, 220.206867912376)
+_HART_DENOMINATOR = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461,
+                     296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+_HART_LIMIT = 7.07106781186547
+
+
 def norm_cdf(z: Column) -> Column:
-    """Standard normal CDF (Abramowitz & Stegun 7.1.26 erf, error < 1.5e-7)."""
-    x = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
-    poly = _poly((1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592), t) * t
-    erf = F.lit(1.0) - poly * F.exp(-x * x)
-    return F.lit(0.5) * (F.lit(1.0) + F.when(z >= 0, erf).otherwise(-erf))
+    """Standard normal CDF: a rational tail (Hart), beyond 7.07 a continued fraction."""
+    x = F.abs(z)
+    density = F.exp(x * x * F.lit(-0.5))
+    fraction = x + F.lit(0.65)
+    for step in (4.0, 3.0, 2.0, 1.0):
+        fraction = x + F.lit(step) / fraction
+    far = density / (fraction * F.lit(math.sqrt(2.0 * math.pi)))
+    near = density * _poly(_HART_NUMERATOR, x) / _poly(_HART_DENOMINATOR, x)
+    tail = F.when(x < _HART_LIMIT, near).otherwise(far)
+    return F.when(z > 0, F.lit(1.0) - tail).otherwise(tail)
+
+
+def probit_step(z: Column, p: Column) -> Column:
+    """One Halley step from ``z`` towards the inverse normal CDF of ``p``.
+
+    ``z`` should be a materialised column (an earlier select), it is used many times.
+    """
+    u = (norm_cdf(z) - p) * F.lit(math.sqrt(2.0 * math.pi)) * F.exp(z * z / F.lit(2.0))
+    return z - u / (F.lit(1.0) + z * u / F.lit(2.0))

@@ -14,14 +14,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabvet.functions.exprs import as_category, box_muller, norm_cdf, probit, row_key, seeded_uniform
+from tabvet.functions.exprs import as_category, box_muller, norm_cdf, probit, probit_step, row_key, seeded_uniform
 from tabvet.session import cut_lineage
 from tabvet.operators.pairs import (INTEGER_TYPES, column_kinds_of, dense_index, distinct_counts, is_numeric_type,
-                                    kinds_from, long_categorical, long_numeric, prefix_sum, schema_types)
+                                    kinds_from, long_categorical, long_numeric, prefix_sum, rank_within, schema_types)
 
 # Relative noise of the bootstrap and copula grid resolution.
 BOOTSTRAP_NOISE = 0.01
@@ -55,7 +56,7 @@ def bootstrap_sample(df: DataFrame, n: int, seed: int = 42, where: dict | None =
     the full table, even when ``where`` restricts the source rows.
     """
     if n <= 0:
-        raise GeneratorError("num_samples must be greater than zero.")
+        raise GeneratorError("asked for no rows")
     spark = df.sparkSession
     types = schema_types(df)
     if numerical is None:
@@ -67,8 +68,8 @@ def bootstrap_sample(df: DataFrame, n: int, seed: int = 42, where: dict | None =
     m = source.count()
     if m == 0:
         if where:
-            raise GeneratorError(f"No rows available for condition {where!r}.")
-        raise GeneratorError("Cannot bootstrap an empty dataframe.")
+            raise GeneratorError(f"no row meets {where!r}")
+        raise GeneratorError("nothing to draw from: the table is empty")
     keyed = source.withColumn("_u", seeded_uniform(seed, row_key(source), "bootstrap_index"))
     indexed = dense_index(keyed, ["_u"], "_idx").drop("_u")
     draws = spark.range(int(n)).select(
@@ -310,64 +311,110 @@ class CodecState:
     categorical: list[str]
     medians: dict[str, float]
     grids: dict[str, list[float]]
-    vocab: dict[str, list[str | None]]
+    flagged: list[str]              # numeric columns with missing values: these carry a flag
+    vocabulary: DataFrame           # (col, v, code), code = 0.. in value order, null last
+    sizes: dict[str, int]           # categories per column
+
+
+def _missing(df: DataFrame, c: str) -> Column:
+    x = F.col(c).cast("double")
+    return x.isNull() | F.isnan(x)
+
+
+def _vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(col, v, code): the distinct values of each column, numbered on the executors."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "col string, v string, code bigint")
+    wide = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    values = wide.unpivot([], list(columns), "col", "v").distinct().withColumn("_null", F.col("v").isNull())
+    return cut_lineage(rank_within(values, ["col"], ["_null", "v"], "code").select("col", "v", "code"))
+
+
+def _grid_position(grid: list[float], x: Column, bucket: Column) -> Column:
+    """Place of x on the grid's index axis: linear between neighbouring knots, the middle of
+    its run for a value that holds several knots, the ends beyond them."""
+    knots = sorted(set(grid))
+    first = {v: i for i, v in reversed(list(enumerate(grid)))}
+    last = {v: i for i, v in enumerate(grid)}
+    m = len(knots)
+    values = F.lit(knots)
+    middles = F.lit([(first[v] + last[v]) / 2.0 for v in knots])
+    lasts = F.lit([float(last[v]) for v in knots])
+    at = F.least(F.greatest(bucket, F.lit(1)), F.lit(m))
+    lo, hi = F.element_at(values, at), F.element_at(values, F.least(at + 1, F.lit(m)))
+    middle = F.element_at(middles, at)
+    return F.when((x <= lo) | (bucket >= m), middle).otherwise(F.element_at(lasts, at) + (x - lo) / (hi - lo))
 
 
 def mixed_encode(df: DataFrame, quantiles: int = COPULA_GRID) -> tuple[DataFrame, CodecState]:
-    """Numeric (> 12 distinct): median fill, quantile -> normal, plus a missing flag;
-    everything else: vocabulary index (null is a value, first-seen = sorted order here)."""
+    """Numeric columns (> 12 distinct) as normal scores, all others as vocabulary codes.
+
+    Missing numbers (null, NaN) take the median, and columns that have some get a
+    ``<column>__missing`` flag.  A score is the probit of the place between two knots of a
+    quantile grid (a mergeable sketch with the exact ends), found by binary search, so the
+    map is strictly monotone and decoding gives the value back to double precision.  The
+    vocabulary (null is a value) stays a table that is joined, whatever its size.
+    """
     types = schema_types(df)
-    numeric, categorical = column_kinds_of(df)
+    numeric, _ = column_kinds_of(df)
     numeric = [c for c in numeric if not isinstance(types[c], T.BooleanType)]
     categorical = [c for c in df.columns if c not in numeric]
-    k = max(2, min(quantiles, df.count()))
-    probs = [i / (k - 1) for i in range(k)]
-    grids, medians = {}, {}
+    grids, medians, flagged = {}, {}, []
     if numeric:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10000).alias(f"g_{c}") for c in numeric],
-                     *[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(f"m_{c}") for c in numeric]).first()
-        grids = {c: [float(x) for x in row[f"g_{c}"]] for c in numeric}
-        medians = {c: float(row[f"m_{c}"]) if row[f"m_{c}"] is not None else 0.0 for c in numeric}
-    vocab = {}
-    for c in categorical:
-        vals = [r[0] for r in df.select(F.col(c).cast("string")).distinct().collect()]
-        vocab[c] = sorted(vals, key=lambda v: (v is None, v))
-    out = []
-    for c in numeric:
-        x = F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))
-        g = grids[c]
-        arr = F.array(*[F.lit(v) for v in g])
-        # fraction of grid points <= x, interpolated -> probit
-        below = F.size(F.filter(arr, lambda e: e <= x))
-        u = (below.cast("double") - F.lit(0.5)) / F.lit(float(len(g)))
-        out += [probit(u).alias(c), F.col(c).isNull().cast("double").alias(f"{c}__missing")]
-    for c in categorical:
-        arr = F.array(*[F.lit(v) for v in vocab[c]])
-        idx = F.array_position(arr, F.col(c).cast("string")) - 1
-        null_idx = vocab[c].index(None) if None in vocab[c] else -1
-        out.append(F.when(F.col(c).isNull(), F.lit(null_idx)).otherwise(idx).cast("int").alias(c))
+        present = {c: F.when(~_missing(df, c), F.col(c).cast("double")) for c in numeric}
+        k = max(2, min(quantiles, df.count()))
+        probs = [i / (k - 1) for i in range(k)]
+        row = df.agg(*[F.percentile_approx(x, probs + [0.5], 10000).alias(f"g_{c}") for c, x in present.items()],
+                     *[F.min(x).alias(f"lo_{c}") for c, x in present.items()],
+                     *[F.max(x).alias(f"hi_{c}") for c, x in present.items()],
+                     *[F.count_if(_missing(df, c)).alias(f"n_{c}") for c in numeric]).first()
+        for c in numeric:
+            *knots, medians[c] = (float(x) for x in row[f"g_{c}"])
+            grids[c] = [float(row[f"lo_{c}"]), *knots[1:-1], float(row[f"hi_{c}"])]
+        flagged = [c for c in numeric if row[f"n_{c}"]]
+    vocabulary = _vocabulary(df, categorical)
+    sizes = {r["col"]: int(r["count"]) for r in vocabulary.groupBy("col").count().collect()}
     state = CodecState(list(df.columns), {c: types[c].simpleString() for c in df.columns}, numeric, categorical,
-                       medians, grids, vocab)
-    return df.select(*out), state
+                       medians, grids, flagged, vocabulary, sizes)
+    # staged projections (x -> bucket -> u -> z), so that no stage is inlined many times
+    kept = [F.col(f"_m{i}") for i, c in enumerate(numeric) if c in flagged] + [F.col(f"_c{j}") for j in range(len(categorical))]
+    work = df.select(
+        *[F.when(_missing(df, c), F.lit(medians[c])).otherwise(F.col(c).cast("double")).alias(f"_x{i}") for i, c in enumerate(numeric)],
+        *[_missing(df, c).cast("double").alias(f"_m{i}") for i, c in enumerate(numeric) if c in flagged],
+        *[F.col(c).cast("string").alias(f"_c{j}") for j, c in enumerate(categorical)])
+    if numeric:
+        ids = range(len(numeric))
+        work = Bucketizer(inputCols=[f"_x{i}" for i in ids], outputCols=[f"_b{i}" for i in ids],
+                          splitsArray=[[-math.inf, *sorted(set(grids[c])), math.inf] for c in numeric]).transform(work)
+        work = work.select(*[((_grid_position(grids[c], F.col(f"_x{i}"), F.col(f"_b{i}").cast("int")) + F.lit(0.5))
+                              / F.lit(float(len(grids[c])))).alias(f"_u{i}") for i, c in enumerate(numeric)], *kept)
+        work = work.select("*", *[probit(F.col(f"_u{i}")).alias(f"_s{i}") for i in ids])
+        work = work.select(*[probit_step(F.col(f"_s{i}"), F.col(f"_u{i}")).alias(f"_z{i}") for i in ids], *kept)
+    for j, c in enumerate(categorical):
+        codes = vocabulary.where(F.col("col") == c).select(F.col("v").alias(f"_v{j}"), F.col("code").alias(f"_k{j}"))
+        work = work.join(codes, F.col(f"_c{j}").eqNullSafe(F.col(f"_v{j}")), "left").drop(f"_c{j}", f"_v{j}")
+    out = []
+    for i, c in enumerate(numeric):
+        out += [F.col(f"_z{i}").alias(c)] + ([F.col(f"_m{i}").alias(f"{c}__missing")] if c in flagged else [])
+    return work.select(*out, *[F.col(f"_k{j}").alias(c) for j, c in enumerate(categorical)]), state
 
 
 def mixed_decode(encoded: DataFrame, state: CodecState) -> DataFrame:
-    """Inverse of mixed_encode: grid interpolation, nulls from the flag, vocabulary lookup."""
-    cols = []
-    for c in state.columns:
-        if c in state.numeric:
-            g = state.grids[c]
-            u = norm_cdf(F.col(c)) * F.lit(float(len(g))) + F.lit(0.5)
-            v = _grid_lookup(g, (u - F.lit(1.0)) / F.lit(float(len(g) - 1)))
-            v = F.when(F.col(f"{c}__missing") >= 0.5, F.lit(None)).otherwise(v)
-            if state.types[c] in ("tinyint", "smallint", "int", "bigint"):
-                v = F.rint(v)
-            cols.append(v.cast(state.types[c]).alias(c))
-        else:
-            arr = F.array(*[F.lit(v) for v in state.vocab[c]])
-            idx = F.least(F.greatest(F.col(c), F.lit(0)), F.lit(len(state.vocab[c]) - 1))
-            cols.append(F.element_at(arr, idx + 1).cast(state.types[c]).alias(c))
-    return encoded.select(*cols)
+    """Inverse of mixed_encode; scores beyond the grid and codes beyond the vocabulary take its ends."""
+    numeric = {}
+    for c in state.numeric:
+        k = len(state.grids[c])
+        place = (F.col(f"_u_{c}") * F.lit(float(k)) - F.lit(0.5)) / F.lit(float(k - 1))
+        v = _grid_lookup(state.grids[c], place)
+        v = F.rint(v) if state.types[c] in ("tinyint", "smallint", "int", "bigint") else v
+        numeric[c] = F.when(F.col(f"{c}__missing") >= 0.5, F.lit(None)).otherwise(v) if c in state.flagged else v
+    work = encoded.select("*", *[norm_cdf(F.col(c)).alias(f"_u_{c}") for c in state.numeric])
+    for j, c in enumerate(state.categorical):
+        values = state.vocabulary.where(F.col("col") == c).select(F.col("v").alias(f"_v{j}"), F.col("code").alias(f"_k{j}"))
+        code = F.least(F.greatest(F.col(c), F.lit(0)), F.lit(state.sizes.get(c, 1) - 1))
+        work = work.join(values, code == F.col(f"_k{j}"), "left")
+    return work.select(*[(numeric[c] if c in numeric else F.col(f"_v{state.categorical.index(c)}"))
+                         .cast(state.types[c]).alias(c) for c in state.columns])
 
 
 # ---- generator registry (G11) -----------------------------------------------

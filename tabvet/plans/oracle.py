@@ -1015,3 +1015,11 @@ g AS (SELECT list_filter([CASE WHEN exact_training_match_rate > 0.05 THEN 'exact
 SELECT failed_gates, len(failed_gates) = 0 AS eligible, validation_score FROM g"""
 
 ORACLE["t18_temporal_gates"] = TEMPORAL_GATES
+
+_CODES = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 AS BIGINT) AS code FROM orders"
+    for c in ("o_orderstatus", "o_orderdate", "o_orderpriority"))
+ORACLE.update({
+    "g9_mixed_encode_orders": f"SELECT column_name, code, count(*) AS n FROM ({_CODES}) GROUP BY ALL",
+    "g10_codec_round_trip_orders": "SELECT * REPLACE (round(o_totalprice, 6) + 0.0 AS o_totalprice) FROM orders",
+})

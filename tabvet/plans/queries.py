@@ -95,6 +95,7 @@ QUERIES.update({
 # ---- constraints (C) --------------------------------------------------------
 
 from pyspark.sql import functions as F  # noqa: E402
+from tabvet.functions.exprs import r6  # noqa: E402
 
 from tabvet.operators import constraints as cons  # noqa: E402
 from tabvet.plans.fixtures import lineitem_full_halves  # noqa: E402
@@ -280,9 +281,17 @@ def q_copula_lineitem_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = load_table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority")
-    enc, state = gen.mixed_encode(df)
-    return gen.mixed_decode(enc, state)
+    """Every row of orders, encoded and decoded: must equal the table."""
+    enc, state = gen.mixed_encode(load_table(spark, sf_dir, "orders"))
+    back = gen.mixed_decode(enc, state)
+    return back.withColumn("o_totalprice", r6(F.col("o_totalprice")))
+
+
+def q_mixed_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per vocabulary code of every categorical column of orders."""
+    enc, state = gen.mixed_encode(load_table(spark, sf_dir, "orders"))
+    codes = enc.unpivot([], [F.col(c) for c in state.categorical], "column_name", "code")
+    return codes.groupBy("column_name", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES.update({
@@ -290,6 +299,7 @@ QUERIES.update({
     "g2_bootstrap_orders_where": q_bootstrap_orders_where,
     "g4_copula_sample_lineitem": q_copula_lineitem,
     "g5_copula_sample_lineitem_where": q_copula_lineitem_where,
+    "g9_mixed_encode_orders": q_mixed_encode,
     "g10_codec_round_trip_orders": q_codec_round_trip,
 })
 

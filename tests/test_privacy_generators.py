@@ -80,6 +80,32 @@ def test_codec_round_trip(spark):
             assert abs(orig[0] - got.amount) < 1e-5
 
 
+def test_codec_is_lossless_beyond_its_grid(spark):
+    """5,000 distinct values on a 1,000-point grid, a value holding many grid points, NaN, large and tiny numbers."""
+    rows = [(i, 7.0 if i % 4 == 0 else (i * 977 % 5000) ** 2 * 0.37, float("nan") if i % 100 == 9 else -1e-3 * i, f"c{i}")
+            for i in range(5000)]
+    df = spark.createDataFrame(rows, "id bigint, amount double, small double, name string")
+    enc, state = gen.mixed_encode(df)
+    assert state.flagged == ["small"] and "amount__missing" not in enc.columns and state.sizes["name"] == 5000
+    back = {r.id: r for r in gen.mixed_decode(enc, state).collect()}
+    assert len(back) == 5000
+    for i, amount, small, name in rows:
+        assert abs(back[i].amount - amount) < 1e-5 and back[i].name == name
+        assert back[i].small is None if small != small else abs(back[i].small - small) < 1e-9
+    assert enc.agg(F.max(F.abs("amount"))).first()[0] > 2.5
+
+
+def test_normal_distribution_functions(spark):
+    from statistics import NormalDist
+    from tabvet.functions.exprs import norm_cdf, probit, probit_step
+    zs = spark.createDataFrame([(z / 7,) for z in range(-60, 61)], "z double")
+    for r in zs.select("z", norm_cdf(F.col("z")).alias("p")).collect():
+        assert abs(r.p - NormalDist().cdf(r.z)) < 1e-14
+    ps = spark.createDataFrame([((k + 0.5) / 1000,) for k in range(1000)], "p double").withColumn("s", probit(F.col("p")))
+    for r in ps.select("p", probit_step(F.col("s"), F.col("p")).alias("z")).collect():
+        assert abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-11
+
+
 def test_registry_rules():
     with pytest.raises(gen.GeneratorError):
         gen.register_generator("Bad-Name", lambda d: d, lambda *a: None)
