@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tabvet.llm.common import in_shared_folder, shuffle_partitions, slice_bounds, slice_of, tidy
 
 MAGIC = b"TIDS1\0\0\0"
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
 #: Distinct words a task keeps the ids of; it starts anew beyond.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
