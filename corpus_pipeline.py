@@ -51,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontamination", decontamination),
           ("mixing", mix), ("token_ids", encode)]
 
-#: The fitted field and the tokenizer are beyond SQL; tests/llm holds the operators of the stages against brute force, not yet run() as a whole.
+#: The fitted field and the tokenizer are beyond SQL; tests/llm holds the stages in a row against brute force (the mix by its operator).
 ORACLE_SQL = None
 
 
