@@ -46,3 +46,23 @@ def test_repeated_ids_keep_their_own_rules(spark):
     df = spark.createDataFrame([(1, "an Apple", "p"), (1, "nothing", "q")], "id int, t string, kind string")
     got = sorted((r.matched_fields, r.consistent) for r in text.text_consistency(df, "t", rules, "id").collect())
     assert got == [([], False), (["kind"], True)]
+
+
+def test_knn_votes_equal_a_stable_sort():
+    rng = np.random.default_rng(1)
+    x, ref = (np.hstack([rng.integers(0, 3, (n, 2)) / 2.0, rng.integers(0, 2, (n, 3))]) for n in (300, 60))
+    y = rng.integers(0, 2, 60).astype(float)
+    d = ((x[:, None, :] - ref[None, :, :]) ** 2).sum(-1)
+    want = y[np.argsort(d, axis=1, kind="stable")[:, :5]].mean(axis=1)
+    np.testing.assert_allclose(models.knn_votes(x, ref, y, 5, 2, chunk=64), want)
+
+
+def test_knn_scores_every_held_out_row(spark, monkeypatch):
+    scored = []
+    real_auc = models.roc_auc
+    monkeypatch.setattr(models, "roc_auc", lambda df, *a: (scored.append(df.groupBy("_label").count().collect()), real_auc(df, *a))[1])
+    real = spark.range(400).select((F.col("id") * 37 % 401).cast("double").alias("x"))
+    syn = spark.range(300).select((F.col("id") * 37 % 401 + 0.5).cast("double").alias("x"))
+    out = models.knn_discriminator(real, syn, cap=20, kinds=(["x"], [])).first()
+    assert {r["_label"]: r["count"] for r in scored[0]} == {0.0: 200, 1.0: 150}
+    assert out["status"] == "computed" and 0.0 <= out["auc"] <= 1.0
