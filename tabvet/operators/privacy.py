@@ -8,6 +8,9 @@ Nearest neighbours: the reference set is a seeded sample with a hard size
 bound (``cap``).  It is collected once (at most ``cap`` rows) and shipped as a
 literal array; every probed row computes its minimum distance with array
 lambdas, so no pair of rows is ever materialised by a join.
+
+``sample_syn=None, sample_real=None`` of the near-match rate searches all rows
+of both tables instead, as a semi join inside blocks.
 """
 
 from __future__ import annotations
@@ -91,12 +94,60 @@ def _gower_min(ref: Column, numerical: Sequence[str], categorical: Sequence[str]
     return F.coalesce(F.array_min(F.transform(ref, dist)), F.lit(NO_NEIGHBOUR))
 
 
+def _close_rows(real: DataFrame, probe: DataFrame, numerical: Sequence[str], categorical: Sequence[str],
+                mins: dict[str, float], spans: dict[str, float], threshold: float) -> DataFrame:
+    """(close_rows, probed_rows): every probe row against every real row that can be close to it (survey 7.6).
+
+    With k columns, one categorical mismatch alone costs 1/k, so while 1/k >= threshold a close pair agrees on every
+    category; its gap in one numeric column stays under threshold * k of the range, so neighbouring buckets of that
+    width hold it. A null in that column meets the whole block. Equal rows are searched once.
+    """
+    fields = [*numerical, *categorical]
+    k = len(fields)
+
+    def typed(df):
+        return df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in numerical],
+                         *[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in categorical])
+
+    left = typed(probe).groupBy(*fields).agg(F.count(F.lit(1)).alias("_m"))
+    right = typed(real).distinct().select(*[F.col(c).alias(f"_r_{c}") for c in fields])
+    total, parts = F.lit(0.0), F.lit(0)
+    for c in numerical:
+        ok = F.col(c).isNotNull() & F.col(f"_r_{c}").isNotNull()
+        total = total + F.when(ok, F.abs(F.col(c) - F.col(f"_r_{c}")) / F.lit(spans[c])).otherwise(F.lit(0.0))
+        parts = parts + ok.cast("int")
+    for c in categorical:
+        total = total + (F.col(c) != F.col(f"_r_{c}")).cast("double")
+        parts = parts + F.lit(1)
+    cond = [F.when(parts > 0, total / parts).otherwise(F.lit(NO_NEIGHBOUR)) < threshold]
+    if threshold * k <= 1.0:
+        cond += [F.col(c) == F.col(f"_r_{c}") for c in categorical]
+    if numerical:
+        c = numerical[0]
+        width = threshold * k * (1 + 1e-9)
+        last = int(math.ceil(1.0 / width))
+
+        def bucket(x):
+            at = F.floor((x - F.lit(mins[c])) / F.lit(spans[c]) / F.lit(width))
+            return F.when(x.isNotNull(), F.least(F.greatest(at, F.lit(0)), F.lit(last)).cast("int"))
+
+        here = bucket(F.col(f"_r_{c}"))
+        # -1 is the bucket of a probe without a value: each real row is there too
+        left = left.withColumn("_b", F.coalesce(bucket(F.col(c)), F.lit(-1)))
+        right = right.withColumn("_rb", F.explode(F.array_distinct(F.when(here.isNotNull(), F.array(F.lit(-1), here - 1, here, here + 1))
+                                                                   .otherwise(F.sequence(F.lit(-1), F.lit(last))))))
+        cond.append(F.col("_b") == F.col("_rb"))
+    close = left.join(right, cond, "left_semi").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("close_rows"))
+    return close.crossJoin(probe.agg(F.count(F.lit(1)).alias("probed_rows")))  # two one-row aggregates
+
+
 def near_match_rate(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int | None = DEFAULT_SYN_SAMPLE,
-                    sample_real: int = DEFAULT_REAL_SAMPLE, threshold: float = NEAR_THRESHOLD, seed: int = 42) -> DataFrame:
+                    sample_real: int | None = DEFAULT_REAL_SAMPLE, threshold: float = NEAR_THRESHOLD, seed: int = 42) -> DataFrame:
     """V2: share of (sampled) synthetic rows whose nearest (sampled) real row is closer than 0.05.
 
     Spans come from the full real table.  ``sample_syn=None`` probes every
-    synthetic row against the bounded real sample.
+    synthetic row against the bounded real sample; ``sample_real=None`` searches
+    every real row by blocks instead of a sample.
     """
     numerical, categorical = shared_kinds(real, syn, kinds)
     fields = numerical + categorical
@@ -106,19 +157,25 @@ def near_match_rate(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int
     # one aggregate gives the real row count and the spans of the full real table
     stats = real.agg(F.count(F.lit(1)).alias("_n"), *[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in numerical],
                      *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in numerical]).first()
-    n_real = min(sample_real, int(stats["_n"]))
     n_probe = syn.count() if sample_syn is None else min(sample_syn, syn.limit(sample_syn).count(), int(stats["_n"]))
     spans = {}
     for c in numerical:
         mn, mx = stats[f"mn_{c}"], stats[f"mx_{c}"]
         span = (mx - mn) if mn is not None else 1.0
         spans[c] = span if span else 1.0
+    probe = syn.select(*fields) if sample_syn is None else seeded_sample(syn.select(*fields), n_probe, seed, "near_syn")
+    if sample_real is None:
+        mins = {c: stats[f"mn_{c}"] if stats[f"mn_{c}"] is not None else 0.0 for c in numerical}
+        found = _close_rows(real, probe, numerical, categorical, mins, spans, threshold)
+        return found.select(r6(F.when(F.col("probed_rows") > 0, F.col("close_rows") / F.col("probed_rows")).otherwise(F.lit(0.0)))
+                            .alias("high_similarity_rate"),
+                            F.col("close_rows").cast("bigint").alias("close_rows"), F.col("probed_rows").cast("bigint").alias("probed_rows"))
+    n_real = min(sample_real, int(stats["_n"]))
     ref_df = seeded_sample(real.select(*[F.col(c).cast("double").alias(c) for c in numerical],
                                        *[F.col(c).cast("string").alias(c) for c in categorical]),
                            min(sample_real, n_real), seed, "near_real")
     ref_rows = _bounded_rows(ref_df, sample_real)
     ref = _literal_array(ref_rows, [(c, T.DoubleType()) for c in numerical] + [(c, T.StringType()) for c in categorical])
-    probe = syn.select(*fields) if sample_syn is None else seeded_sample(syn.select(*fields), n_probe, seed, "near_syn")
     best = probe.select(_gower_min(ref, numerical, categorical, spans, fields).alias("best"))
     return best.agg(
         r6(F.when(F.count(F.lit(1)) > 0, F.avg((F.col("best") < threshold).cast("double"))).otherwise(F.lit(0.0)))
@@ -132,7 +189,7 @@ def risk_level(indicator: Column) -> Column:
 
 
 def privacy_score(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int | None = DEFAULT_SYN_SAMPLE,
-                  sample_real: int = DEFAULT_REAL_SAMPLE, threshold: float = NEAR_THRESHOLD, seed: int = 42) -> DataFrame:
+                  sample_real: int | None = DEFAULT_REAL_SAMPLE, threshold: float = NEAR_THRESHOLD, seed: int = 42) -> DataFrame:
     """V3: privacy_score = clip(1 - 0.7 dup - 0.3 near), membership indicator, risk level."""
     dup = exact_match_rate(real, syn).select("exact_duplicate_rate")
     near = near_match_rate(real, syn, kinds, sample_syn, sample_real, threshold, seed).select("high_similarity_rate")

@@ -36,6 +36,49 @@ def test_near_match_rate_equals_brute_force(spark):
     assert got.close_rows == close and got.probed_rows == len(syn)
 
 
+def _brute_close(real, syn, n_num):
+    spans = []
+    for i in range(n_num):
+        vals = [r[i] for r in real if r[i] is not None]
+        spans.append((max(vals) - min(vals) if vals else 1.0) or 1.0)
+
+    def distance(s, r):
+        gaps = [abs(s[i] - r[i]) / spans[i] for i in range(n_num) if s[i] is not None and r[i] is not None]
+        gaps += [float(a != b) for a, b in zip(s[n_num:], r[n_num:], strict=True)]
+        return sum(gaps) / len(gaps) if gaps else 1e9
+
+    return sum(min(distance(s, r) for r in real) < 0.05 for s in syn)
+
+
+@pytest.mark.parametrize("n_num,n_cat", [(2, 1), (1, 0), (0, 2), (3, 2), (2, 20)])
+def test_near_match_over_all_rows_equals_brute_force(spark, n_num, n_cat):
+    rng = np.random.default_rng(n_num * 31 + n_cat)
+
+    def rows(n, wide):
+        out = []
+        for _ in range(n):
+            num = [None if rng.random() < 0.1 else float(v) for v in rng.normal(0, wide, n_num)]
+            out.append((*num, *(None if rng.random() < 0.1 else str(v) for v in rng.choice(["x", "y"], n_cat, p=[0.95, 0.05]))))
+        return out
+
+    real, syn = rows(70, 1.0), rows(60, 1.5)
+    syn += real[:5] * 2
+    cols = [f"c{i}" for i in range(n_num + n_cat)]
+    schema = ", ".join(f"{c} {'double' if i < n_num else 'string'}" for i, c in enumerate(cols))
+    r, s = spark.createDataFrame(real, schema), spark.createDataFrame(syn, schema)
+    got = priv.near_match_rate(r, s, (cols[:n_num], cols[n_num:]), sample_syn=None, sample_real=None).first()
+    assert (got.close_rows, got.probed_rows) == (_brute_close(real, syn, n_num), len(syn))
+
+
+def test_near_copies_outside_the_sample_are_found(spark):
+    real = spark.range(2000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 1.0).alias("x"))
+    syn = spark.range(100).select((F.col("id") * 20).cast("string").alias("k"), (F.col("id") * 20 + 0.5).alias("x"))
+    got = priv.near_match_rate(real, syn, (["x"], ["k"]), sample_syn=None, sample_real=None).first()
+    assert (got.close_rows, got.probed_rows) == (100, 100)
+    score = priv.privacy_score(real, syn, (["x"], ["k"]), sample_syn=None, sample_real=None).first()
+    assert score.high_similarity_rate == 1.0 and score.privacy_score == 0.7
+
+
 def test_bootstrap_contract(spark):
     rows = [(20 + i, 1000 * i, "A" if i % 10 else "B", int(i < 4)) for i in range(40)]
     df = spark.createDataFrame(rows, "age int, income int, city string, target int")
