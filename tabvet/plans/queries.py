@@ -525,9 +525,11 @@ def _syn_bootstrap_half(spark, sf_dir):
 
 
 def q_mixed_features(spark, sf_dir):
-    real, _ = lineitem_halves(spark, sf_dir)
-    fm = mdl.fit_features(real, ["l_quantity", "l_extendedprice", "net_price"], ["l_discount", "l_returnflag", "l_linestatus"])
-    return fm.transform(real).select(vector_to_array("features").alias("features"))
+    """Every row of lineitem as a feature vector."""
+    li = load_table(spark, sf_dir, "lineitem").withColumn("net_price", F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")))
+    whole = li.select(*PAIR_COLUMNS)
+    fm = mdl.fit_features(whole, ["l_quantity", "l_extendedprice", "net_price"], ["l_discount", "l_returnflag", "l_linestatus"])
+    return fm.transform(whole).select(vector_to_array("features").alias("features"))
 
 
 def _docs_split(spark, sf_dir):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tabvet.functions.exprs import row_key
 from tabvet.operators import models, text
+from tabvet.plans.queries import QUERIES
+from tests.conftest import SF
 
 
 def test_ridge_equals_the_closed_form(spark):
@@ -48,6 +50,11 @@ def test_repeated_ids_keep_their_own_rules(spark):
     assert got == [([], False), (["kind"], True)]
 
 
+def test_mixed_features_of_the_whole_table(spark):
+    got = QUERIES["d9_mixed_features_lineitem"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
 def test_knn_votes_equal_a_stable_sort():
     rng = np.random.default_rng(1)
     x, ref = (np.hstack([rng.integers(0, 3, (n, 2)) / 2.0, rng.integers(0, 2, (n, 3))]) for n in (300, 60))
