@@ -73,3 +73,28 @@ def test_knn_scores_every_held_out_row(spark, monkeypatch):
     out = models.knn_discriminator(real, syn, cap=20, kinds=(["x"], [])).first()
     assert {r["_label"]: r["count"] for r in scored[0]} == {0.0: 200, 1.0: 150}
     assert out["status"] == "computed" and 0.0 <= out["auc"] <= 1.0
+
+
+def test_discriminators_score_every_held_out_row(spark, monkeypatch):
+    scored = []
+    real_auc = models.roc_auc
+    monkeypatch.setattr(models, "roc_auc", lambda df, *a: (scored.append(df.groupBy("_label").count().collect()), real_auc(df, *a))[1])
+    monkeypatch.setattr(models, "DISCRIMINATOR_TREES", 2)
+    boosting = models.GBTClassifier
+    monkeypatch.setattr(models, "GBTClassifier", lambda **kw: boosting(**(kw | {"maxIter": 2})))
+    real = spark.range(400).select((F.col("id") * 37 % 401).cast("double").alias("x"))
+    syn = spark.range(300).select((F.col("id") * 37 % 401 + 0.5).cast("double").alias("x"))
+    out = models.discriminator_ensemble(real, syn, cap=20, kinds=(["x"], [])).collect()
+    assert [r["status"] for r in out] == ["computed"] * 3
+    assert [{r["_label"]: r["count"] for r in s} for s in scored] == [{0.0: 200, 1.0: 150}] * 3
+
+
+def test_mmd_over_all_rows_knows_rare_levels(spark, monkeypatch):
+    fitted = []
+    fit = models.fit_features
+    monkeypatch.setattr(models, "fit_features", lambda *a, **kw: (fitted.append(fit(*a, **kw)), fitted[-1])[1])
+    real = spark.range(4000).select(F.when(F.col("id") < 12, F.concat(F.lit("rare"), F.col("id"))).otherwise("a").alias("k"))
+    syn = spark.range(4000).select(F.lit("a").alias("k"))
+    assert models.mmd(real, syn, cap=None, n_features=16, kinds=([], ["k"])).first()["status"] == "computed"
+    labels = [s for s in fitted[0].model.stages if hasattr(s, "labels")][0].labels
+    assert sorted(labels) == sorted(["a", *(f"rare{i}" for i in range(12))])
