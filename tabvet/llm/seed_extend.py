@@ -1,9 +1,9 @@
 """Substring dedup by seed and extend, on words.
 
 Seeds are winnowed: of every ``window - gram + 1`` consecutive word grams the one with the
-smallest hash. Documents join on equal seeds; each match is extended both ways, as
-far as its seed rules (the stretch around it), and windows of at least ``window`` words that
-stand elsewhere too are kept as repeats. Overlapping repeats of a document make one
+smallest hash. Seeds that occur once are dropped. No match is extended word by word: the
+hashes of whole ``window``-word windows around the other seeds (the stretch that a seed rules)
+are grouped in ``repeats``, and windows that stand elsewhere too are kept as repeats. Overlapping repeats of a document make one
 maximal span. See ``repeats`` for how copies are folded and why no group is paired up.
 """
 

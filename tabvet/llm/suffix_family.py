@@ -1,16 +1,17 @@
 """Suffix-array dedup with a logarithmic index family, on bytes.
 
-The corpus comes in batches. A batch's suffix array holds its anchor suffixes (chosen
-by content, about two in ``length - gram`` bytes), sorted by the hash of their first
-``gram`` bytes, so suffixes with a common beginning stand together. A new batch is
-merge-scanned against every level of the index for equal beginnings, then becomes a
+The corpus comes in batches. A batch's array holds the distinct 64-bit hashes of the first
+``gram`` bytes of its anchor suffixes (chosen by content, about two in ``length - gram``
+bytes), sorted by hash: no positions of suffixes, no text order. A new batch is
+intersected with every level of the index for equal beginnings, then becomes a
 level of size one; while two levels have equal sizes they are merged into one of twice
 the size. Each entry is therefore rewritten about log2(batches) times, and there are never
 more than log2(batches) + 1 levels to scan. Levels keep one entry per beginning, so a
 passage in a third of all documents is one entry.
 
-Matching suffixes are extended both ways and judged byte by byte (``repeats``): a byte
-goes if a ``length``-byte string that covers it also starts anywhere else.
+So the family only prefilters keys, as one count per key would. The matches are found in
+``repeats`` by grouping hashes of whole ``length``-byte windows: a byte goes if a
+``length``-byte string that covers it also starts anywhere else.
 """
 
 from __future__ import annotations
