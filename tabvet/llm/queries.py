@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabvet.llm import decontaminate, language_crf, minhash_dedup, mixing, order_minhash, seed_extend, suffix_family, token_ids, url_filter, warc
+from tabvet.llm import (bpe_trie, decontaminate, embedding_whitening, language_crf, minhash_dedup, mixing, order_minhash, periodic_runs,
+                        seed_extend, suffix_family, token_ids, url_filter, warc)
 from tabvet.llm.common import table
 
 
@@ -60,6 +61,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = bpe_trie.decode(bpe_trie.encode(table(spark, sf_dir, "documents"), path), path)
+    return texts.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_period(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    found = found.withColumn("top", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -71,6 +94,9 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe_trie": op11_bpe_trie,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
