@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,6 +253,20 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return rows.mapInArrow(tidy(run), "doc_id bigint, ids array<int>")
 
 
+def _texts(raw: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of a string column from the bytes of all rows and where each begins; what is no UTF-8 is replaced."""
+    heads = raw[bounds[:-1][bounds[:-1] < bounds[1:]]]
+    data = raw.tobytes()
+    try:
+        data.decode()
+        whole = not ((heads & 0xC0) == 0x80).any()  # no character goes on from one row to the next
+    except UnicodeDecodeError:
+        whole = False
+    if whole:
+        return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ``ids`` and ``decoded`` (string) of rows of ids; special tokens are kept, unknown ids give nothing.
 
@@ -260,10 +275,20 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _encoder(tokenizer_path).vocabulary.bytes_of
-        table = [known.get(i, b"") for i in range(max(known) + 1)]
+        most = max(known) + 1
+        pieces = [known.get(i, b"") for i in range(most + 1)]  # the last one stands for unknown ids
+        size = np.array([len(x) for x in pieces], np.int32)
+        start, table = (np.cumsum(size) - size).astype(np.int32), np.frombuffer(b"".join(pieces), np.uint8)
         for b in batches:
-            texts = [b"".join([table[i] for i in ids or [] if i is not None and 0 <= i < len(table)]).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            col = b.column("ids")
+            ids = col.flatten().fill_null(-1).to_numpy()
+            ids = np.where((ids < 0) | (ids > most), most, ids)
+            tokens = np.r_[0, np.cumsum(pc.list_value_length(col).fill_null(0).to_numpy())]
+            n = size[ids]
+            ends = np.r_[0, np.cumsum(n, dtype=np.int64)]
+            place = np.repeat(start[ids] - ends[:-1], n)
+            place += np.arange(len(place))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), col, _texts(table[place], ends[tokens])], names=["doc_id", "ids", "decoded"])
 
     rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(tidy(run), "doc_id bigint, ids array<int>, decoded string")
