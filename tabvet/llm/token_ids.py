@@ -19,6 +19,7 @@ its slice in order and cuts blocks of bounded size, and the blocks are rows
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -84,10 +85,14 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, list[int | None]
     return by_rank[values] if n else np.zeros(0, np.uint32), counts, [None if z else int(k) for k, z in zip(key, null, strict=True)]
 
 
+# Fixed value: how such a tokenizer splits a text.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # What isn't Latin script with single code points, or doesn't lower-case letter by letter.
 _UNUSUAL = re.compile("[ªºİ\u0250-\U0010ffff]")
 # ASCII punctuation but the apostrophe, which the tokenizer's pattern joins to what follows.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# A word of lower-case letters and closing punctuation: neither the normaliser nor the splitter changes it.
+_PLAIN = re.compile(f"([{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower() and not _UNUSUAL.match(c))}]+)([{re.escape(_PUNCTUATION)}]*)").fullmatch
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -97,8 +102,21 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _check(spec: dict) -> None:
+    """ValueError unless the tokenizer encodes a text word by word as WordEncoder does."""
+    normal = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    first, second = (*split, {}, {})[:2]
+    if normal != [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)] or len(split) != 2 or (second.get("type"), second.get("add_prefix_space"), second.get("use_regex")) != (
+            "ByteLevel", False, False) or (first.get("type"), first.get("behavior"), first.get("invert"), (first.get("pattern") or {}).get("Regex")) != (
+            "Split", "Removed", True, _SPLIT) or spec["model"].get("type") != "BPE" or spec["model"].get("dropout") or spec["post_processor"]:
+        raise ValueError("the tokenizer does not encode texts word by word, lower-cased and without white space")
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"]):
+        raise ValueError("added tokens that reach beyond a word")
+
+
 class WordEncoder:
-    """Ids of whole texts for a lower-casing tokenizer that splits at white space and drops it.
+    """Ids of whole texts for a lower-casing tokenizer that splits at white space and drops it (ValueError for any other).
 
     Such a tokenizer encodes a text as its words one after another, so each
     distinct word is given to the library once. A word of plain letters, or
@@ -110,6 +128,8 @@ class WordEncoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            _check(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cache_words = self.tokenizer.model, cache_words
         self.alphabet = _byte_alphabet()
@@ -128,22 +148,6 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length, self.known = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
 
-    def _part(self, part: str) -> list[int]:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) > self.cache_words // 2:
-                self.parts.clear()
-            byte_level = part if part.isascii() else part.encode().decode("latin-1").translate(self.alphabet)
-            got = self.parts[part] = [t.id for t in self.model.tokenize(byte_level)]
-        return got
-
-    def _word(self, word: str) -> list[int]:
-        stem = word.rstrip(_PUNCTUATION)
-        if stem.islower() and stem.isalpha() and not _UNUSUAL.search(word):
-            tail = word[len(stem):]
-            return self._part(stem) + self._part(tail) if tail else self._part(stem)
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
     def encode(self, text: str) -> np.ndarray:
         if len(self.numbers) > self.cache_words:
             self.clear()
@@ -161,7 +165,24 @@ class WordEncoder:
         return self.flat[np.repeat(self.offset[numbers] - (ends - length), length) + np.arange(ends[-1])]
 
     def _learn(self) -> None:
-        ids = [self._word(w) for w in self.waiting]
+        ids, parts, tokenize = [], self.parts, self.model.tokenize
+        if len(parts) > self.cache_words // 2:
+            parts.clear()
+        for word in self.waiting:
+            plain = _PLAIN(word)
+            if plain is None:
+                ids.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                continue
+            stem, tail = plain.groups()
+            got = parts.get(stem)
+            if got is None:
+                got = parts[stem] = [t.id for t in tokenize(stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.alphabet))]
+            if tail:
+                closing = parts.get(tail)
+                if closing is None:
+                    closing = parts[tail] = [t.id for t in tokenize(tail)]
+                got = got + closing
+            ids.append(got)
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         total, words = int(n.sum()), self.known + len(ids)
         if self.used + total > len(self.flat):
