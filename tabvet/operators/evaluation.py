@@ -13,16 +13,17 @@ from tabvet.functions.exprs import r6
 from tabvet.operators.pairs import prefix_sum
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: str | None = None) -> DataFrame:
-    """Rank AUC with tied scores sharing their average rank (Mann-Whitney U).
+def roc_auc(df: DataFrame, label: str, score: str, by: str | None = None, weight: str | None = None) -> DataFrame:
+    """Rank AUC with tied scores sharing their average rank (Mann-Whitney U). ``weight``: how many rows a row stands for.
 
     Scores are reduced to (score, positives, negatives) counts and ranked by a
     distributed prefix sum; null when one class is absent.
     """
     grp = F.col(by).cast("string") if by else F.lit("all")
     y = F.col(label).cast("string").try_cast("double")
+    each = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     counts = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(grp.alias("_g"), F.col(score).cast("double").alias("s")).agg(
-        F.sum((y == 1).cast("long")).alias("pos"), F.sum((y != 1).cast("long")).alias("neg"))
+        F.sum((y == 1).cast("long") * each).alias("pos"), F.sum((y != 1).cast("long") * each).alias("neg"))
     counts = counts.withColumn("cnt", F.col("pos") + F.col("neg"))
     ps = prefix_sum(counts, ["_g"], "s", ["cnt"])
     ranked = ps.withColumn("avg_rank", F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0)

@@ -337,15 +337,16 @@ def ffill_over(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    single_task_rows: int | None = None) -> DataFrame:
-    """numpy-style (linear) quantiles of ``value`` per ``keys``: (keys..., p, q).
+                    single_task_rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """numpy-style (linear) quantiles of ``value`` per ``keys``: (keys..., p, q). ``weight``: how many rows a row stands for.
 
     Values are reduced to counts; order statistics are located through a
     distributed prefix sum and a (keys x probs) target table.
     """
     keys = list(keys)
     spark = df.sparkSession
-    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    vc = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_k"))
     ps = prefix_sum(vc, keys, "_v", ["_k"], single_task_rows=single_task_rows)
     sizes = vc.groupBy(*keys).agg(F.sum("_k").alias("_n"))
     targets = (sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))

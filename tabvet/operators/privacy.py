@@ -9,8 +9,8 @@ bound (``cap``).  It is collected once (at most ``cap`` rows) and shipped as a
 literal array; every probed row computes its minimum distance with array
 lambdas, so no pair of rows is ever materialised by a join.
 
-``sample_syn=None, sample_real=None`` of the near-match rate searches all rows
-of both tables instead, as a semi join inside blocks.
+``sample_syn=None, sample_real=None`` of the near-match rate and
+``distance_privacy_all`` search all rows of both tables (``neighbours``).
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvet.functions.exprs import r6, row_key, seeded_uniform
-from tabvet.operators.pairs import is_numeric_type, schema_types, shared_kinds
+from tabvet.operators.neighbours import Gower, MeanDifference, Search, as_points
+from tabvet.operators.pairs import exact_quantiles, is_numeric_type, schema_types, shared_kinds
+from tabvet.session import cut_lineage
 
 # Thresholds and default sample sizes.
 NEAR_THRESHOLD = 0.05
@@ -95,50 +98,17 @@ def _gower_min(ref: Column, numerical: Sequence[str], categorical: Sequence[str]
 
 
 def _close_rows(real: DataFrame, probe: DataFrame, numerical: Sequence[str], categorical: Sequence[str],
-                mins: dict[str, float], spans: dict[str, float], threshold: float) -> DataFrame:
+                spans: dict[str, float], threshold: float) -> DataFrame:
     """(close_rows, probed_rows): every probe row against every real row that can be close to it (survey 7.6).
 
-    With k columns, one categorical mismatch alone costs 1/k, so while 1/k >= threshold a close pair agrees on every
-    category; its gap in one numeric column stays under threshold * k of the range, so neighbouring buckets of that
-    width hold it. A null in that column meets the whole block. Equal rows are searched once.
+    The neighbour search compares a probe with its own cell first; where nothing there is close it visits the
+    cells that can hold something below the threshold. Any number of columns; hot cells are cut into packs.
     """
-    fields = [*numerical, *categorical]
-    k = len(fields)
-
-    def typed(df):
-        return df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in numerical],
-                         *[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in categorical])
-
-    left = typed(probe).groupBy(*fields).agg(F.count(F.lit(1)).alias("_m"))
-    right = typed(real).distinct().select(*[F.col(c).alias(f"_r_{c}") for c in fields])
-    total, parts = F.lit(0.0), F.lit(0)
-    for c in numerical:
-        ok = F.col(c).isNotNull() & F.col(f"_r_{c}").isNotNull()
-        total = total + F.when(ok, F.abs(F.col(c) - F.col(f"_r_{c}")) / F.lit(spans[c])).otherwise(F.lit(0.0))
-        parts = parts + ok.cast("int")
-    for c in categorical:
-        total = total + (F.col(c) != F.col(f"_r_{c}")).cast("double")
-        parts = parts + F.lit(1)
-    cond = [F.when(parts > 0, total / parts).otherwise(F.lit(NO_NEIGHBOUR)) < threshold]
-    if threshold * k <= 1.0:
-        cond += [F.col(c) == F.col(f"_r_{c}") for c in categorical]
-    if numerical:
-        c = numerical[0]
-        width = threshold * k * (1 + 1e-9)
-        last = int(math.ceil(1.0 / width))
-
-        def bucket(x):
-            at = F.floor((x - F.lit(mins[c])) / F.lit(spans[c]) / F.lit(width))
-            return F.when(x.isNotNull(), F.least(F.greatest(at, F.lit(0)), F.lit(last)).cast("int"))
-
-        here = bucket(F.col(f"_r_{c}"))
-        # -1 is the bucket of a probe without a value: each real row is there too
-        left = left.withColumn("_b", F.coalesce(bucket(F.col(c)), F.lit(-1)))
-        right = right.withColumn("_rb", F.explode(F.array_distinct(F.when(here.isNotNull(), F.array(F.lit(-1), here - 1, here, here + 1))
-                                                                   .otherwise(F.sequence(F.lit(-1), F.lit(last))))))
-        cond.append(F.col("_b") == F.col("_rb"))
-    close = left.join(right, cond, "left_semi").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("close_rows"))
-    return close.crossJoin(probe.agg(F.count(F.lit(1)).alias("probed_rows")))  # two one-row aggregates
+    space = Gower(np.array([spans[c] for c in numerical], float), NO_NEIGHBOUR)
+    search = Search(as_points(real, list(numerical), list(categorical)), space, len(numerical), len(categorical))
+    found = search.nearest(as_points(probe, list(numerical), list(categorical)), within=threshold, one_is_enough=True)
+    close = F.coalesce(F.get("nearest", F.lit(0))["d"] < threshold, F.lit(False))
+    return found.agg(F.coalesce(F.sum(F.when(close, F.col("m"))), F.lit(0)).alias("close_rows"), F.coalesce(F.sum("m"), F.lit(0)).alias("probed_rows"))
 
 
 def near_match_rate(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int | None = DEFAULT_SYN_SAMPLE,
@@ -147,7 +117,7 @@ def near_match_rate(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int
 
     Spans come from the full real table.  ``sample_syn=None`` probes every
     synthetic row against the bounded real sample; ``sample_real=None`` searches
-    every real row by blocks instead of a sample.
+    every real row instead of a sample.
     """
     numerical, categorical = shared_kinds(real, syn, kinds)
     fields = numerical + categorical
@@ -165,8 +135,7 @@ def near_match_rate(real: DataFrame, syn: DataFrame, kinds=None, sample_syn: int
         spans[c] = span if span else 1.0
     probe = syn.select(*fields) if sample_syn is None else seeded_sample(syn.select(*fields), n_probe, seed, "near_syn")
     if sample_real is None:
-        mins = {c: stats[f"mn_{c}"] if stats[f"mn_{c}"] is not None else 0.0 for c in numerical}
-        found = _close_rows(real, probe, numerical, categorical, mins, spans, threshold)
+        found = _close_rows(real, probe, numerical, categorical, spans, threshold)
         return found.select(r6(F.when(F.col("probed_rows") > 0, F.col("close_rows") / F.col("probed_rows")).otherwise(F.lit(0.0)))
                             .alias("high_similarity_rate"),
                             F.col("close_rows").cast("bigint").alias("close_rows"), F.col("probed_rows").cast("bigint").alias("probed_rows"))
@@ -225,6 +194,55 @@ def _scaled_min(ref: Column, columns: Sequence[str], numerical: set[str], scales
     return F.array_min(F.transform(ref, dist))
 
 
+def _scales(train: DataFrame, numerical: Sequence[str]) -> dict[str, float]:
+    """Population std of each numeric column of the whole training table; 1 where it is nothing."""
+    if not numerical:
+        return {}
+    stds = train.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in numerical]).first()
+    return {c: float(stds[c]) if stds[c] is not None and math.isfinite(stds[c]) and stds[c] > 1e-8 else 1.0 for c in numerical}
+
+
+def attack_report(exact: DataFrame, to_train: DataFrame, to_holdout: DataFrame, members: DataFrame, nonmembers: DataFrame) -> DataFrame:
+    """V4-V6 from nearest distances over whole tables, frames of (d, m): m rows have the distance d.
+
+    near_training_match_rate (d < 0.01), exact medians, and the AUC of an attack that takes rows close to synthetic ones for members.
+    ``exact`` is a one-row frame and comes first. Rates and medians of no rows are null.
+    """
+    from tabvet.operators.evaluation import roc_auc
+
+    both = to_train.select(F.lit("train").alias("side"), "d", "m").unionByName(to_holdout.select(F.lit("holdout").alias("side"), "d", "m"))
+    medians = exact_quantiles(both, ["side"], "d", [0.5], weight="m")
+    medians = medians.agg(*[r6(F.max(F.when(F.col("side") == t, F.col("q")))).alias(f"median_distance_to_{t}") for t in ("train", "holdout")])
+    near = to_train.agg(r6(F.try_divide(F.sum(F.when(F.col("d") < DISTANCE_NEAR, F.col("m")).otherwise(0)), F.sum("m"))).alias("near_training_match_rate"))
+    scored = members.select(F.lit(1).alias("label"), (-F.col("d")).alias("score"), "m").unionByName(
+        nonmembers.select(F.lit(0).alias("label"), (-F.col("d")).alias("score"), "m"))
+    auc = roc_auc(scored, "label", "score", weight="m").agg(F.max("auc").alias("distance_attack_auc"))
+    counts = scored.agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("m"))), F.lit(0)).cast("bigint").alias(n) for k, n in ((1, "train_rows"), (0, "holdout_rows"))])
+    return exact.crossJoin(near).crossJoin(medians).crossJoin(auc).crossJoin(counts)  # one-row frames
+
+
+def distance_privacy_all(train: DataFrame, holdout: DataFrame, syn: DataFrame, numerical: Sequence[str] | None = None) -> DataFrame:
+    """V4 + V6 over all rows of the three tables: every row finds its exact nearest neighbour, none is sampled.
+
+    The distance is that of ``distance_privacy``: the mean over the columns of |a - b| / std (nulls: both 0, one 1) and
+    of 0 or 1 for categories.
+    """
+    cols = list(train.columns)
+    types = schema_types(train)
+    num = list(numerical) if numerical is not None else [c for c in cols if is_numeric_type(types[c])]
+    cat = [c for c in cols if c not in num]
+    scales = _scales(train, num)
+    space = MeanDifference(np.array([scales[c] for c in num], float), len(cols))
+
+    def distances(reference: DataFrame, probe: DataFrame) -> DataFrame:
+        search = reference if isinstance(reference, Search) else Search(as_points(reference, num, cat), space, len(num), len(cat))
+        return cut_lineage(search.nearest(as_points(probe, num, cat)).select(F.get("nearest", F.lit(0))["d"].alias("d"), "m").where("d IS NOT NULL"))
+
+    synthetic = Search(as_points(syn, num, cat), space, len(num), len(cat))
+    exact = exact_match_rate(train, syn, cols).select(F.col("exact_duplicate_rate").alias("exact_training_match_rate"))
+    return attack_report(exact, distances(train, syn), distances(holdout, syn), distances(synthetic, train), distances(synthetic, holdout))
+
+
 def distance_privacy(train: DataFrame, holdout: DataFrame, syn: DataFrame, cap: int = DISTANCE_CAP, seed: int = 42,
                      numerical: Sequence[str] | None = None) -> DataFrame:
     """V4 + V6: exact training-match rate, near (< 0.01) rate, median distances, attack AUC.
@@ -237,12 +255,7 @@ def distance_privacy(train: DataFrame, holdout: DataFrame, syn: DataFrame, cap:
     cols = list(train.columns)
     types = schema_types(train)
     num = set(numerical) if numerical is not None else {c for c in cols if is_numeric_type(types[c])}
-    stds = train.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols if c in num]).first() if num else {}
-    scales = {}
-    for c in cols:
-        if c in num:
-            s = stds[c]
-            scales[c] = float(s) if s is not None and math.isfinite(s) and s > 1e-8 else 1.0
+    scales = _scales(train, [c for c in cols if c in num])
     typed = [F.col(c).cast("double").alias(c) if c in num else F.col(c).cast("string").alias(c) for c in cols]
     fields = [(c, T.DoubleType() if c in num else T.StringType()) for c in cols]
 

@@ -388,6 +388,18 @@ SELECT round(least(greatest(1.0 - 0.7 * exact_duplicate_rate - 0.3 * high_simila
             WHEN exact_duplicate_rate + 0.5 * high_similarity_rate >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS privacy_risk_level
 FROM dup, near"""
 
+# Every synthetic row against every real row. One differing category alone costs 1/8, so close rows agree on all of them.
+NEAR_ALL_CTE = f"""real AS (SELECT {_COLS} FROM li WHERE src = 0), syn AS (SELECT row_number() OVER () AS id, {_COLS} FROM li WHERE src = 1),
+sp AS (SELECT {', '.join(f"coalesce(nullif(max({c}) - min({c}), 0), 1.0) AS {c}" for c in _NUMS)} FROM real),
+best AS (SELECT s.id, min({_GOWER}) AS d FROM syn s JOIN real o
+           ON {' AND '.join(f"coalesce(CAST(s.{c} AS VARCHAR), 'None') = coalesce(CAST(o.{c} AS VARCHAR), 'None')" for c in _CATS)}
+         CROSS JOIN sp GROUP BY s.id),
+near AS (SELECT round(CASE WHEN t.n > 0 THEN count(*) FILTER (WHERE d < 0.05) / t.n ELSE 0.0 END, 6) + 0.0 AS high_similarity_rate,
+                CAST(count(*) FILTER (WHERE d < 0.05) AS BIGINT) AS close_rows, CAST(t.n AS BIGINT) AS probed_rows
+         FROM best RIGHT JOIN (SELECT count(*) AS n FROM syn) t ON TRUE GROUP BY t.n)"""
+NEAR_MATCH_ALL = f"WITH {PAIR}, {NEAR_ALL_CTE} SELECT * FROM near"
+PRIVACY_SCORE_ALL = PRIVACY_SCORE.replace(NEAR_CTE, NEAR_ALL_CTE)
+
 THIRDS = """
 li3 AS (
   SELECT l_quantity, l_extendedprice, l_extendedprice * (1.0 - l_discount) AS net_price,
@@ -436,7 +448,20 @@ SELECT exact_training_match_rate,
        CAST(128 AS BIGINT) AS sample_cap
 FROM ex, auc"""
 
+def _dp_all(t: int) -> str:
+    return f"(SELECT row_number() OVER () AS id, {_COLS} FROM li3 WHERE t = {t})"
+
+
+DISTANCE_PRIVACY_ALL = DISTANCE_PRIVACY
+for _t, _tag in ((0, "dp_train"), (1, "dp_holdout"), (2, "dp_syn")):
+    DISTANCE_PRIVACY_ALL = DISTANCE_PRIVACY_ALL.replace(f"(SELECT row_number() OVER () AS id, * FROM {_dp_sample(_t, _tag)})", _dp_all(_t))
+DISTANCE_PRIVACY_ALL = (DISTANCE_PRIVACY_ALL.replace("AS train_sample_count", "AS train_rows").replace("AS holdout_sample_count,", "AS holdout_rows")
+                        .replace("       CAST(128 AS BIGINT) AS sample_cap\n", ""))
+
 ORACLE.update({
+    "v2_near_match_rate_all": NEAR_MATCH_ALL,
+    "v3_privacy_score_all": PRIVACY_SCORE_ALL,
+    "v4_distance_privacy_all": DISTANCE_PRIVACY_ALL,
     "v1_exact_match_rate": EXACT_MATCH,
     "v2_near_match_rate": NEAR_MATCH,
     "v3_privacy_score": PRIVACY_SCORE,

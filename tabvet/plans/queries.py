@@ -182,7 +182,14 @@ def q_distance_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priv.distance_privacy(train, holdout, syn, cap=128, seed=42)
 
 
+def q_distance_privacy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priv.distance_privacy_all(*lineitem_thirds(spark, sf_dir))
+
+
 QUERIES.update({
+    "v2_near_match_rate_all": _pair(lambda real, syn: priv.near_match_rate(real, syn, sample_syn=None, sample_real=None)),
+    "v3_privacy_score_all": _pair(lambda real, syn: priv.privacy_score(real, syn, sample_syn=None, sample_real=None)),
+    "v4_distance_privacy_all": q_distance_privacy_all,
     "v1_exact_match_rate": _pair(priv.exact_match_rate),
     "v2_near_match_rate": _pair(priv.near_match_rate),
     "v3_privacy_score": _pair(priv.privacy_score),
