@@ -177,6 +177,33 @@ class Euclidean(Space):
         return np.sqrt(sum(_gap(at[:, j], boxes.low[:, j], boxes.high[:, j]) ** 2 for j in range(at.shape[1])))
 
 
+@dataclass
+class SquaredMixed(Space):
+    """Squared Euclidean distance of the numbers, and 2 for each category that differs, as one-hot columns have it."""
+
+    numbers: int
+    weights: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.weights = np.ones(self.numbers)
+
+    def distances(self, x, c, y, e):
+        out = np.zeros((len(x), len(y)))
+        for j in range(self.numbers):
+            out += (x[:, j, None] - y[None, :, j]) ** 2
+        for j in range(c.shape[1]):
+            out += 2.0 * (c[:, j, None] != e[None, :, j])
+        return out
+
+    def bounds(self, x, c, boxes):
+        out = np.zeros((len(x), len(boxes.low)))
+        for j in range(self.numbers):
+            out += _gap(x[:, j], boxes.low[:, j], boxes.high[:, j]) ** 2
+        for j in range(c.shape[1]):
+            out += 2.0 * _foreign(c[:, j], boxes.code_low[:, j], boxes.code_high[:, j])
+        return out
+
+
 @dataclass
 class Tree:
     """A k-d tree: per node the column that it splits (numbers first, then codes; -1 in a leaf), the value that goes left at most, children, leaf number."""
@@ -332,8 +359,8 @@ class Search:
                 for row in range(b.num_rows):
                     get = lambda name, kind: np.frombuffer(b.column(name)[row].as_buffer(), kind)  # noqa: B023, E731
                     pid, u, m, s = get("pid", "<i8"), get("u", "<f8"), get("m", "<i8"), get("s", "<f8")
-                    d = space.distances(get("x", "<f8").reshape(-1, numbers), get("c", "<i8").reshape(-1, codes),
-                                        get("y", "<f8").reshape(-1, numbers), get("e", "<i8").reshape(-1, codes))
+                    d = space.distances(get("x", "<f8").reshape(len(pid), numbers), get("c", "<i8").reshape(len(pid), codes),
+                                        get("y", "<f8").reshape(len(m), numbers), get("e", "<i8").reshape(len(m), codes))
                     seen = np.zeros(len(pid), np.int64)
                     open_ = np.arange(len(pid))
                     while len(open_):  # one distance more for each probe that has fewer than k rows
@@ -356,16 +383,16 @@ class Search:
         return packs.join(self.blocks, "cell").mapInArrow(run, "pid bigint, d double, m bigint, s double")
 
     def nearest(self, probe: DataFrame, k: int = 1, within: float = float("inf"), one_is_enough: bool = False) -> DataFrame:
-        """x, c, m of every distinct probe (``m``: how many) and ``nearest``: distances up to that of the k-th nearest row, falling no farther than ``within``.
+        """x, c, m, s of every distinct probe (``m``: how many, ``s``: sum of theirs) and ``nearest``: distances up to that of the k-th nearest row, falling no farther than ``within``.
 
         Each distance comes with the number m and the sum s of the reference rows
         there; all rows that tie with the k-th are in. ``one_is_enough``: a probe that
         finds a row below ``within`` in its own cell looks no further, so its list may lack nearer ones.
         """
-        rows = probe.groupBy("x", "c").agg(F.sum("m").cast("bigint").alias("m"))
+        rows = probe.groupBy("x", "c").agg(F.sum("m").cast("bigint").alias("m"), F.sum("s").cast("double").alias("s"))
         if not self.n:
             return rows.withColumn("nearest", F.array().cast(NEAREST))
-        located = self._located(rows, "m bigint")
+        located = self._located(rows, "m bigint, s double")
         located = cut_lineage(located.withColumn("pid", F.monotonically_increasing_id()))
         first_packs = self._dealt(located).mapInArrow(_packer(self.numbers, self.codes, True, within), _PACK)
         first = cut_lineage(self._compared(first_packs, k))
@@ -376,7 +403,7 @@ class Search:
         second_packs = self._dealt(reach).mapInArrow(self._visits(), _PACK)
         second = self._compared(second_packs, k)
         found = _merged(first.unionByName(second), k)
-        return located.join(found, "pid", "left").select("x", "c", "m", F.coalesce("nearest", F.array().cast(NEAREST)).alias("nearest"))
+        return located.join(found, "pid", "left").select("x", "c", "m", "s", F.coalesce("nearest", F.array().cast(NEAREST)).alias("nearest"))
 
     def _visits(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         space, boxes, ids, numbers, codes = self.space, self.boxes, self.cell_ids, self.numbers, self.codes

@@ -29,6 +29,12 @@ def lineitem_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return real, syn
 
 
+def lineitem_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair's columns of every row of ``lineitem``."""
+    li = load_table(spark, sf_dir, "lineitem")
+    return li.withColumn("net_price", F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).select(*PAIR_COLUMNS)
+
+
 def documents_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels joined to document features (doc_id, lang, source, n_chars, quality, toxic)."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")

@@ -1005,6 +1005,10 @@ SELECT exact_training_match_rate,
 FROM ex, auc"""
 
 ORACLE["v5_sequence_distance_privacy"] = _SEQ_PRIV
+# Every window instead of 128 of each set.
+_SEQ_PRIV_ALL = _SEQ_PRIV.replace(" LIMIT 128)", ")").replace("CAST(128 AS BIGINT) AS sample_cap", """
+       (SELECT count(*) FROM ids WHERE split = 'train') AS train_rows, (SELECT count(*) FROM ids WHERE split = 'validation') AS holdout_rows""")
+ORACLE["v5_sequence_distance_privacy_all"] = _SEQ_PRIV_ALL
 
 
 # ---- T18: temporal gates on validation windows vs bootstrapped training windows ----
@@ -1023,10 +1027,10 @@ _GATE_LV = """SELECT 0 AS src, wid, t, 0 AS f, f0 AS v FROM win WHERE split = 'v
               UNION ALL SELECT 0, wid, t, 1, f1 FROM win WHERE split = 'validation'
               UNION ALL SELECT 1, wid, CAST(pos // 2 AS BIGINT), CAST(pos % 2 AS INTEGER), v FROM bflat"""
 
-_PRIV_CTES = _SEQ_PRIV.split("WITH " + SCALE + ",", 1)[1].rsplit("\nSELECT exact_training_match_rate,", 1)[0]
-_TAIL = _SEQ_PRIV.rsplit("\nSELECT exact_training_match_rate,", 1)[1]
-
-TEMPORAL_GATES = f"""WITH {SCALE}, {_PRIV_CTES},
+def _gates_sql(privacy: str) -> str:
+    _PRIV_CTES = privacy.split("WITH " + SCALE + ",", 1)[1].rsplit("\nSELECT exact_training_match_rate,", 1)[0]
+    _TAIL = privacy.rsplit("\nSELECT exact_training_match_rate,", 1)[1]
+    return f"""WITH {SCALE}, {_PRIV_CTES},
 privacy AS (SELECT exact_training_match_rate,{_TAIL}),
 per AS (WITH {_metrics_from(_GATE_LV)}),
 f AS (SELECT avg(ks_statistic) AS ks, avg(acf_error) AS acf, count(acf_error) AS n_acf, sum(ks_statistic) AS sks,
@@ -1039,7 +1043,8 @@ g AS (SELECT list_filter([CASE WHEN exact_training_match_rate > 0.05 THEN 'exact
       FROM f, privacy)
 SELECT failed_gates, len(failed_gates) = 0 AS eligible, validation_score FROM g"""
 
-ORACLE["t18_temporal_gates"] = TEMPORAL_GATES
+ORACLE["t18_temporal_gates"] = _gates_sql(_SEQ_PRIV)
+ORACLE["t18_temporal_gates_all"] = _gates_sql(_SEQ_PRIV_ALL)
 
 _CODES = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST(dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 AS BIGINT) AS code FROM orders"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabvet.operators import fidelity as fid
-from tabvet.plans.fixtures import lineitem_halves
+from tabvet.plans.fixtures import lineitem_halves, lineitem_whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -276,13 +276,13 @@ def q_bootstrap_orders_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_copula_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real, _ = lineitem_halves(spark, sf_dir)
+    real = lineitem_whole(spark, sf_dir)
     model = gen.copula_fit(real)
     return gen.copula_sample(spark, model, real.count(), seed=42)
 
 
 def q_copula_lineitem_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    real, _ = lineitem_halves(spark, sf_dir)
+    real = lineitem_whole(spark, sf_dir)
     model = gen.copula_fit(real)
     return gen.copula_sample(spark, model, real.count() // 4, seed=42, where={"l_returnflag": "R"})
 
@@ -315,6 +315,7 @@ QUERIES.update({
 
 from tabvet.operators import sequences as seq  # noqa: E402
 from tabvet.plans.fixtures import event_grid  # noqa: E402
+from tabvet.session import cut_lineage  # noqa: E402
 
 GRID_SPEC = seq.SequenceSpec(timestamp="hour", features=("n_events", "value_sum"), entity="event_type",
                              sequence_length=24, stride=6, test_fraction=0.2, validation_fraction=0.2)
@@ -386,6 +387,21 @@ def q_sequence_privacy(spark, sf_dir):
     return seq.sequence_distance_privacy(train, w.where(F.col("split") == "validation"), syn, cap=128, seed=42)
 
 
+def q_sequence_privacy_all(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    train = w.where(F.col("split") == "train")
+    syn = cut_lineage(seq.window_bootstrap(train, w.where(F.col("split") == "test").count(), seed=42))
+    return seq.sequence_distance_privacy_all(train, w.where(F.col("split") == "validation"), syn)
+
+
+def q_temporal_gates_all(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    train, val = w.where(F.col("split") == "train"), w.where(F.col("split") == "validation")
+    syn = cut_lineage(seq.window_bootstrap(train, w.where(F.col("split") == "test").count(), seed=42))
+    per, _ = seq.sequence_metrics(val, syn, 2, 24)
+    return seq.temporal_gates(per, seq.sequence_distance_privacy_all(train, val, syn))
+
+
 def q_temporal_gates(spark, sf_dir):
     w = _grid_windows(spark, sf_dir).windows
     train = w.where(F.col("split") == "train")
@@ -406,6 +422,8 @@ QUERIES.update({
     "t11_t15_sequence_metrics": q_sequence_metrics,
     "t15_t16_sequence_summary": q_sequence_summary,
     "v5_sequence_distance_privacy": q_sequence_privacy,
+    "v5_sequence_distance_privacy_all": q_sequence_privacy_all,
+    "t18_temporal_gates_all": q_temporal_gates_all,
     "t18_temporal_gates": q_temporal_gates,
 })
 
@@ -500,7 +518,6 @@ QUERIES.update({
 # ---- flagship: bootstrap lineitem, then validate it (G1 + F10 + V3 + C3) ----
 
 from tabvet.operators import validation as val  # noqa: E402
-from tabvet.session import cut_lineage  # noqa: E402
 from tabvet.operators.pairs import column_kinds_of  # noqa: E402
 from tabvet.plans.fixtures import PAIR_COLUMNS  # noqa: E402
 
@@ -525,8 +542,9 @@ from pyspark.ml.functions import vector_to_array  # noqa: E402
 from tabvet.operators import models as mdl  # noqa: E402
 
 
-def _syn_bootstrap_half(spark, sf_dir):
-    real, _ = lineitem_halves(spark, sf_dir)
+def _syn_bootstrap(spark, sf_dir):
+    """The whole of lineitem and a bootstrap of half as many rows."""
+    real = lineitem_whole(spark, sf_dir)
     syn = gen.bootstrap_sample(real, max(1, real.count() // 2), seed=7).drop("_draw")
     return real, syn
 
@@ -585,12 +603,12 @@ def q_forecast(spark, sf_dir):
 
 QUERIES.update({
     "d9_mixed_features_lineitem": q_mixed_features,
-    "d10_mmd_lineitem": lambda spark, sf_dir: mdl.mmd(*_syn_bootstrap_half(spark, sf_dir), cap=500),
-    "d10_mmd_rff_lineitem": lambda spark, sf_dir: mdl.mmd(*_syn_bootstrap_half(spark, sf_dir), cap=None),
-    "d11_discriminator_ensemble_lineitem": lambda spark, sf_dir: mdl.discriminator_ensemble(*_syn_bootstrap_half(spark, sf_dir)),
-    "d12_pca_structure_lineitem": lambda spark, sf_dir: mdl.pca_structure_score(*_syn_bootstrap_half(spark, sf_dir)),
-    "d13_knn_discriminator_lineitem": lambda spark, sf_dir: mdl.knn_discriminator(*_syn_bootstrap_half(spark, sf_dir)),
-    "d14_unsupervised_utility_lineitem": lambda spark, sf_dir: mdl.unsupervised_utility(*_syn_bootstrap_half(spark, sf_dir)),
+    "d10_mmd_lineitem": lambda spark, sf_dir: mdl.mmd(*_syn_bootstrap(spark, sf_dir), cap=500),
+    "d10_mmd_rff_lineitem": lambda spark, sf_dir: mdl.mmd(*_syn_bootstrap(spark, sf_dir), cap=None),
+    "d11_discriminator_ensemble_lineitem": lambda spark, sf_dir: mdl.discriminator_ensemble(*_syn_bootstrap(spark, sf_dir)),
+    "d12_pca_structure_lineitem": lambda spark, sf_dir: mdl.pca_structure_score(*_syn_bootstrap(spark, sf_dir)),
+    "d13_knn_discriminator_lineitem": lambda spark, sf_dir: mdl.knn_discriminator(*_syn_bootstrap(spark, sf_dir)),
+    "d14_unsupervised_utility_lineitem": lambda spark, sf_dir: mdl.unsupervised_utility(*_syn_bootstrap(spark, sf_dir)),
     "u7_evaluate_split_labeled_docs": q_evaluate_split,
     "u7_evaluate_split_regression": q_evaluate_regression,
     "u8_compare_augmentation": q_compare_augmentation,
