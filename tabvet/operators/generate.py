@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tabvet.functions.exprs import as_category, box_muller, norm_cdf, probit, probit_step, row_key, seeded_uniform
 from tabvet.session import cut_lineage
-from tabvet.operators.pairs import (INTEGER_TYPES, column_kinds_of, dense_index, distinct_counts, is_numeric_type,
+from tabvet.operators.pairs import (INTEGER_TYPES, column_kinds_of, distinct_counts, hash_index, is_numeric_type,
                                     kinds_from, long_categorical, long_numeric, prefix_sum, rank_within, schema_types)
 
 # Relative noise of the bootstrap and copula grid resolution.
@@ -71,7 +71,7 @@ def bootstrap_sample(df: DataFrame, n: int, seed: int = 42, where: dict | None =
             raise GeneratorError(f"no row meets {where!r}")
         raise GeneratorError("nothing to draw from: the table is empty")
     keyed = source.withColumn("_u", seeded_uniform(seed, row_key(source), "bootstrap_index"))
-    indexed = dense_index(keyed, ["_u"], "_idx").drop("_u")
+    indexed = hash_index(keyed, "_u").drop("_u")
     draws = spark.range(int(n)).select(
         F.col("id").alias("_draw"),
         F.floor(seeded_uniform(seed, F.col("id"), "draw") * F.lit(m)).cast("bigint").alias("_idx"))

@@ -271,6 +271,18 @@ def dense_index(df: DataFrame, order: Sequence[str] | Column, name: str = "_idx"
                        single_task_rows=single_task_rows).drop("_g")
 
 
+def hash_index(df: DataFrame, uniform: str, name: str = "_idx", buckets: int = 1024, single_task_rows: int | None = None) -> DataFrame:
+    """0..N-1 in the order of ``uniform``, a hash in [0, 1); ties only among interchangeable rows.
+
+    Rows are ranked inside buckets of hashes, and a bucket's first rank is the number of rows before it.
+    """
+    held = df.withColumn("_b", F.least(F.floor(F.col(uniform) * buckets), F.lit(buckets - 1)).cast("int"))
+    sizes = held.groupBy("_b").agg(F.count(F.lit(1)).alias("_k")).withColumn("_g", F.lit(0))
+    first = sizes.select("_b", (F.sum("_k").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_k")).alias("_first"))  # ``buckets`` rows
+    ranked = rank_within(held, ["_b"], [uniform], name, single_task_rows=single_task_rows)
+    return ranked.join(first, "_b").withColumn(name, F.col(name) + F.col("_first")).drop("_b", "_first")
+
+
 def expand_counts(df: DataFrame, count_col: str, chunk: int = 4096) -> DataFrame:
     """Repeat each row ``count_col`` times, spreading big repeats over tasks.
 

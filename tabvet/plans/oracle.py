@@ -9,6 +9,13 @@ li AS (
          (('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 13))::BIGINT % 2)::INTEGER AS src
   FROM lineitem)"""
 
+#: All rows of lineitem as one table (src 0).
+PAIR_WHOLE = """
+li AS (
+  SELECT l_quantity, l_extendedprice, l_extendedprice * (1.0 - l_discount) AS net_price,
+         l_discount, l_tax, l_linenumber, l_returnflag, l_linestatus, 0 AS src
+  FROM lineitem)"""
+
 NUM_COLS = ["l_quantity", "l_extendedprice", "net_price"]
 CAT_COLS = ["l_discount", "l_tax", "l_linenumber", "l_returnflag", "l_linestatus"]
 
@@ -211,6 +218,7 @@ ORACLE.update({
 })
 
 ORACLE.update({
+    "c1_discover_constraints_all": op.constraints_discover_sql("lineitem"),
     "c1_discover_constraints": op.constraints_discover_sql("lineitem_real"),
     "c2_constraint_violations": op.constraint_violations_sql("lineitem_real", "lineitem_syn"),
     "c3_validity_score": op.validity_sql("lineitem_real", "lineitem_syn"),
@@ -312,6 +320,7 @@ FROM r WHERE rn <= (SELECT k FROM k)"""
 ORACLE.update({
     "d1_pearson_similarity": PEARSON_SIM,
     "d2_spearman_pairs": SPEARMAN_PAIRS,
+    **{f"{k}_all": q.replace(PAIR, PAIR_WHOLE) for k, q in (("d2_spearman_pairs", SPEARMAN_PAIRS), ("d3_cramers_v", CRAMERS), ("d5_correlation_ratio", ETA))},
     "d2_spearman_similarity": SPEARMAN_SIM,
     "d3_cramers_v": CRAMERS,
     "d4_categorical_dependency_similarity": CAT_DEP_SIM,
@@ -894,6 +903,7 @@ FROM v JOIN ids USING (wid), st"""
 ORACLE.update({
     "n4_plan_supplier_ratio": PLAN_OVERRIDE,
     "t9_windows_to_rows": WINDOWS_TO_ROWS,
+    "t9_windows_to_rows_all": WINDOWS_TO_ROWS.replace(" WHERE split = 'validation'", ""),
 })
 
 
@@ -965,6 +975,8 @@ UNION ALL SELECT 'passed', CASE WHEN {_py('avg(value)', 4)} >= 0.55 THEN 1.0 ELS
 UNION ALL SELECT 'validity_score', validity_score FROM vld"""
 
 ORACLE["f10_validation_summary_bootstrap"] = FLAGSHIP
+# The whole of lineitem as the real table, every row in the privacy part.
+ORACLE["f10_validation_summary_all"] = FLAGSHIP.replace("FROM base WHERE src = 0)", "FROM base)").replace(_body(PRIVACY_SCORE), _body(PRIVACY_SCORE_ALL))
 
 
 # ---- V5: sequence distance privacy over the hourly grid windows ----------------
@@ -1053,3 +1065,38 @@ ORACLE.update({
     "g9_mixed_encode_orders": f"SELECT column_name, code, count(*) AS n FROM ({_CODES}) GROUP BY ALL",
     "g10_codec_round_trip_orders": "SELECT * REPLACE (round(o_totalprice, 6) + 0.0 AS o_totalprice) FROM orders",
 })
+
+
+# ---- T17: ridge with a free intercept, its normal equations solved by elimination ----
+
+_T17_KEEP, _T17_P = 22, 45  # prefix steps of two features, and the intercept
+FORECAST = f"""WITH RECURSIVE {SCALE},
+flat AS (SELECT wid, split, t * 2 + 0 AS pos, f0 AS v FROM win UNION ALL SELECT wid, split, t * 2 + 1, f1 FROM win),
+ids AS (SELECT DISTINCT wid, split FROM win),
+tr_ix AS (SELECT wid, row_number() OVER (ORDER BY {_md5u('42:window_index', 'wid')}, wid) - 1 AS i FROM ids WHERE split = 'train'),
+draws AS (SELECT range AS draw, CAST(floor({_md5u('42:draw', 'CAST(range AS VARCHAR)')} / 4503599627370496.0
+                * (SELECT count(*) FROM tr_ix)) AS BIGINT) AS i FROM range((SELECT count(*) FROM tr_ix))),
+rows AS (SELECT 0 AS tag, wid AS id, wid FROM ids WHERE split = 'train' UNION ALL SELECT 2, wid, wid FROM ids WHERE split = 'test'
+         UNION ALL SELECT 1, 'b' || CAST(draw AS VARCHAR), wid FROM draws JOIN tr_ix USING (i)),
+z AS (SELECT tag, id, CAST(CASE WHEN pos < 44 THEN pos WHEN pos = 44 THEN 45 ELSE 46 END AS INTEGER) AS j, v
+      FROM rows JOIN flat USING (wid) WHERE pos < 44 OR pos IN (44, 46)
+      UNION ALL SELECT tag, id, 44, 1.0 FROM rows),
+g AS (SELECT a.tag, a.j AS i, b.j, sum(a.v * b.v) AS v FROM z a JOIN z b ON a.tag = b.tag AND a.id = b.id WHERE a.tag < 2 AND a.j < 45 GROUP BY 1, 2, 3),
+sets AS (SELECT 'real_only' AS training, 0 AS tag UNION ALL SELECT 'synthetic_only', 1 UNION ALL SELECT 'augmented', 0 UNION ALL SELECT 'augmented', 1),
+sys AS (SELECT training, i, j, sum(v) + CASE WHEN i = j AND i < 44 THEN 1.0 ELSE 0.0 END AS v FROM sets JOIN g USING (tag) GROUP BY training, i, j),
+line AS (SELECT training, i, list(v ORDER BY j) AS r FROM sys GROUP BY training, i),
+elim(training, k, m) AS (
+    SELECT training, 0, list(r ORDER BY i) FROM line GROUP BY training
+    UNION ALL
+    SELECT training, k + 1, list_transform(range(1, 46), lambda i: CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+               ELSE list_transform(range(1, 48), lambda j: m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+    FROM elim WHERE k < 45),
+coef AS (SELECT training, i - 1 AS j, m[i][46] AS c0, m[i][47] AS c1 FROM elim, unnest(range(1, 46)) AS u(i) WHERE k = 45),
+pred AS (SELECT training, id, sum(v * c0) AS p0, sum(v * c1) AS p1 FROM z JOIN coef USING (j) WHERE tag = 2 GROUP BY 1, 2),
+act AS (SELECT id, max(v) FILTER (WHERE j = 45) AS y0, max(v) FILTER (WHERE j = 46) AS y1 FROM z WHERE tag = 2 GROUP BY 1),
+e AS (SELECT training, p0 - y0 AS e FROM pred JOIN act USING (id) UNION ALL SELECT training, p1 - y1 FROM pred JOIN act USING (id))
+SELECT training, round(avg(abs(e)) * max(s) / 2, 6) + 0.0 AS mae, round(sqrt(avg(e * e)) * max(s) / 2, 6) + 0.0 AS rmse,
+       2 AS horizon, 0 AS target_index
+FROM e, (SELECT CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END AS s FROM st) GROUP BY training"""
+
+ORACLE["t17_forecast_utility"] = FORECAST
