@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -20,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvet.functions.exprs import as_category, box_muller, norm_cdf, probit, probit_step, row_key, seeded_uniform
-from tabvet.session import cut_lineage
+from tabvet.session import checkpoint_dir, cut_lineage
 from tabvet.operators.pairs import (INTEGER_TYPES, column_kinds_of, distinct_counts, hash_index, is_numeric_type,
                                     kinds_from, long_categorical, long_numeric, prefix_sum, rank_within, schema_types)
 
 # Relative noise of the bootstrap and copula grid resolution.
 BOOTSTRAP_NOISE = 0.01
 COPULA_GRID = 1000
-MAX_COPULA_CATEGORIES = 50_000
+# Buckets of [0, 1) that level intervals and draws are joined on.
+LEVEL_BUCKETS = 1024
 
 
 class GeneratorError(ValueError):
@@ -35,11 +38,16 @@ class GeneratorError(ValueError):
 
 
 def _condition_mask(df: DataFrame, where: dict | None) -> Column:
-    """Rows whose value equals the condition by string form (booleans case-insensitive)."""
+    """Rows whose value equals the condition by string form (booleans case-insensitive) or lies in (low, high), None being open."""
     mask = F.lit(True)
     for col, value in (where or {}).items():
         if col not in df.columns:
             raise GeneratorError(f"Condition column '{col}' not found.")
+        if isinstance(value, tuple):
+            low, high = value
+            inside = F.col(col).isNotNull()
+            mask = mask & (inside if low is None else inside & (F.col(col) >= F.lit(low))) & (F.lit(True) if high is None else F.col(col) <= F.lit(high))
+            continue
         text = str(value).lower() if isinstance(value, bool) else str(value)
         left = F.lower(F.col(col).cast("string")) if isinstance(value, bool) else F.col(col).cast("string")
         if isinstance(value, float) and value.is_integer() and isinstance(schema_types(df)[col], INTEGER_TYPES):
@@ -132,7 +140,7 @@ class CopulaModel:
     numerical: list[str]
     categorical: list[str]
     grids: dict[str, list[float]]            # numeric: quantiles at k / (K - 1)
-    categories: dict[str, list[tuple[str | None, float, float]]]  # (value, lo, hi) cumulative shares
+    levels: DataFrame | None                 # written table: col, v, and the interval lo <= u < hi of the level's cumulative share
     null_share: dict[str, float]
     corr: list[list[float]]
     latent: list[str] = field(default_factory=list)
@@ -141,7 +149,8 @@ class CopulaModel:
 def copula_fit(df: DataFrame, grid: int = COPULA_GRID) -> CopulaModel:
     """Marginals (quantile grids / category intervals) + latent normal correlation.
 
-    Normal scores use mid-rank CDF values from a distributed prefix sum; the
+    Grids come from mergeable quantile sketches with a rank error of at most 1 in 10,000. Levels, as many as there are, stay
+    in a table in the shared folder, which joins broadcast only if it is small. Normal scores use mid-rank CDF values from a distributed prefix sum; the
     correlation matrix comes from one aggregate of pair moments.
     """
     from tabvet.operators.fidelity import pearson_pairs
@@ -149,10 +158,6 @@ def copula_fit(df: DataFrame, grid: int = COPULA_GRID) -> CopulaModel:
     types = schema_types(df)
     unique = distinct_counts(df)
     numerical, categorical = kinds_from(df, unique)
-    wide = [c for c in categorical if unique[c] > MAX_COPULA_CATEGORIES]
-    if wide:
-        # category intervals live on the driver and are broadcast: keep them bounded
-        raise GeneratorError(f"Columns {wide} have more than {MAX_COPULA_CATEGORIES} categories; drop or bin them first.")
     probs = [k / (grid - 1) for k in range(grid)]
     grids = {}
     if numerical:
@@ -164,17 +169,13 @@ def copula_fit(df: DataFrame, grid: int = COPULA_GRID) -> CopulaModel:
         null_share[c] = float(nulls[c] or 0.0)
     # row ids are materialised once so every branch joined below agrees on them
     rid = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
-    categories: dict[str, list] = {c: [] for c in categorical}
     lc = long_categorical(rid, categorical, extra=["_rid"], keep_null=True)
-    counts = sorted(lc.groupBy("col", "v").count().collect(), key=lambda r: (r["col"], r["v"]))
-    totals: dict[str, int] = {}
-    for r in counts:
-        totals[r["col"]] = totals.get(r["col"], 0) + int(r["count"])
-    acc: dict[str, float] = {}
-    for r in counts:
-        lo = acc.get(r["col"], 0.0)
-        acc[r["col"]] = lo + int(r["count"])
-        categories[r["col"]].append((r["v"], lo / totals[r["col"]], acc[r["col"]] / totals[r["col"]]))
+    levels = None
+    if categorical:
+        counts = lc.groupBy("col", "v").agg(F.count(F.lit(1)).alias("k"))
+        totals = counts.groupBy("col").agg(F.sum("k").alias("tot"))
+        ends = prefix_sum(counts, ["col"], "v", ["k"]).join(totals, "col")
+        levels = _written(ends.select("col", "v", ((F.col("cum_k") - F.col("k")) / F.col("tot")).alias("lo"), (F.col("cum_k") / F.col("tot")).alias("hi")))
     # latent normal scores: numeric via mid-rank CDF (one prefix sum for all
     # columns), categorical via the midpoint of the category interval
     ln = long_numeric(rid, numerical, extra=["_rid"])
@@ -183,11 +184,11 @@ def copula_fit(df: DataFrame, grid: int = COPULA_GRID) -> CopulaModel:
     cdf = prefix_sum(vc, ["col"], "v", ["k"]).join(F.broadcast(ntot), "col").select(
         "col", "v", ((F.col("cum_k") - F.col("k") / 2.0) / F.col("tot")).alias("p"))
     zn = ln.join(cdf, ["col", "v"]).select("_rid", "col", probit(F.col("p")).alias("z"))
-    mids = df.sparkSession.createDataFrame(
-        [(c, v, (lo + hi) / 2) for c in categorical for v, lo, hi in categories[c]], "col string, v string, p double")
-    zc = lc.join(F.broadcast(mids), ["col", "v"]).select("_rid", "col", probit(F.col("p")).alias("z"))
+    if categorical:
+        mids = levels.select("col", "v", ((F.col("lo") + F.col("hi")) / 2).alias("p"))
+        zn = zn.unionByName(lc.join(mids, ["col", "v"]).select("_rid", "col", probit(F.col("p")).alias("z")))
     latent_cols = [f"z_{c}" for c in numerical + categorical]
-    scores = zn.unionByName(zc).groupBy("_rid").pivot("col", numerical + categorical).agg(F.first("z"))
+    scores = zn.groupBy("_rid").pivot("col", numerical + categorical).agg(F.first("z"))
     scores = scores.toDF("_rid", *latent_cols)
     d = len(latent_cols)
     corr = np.eye(d)
@@ -196,7 +197,7 @@ def copula_fit(df: DataFrame, grid: int = COPULA_GRID) -> CopulaModel:
             i, j = latent_cols.index(r["a"]), latent_cols.index(r["b"])
             corr[i, j] = corr[j, i] = float(r["rho"])
     return CopulaModel(columns=list(df.columns), types={c: types[c].simpleString() for c in df.columns},
-                       numerical=numerical, categorical=categorical, grids=grids, categories=categories,
+                       numerical=numerical, categorical=categorical, grids=grids, levels=levels,
                        null_share=null_share, corr=_nearest_pd(corr).tolist(), latent=numerical + categorical)
 
 
@@ -220,82 +221,122 @@ def _grid_lookup(grid: list[float], u: Column) -> Column:
     return lo + (pos - i) * (hi - lo)
 
 
-def _category_lookup(items: list[tuple[str | None, float, float]], u: Column) -> Column:
-    """Category whose cumulative interval [lo, hi) contains u."""
-    arr = F.array(*[F.struct(F.lit(v).cast("string").alias("v"), F.lit(hi).alias("hi")) for v, _, hi in items])
-    hit = F.filter(arr, lambda e: e["hi"] > u)
-    return F.coalesce(F.element_at(hit, 1)["v"], F.element_at(arr, -1)["v"])
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, whose size Spark knows from its files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/levels-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _with_level(rows: DataFrame, levels: DataFrame, column: str, u: str, name: str) -> DataFrame:
+    """``name``: the level of ``column`` whose interval holds ``u``; joined on buckets of [0, 1)."""
+    b = F.lit(LEVEL_BUCKETS)
+    own = levels.where(F.col("col") == column).select(
+        F.col("v").alias(name), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
+        F.explode(F.sequence(F.floor(F.col("lo") * b).cast("int"), F.least(F.floor(F.col("hi") * b).cast("int"), b - 1))).alias("_bucket"))
+    keyed = rows.withColumn("_at", F.least(F.greatest(F.col(u), F.lit(0.0)), F.lit(1.0 - 2.0**-53)))
+    keyed = keyed.withColumn("_in", F.floor(F.col("_at") * b).cast("int"))
+    held = (F.col("_in") == F.col("_bucket")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
+    return keyed.join(own, held, "left").drop("_at", "_in", "_lo", "_hi", "_bucket")
+
+
+def _level_text(model: CopulaModel, column: str, value) -> str:
+    """A condition's value as the levels have it."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float) and value.is_integer() and model.types[column] in ("tinyint", "smallint", "int", "bigint"):
+        return str(int(value))
+    return str(value)
+
+
+def _inverse_normal(p: float) -> float:
+    return NormalDist().inv_cdf(min(max(p, 1e-300), 1 - 2.0**-53))
+
+
+def _latent_range(model: CopulaModel, column: str, value) -> tuple[float, float, float | None, float | None]:
+    """A condition as an interval of u, and for a numeric column as an interval of values."""
+    if column not in model.columns:
+        raise GeneratorError(f"Condition column '{column}' not found.")
+    if column in model.categorical:
+        if isinstance(value, tuple):
+            raise GeneratorError(f"'{column}' is categorical: an interval needs a numeric column.")
+        hit = model.levels.where((F.col("col") == column) & (F.col("v") == _level_text(model, column, value))).first()
+        if hit is None:
+            raise GeneratorError(f"No rows available for condition {column}={value!r}.")
+        return hit.lo, hit.hi, None, None
+    grid = np.asarray(model.grids.get(column) or [], float)
+    if not len(grid):
+        raise GeneratorError(f"'{column}' has no values.")
+    low, high = value if isinstance(value, tuple) else (value, value)
+    low, high = float(grid[0] if low is None else low), float(grid[-1] if high is None else high)
+    if model.types[column] in ("tinyint", "smallint", "int", "bigint"):
+        low, high = math.ceil(low), math.floor(high)
+    low, high = max(low, float(grid[0])), min(high, float(grid[-1]))
+    if not low <= high:
+        raise GeneratorError(f"No value of '{column}' meets {value!r}; its range is {grid[0]} to {grid[-1]}.")
+    places = np.linspace(0, 1, len(grid))
+
+    def share(x: float, side: str) -> float:
+        at = np.flatnonzero(grid == x)
+        return float(places[at[0] if side == "low" else at[-1]]) if len(at) else float(np.interp(x, grid, places))
+
+    return share(low, "low"), share(high, "high"), low, high
 
 
 def copula_sample(spark: SparkSession, model: CopulaModel, n: int, seed: int = 42, where: dict | None = None) -> DataFrame:
     """Latent normals -> correlated -> inverse marginals.
 
-    A condition on a categorical column draws that latent inside its
-    interval and the others from the conditional Gaussian (exact, no
-    rejection); the conditioned value is never overwritten afterwards.
+    ``where``: a value of a categorical or numeric column, or (low, high) of a numeric one, None being open. The
+    conditioned latents come first, each drawn from its normal given those before, truncated to
+    the condition's interval (sequential draws as in the GHK simulator); the others follow from their
+    normal given these. Every row meets the condition, none is rejected. With one condition the draws
+    are exactly those of the conditional copula; with several, the order of the conditions has a small influence.
     """
-    latent = model.latent
-    d = len(latent)
-    corr = np.array(model.corr) if d else np.zeros((0, 0))
     cond = dict(where or {})
-    for c in cond:
-        if c not in model.columns:
-            raise GeneratorError(f"Condition column '{c}' not found.")
-        if c not in model.categorical:
-            raise GeneratorError(f"Conditions are supported on categorical columns, not '{c}'.")
+    ranges = {c: _latent_range(model, c, v) for c, v in cond.items()}
+    latent = [*cond, *[c for c in model.latent if c not in cond]]
+    d = len(latent)
+    order = [model.latent.index(c) for c in latent]
+    chol = np.linalg.cholesky(_nearest_pd(np.array(model.corr)[np.ix_(order, order)])) if d else np.zeros((0, 0))
     # Stage the projections (draws -> eps -> z -> u -> values) so every
     # intermediate is a column computed once, never an inlined subtree.
-    base = spark.range(int(n)).select(F.col("id").alias("_draw"))
-    staged = base.select("_draw", *[
+    staged = spark.range(int(n)).select(F.col("id").alias("_draw"))
+    staged = staged.select("_draw", *[
         box_muller(seeded_uniform(seed, F.col("_draw"), f"e1:{c}"), seeded_uniform(seed, F.col("_draw"), f"e2:{c}")).alias(f"_e{i}")
-        for i, c in enumerate(latent)])
-    eps = [F.col(f"_e{i}") for i in range(d)]
-    fixed = [latent.index(c) for c in cond]
-    free = [i for i in range(d) if i not in fixed]
-    zexpr: dict[int, Column] = {}
-    for i in fixed:
-        c = latent[i]
-        match = [(lo, hi) for v, lo, hi in model.categories[c] if v == str(cond[c])]
-        if not match:
-            raise GeneratorError(f"No rows available for condition {c}={cond[c]!r}.")
-        lo, hi = match[0]
-        zexpr[i] = probit(F.lit(lo) + seeded_uniform(seed, F.col("_draw"), f"c:{c}") * F.lit(hi - lo))
-    if fixed:
-        staged = staged.select("*", *[zexpr[i].alias(f"_z{i}") for i in fixed])
-    if free:
-        s_ff = corr[np.ix_(free, free)]
-        if fixed:
-            s_fc = corr[np.ix_(free, fixed)]
-            a = s_fc @ np.linalg.inv(corr[np.ix_(fixed, fixed)])
-            cov = s_ff - a @ s_fc.T
-        else:
-            a = np.zeros((len(free), 0))
-            cov = s_ff
-        chol = np.linalg.cholesky(_nearest_pd(cov) if cov.size else cov)
-        free_cols = []
-        for r, i in enumerate(free):
-            expr = F.lit(0.0)
-            for k, j in enumerate(fixed):
-                expr = expr + F.lit(float(a[r, k])) * F.col(f"_z{j}")
-            for k in range(r + 1):
-                expr = expr + F.lit(float(chol[r, k])) * eps[free[k]]
-            free_cols.append(expr.alias(f"_z{i}"))
-        staged = staged.select("*", *free_cols)
+        for i, c in enumerate(latent) if c not in cond])
+    edge = float(np.finfo(float).tiny)
+    for i, c in enumerate(cond):
+        low, high, _, _ = ranges[c]
+        mean = sum((F.lit(float(chol[i, k])) * F.col(f"_e{k}") for k in range(i)), F.lit(0.0))
+        scale = F.lit(float(chol[i, i]))
+        # every step is a column of its own: the normal functions use their argument many times
+        staged = staged.withColumn("_mean", mean)
+        staged = staged.withColumn("_a", (F.lit(_inverse_normal(low)) - F.col("_mean")) / scale).withColumn("_b", (F.lit(_inverse_normal(high)) - F.col("_mean")) / scale)
+        staged = staged.withColumn("_from", norm_cdf(F.col("_a"))).withColumn("_to", norm_cdf(F.col("_b")))
+        staged = staged.withColumn("_p", F.greatest(F.col("_from") + seeded_uniform(seed, F.col("_draw"), f"c:{c}") * (F.col("_to") - F.col("_from")), F.lit(edge)))
+        staged = staged.withColumn(f"_e{i}", probit(F.col("_p"))).drop("_mean", "_a", "_b", "_from", "_to", "_p")
+    staged = staged.select("_draw", *[
+        sum((F.lit(float(chol[i, k])) * F.col(f"_e{k}") for k in range(i + 1)), F.lit(0.0)).alias(f"_z{i}") for i in range(d)])
     staged = staged.select("_draw", *[norm_cdf(F.col(f"_z{i}")).alias(f"_u{i}") for i in range(d)])
+    # written before the joins: the optimiser would carry the normal functions into every join condition
+    staged = cut_lineage(staged) if any(c not in cond for c in model.categorical) else staged
+    for i, c in enumerate(latent):
+        if c in model.categorical and c not in cond:
+            staged = _with_level(staged, model.levels, c, f"_u{i}", f"_v{i}")
     cols = []
     for c in model.columns:
-        u = F.col(f"_u{latent.index(c)}") if c in latent else None
-        if c in cond:
-            val = F.lit(str(cond[c]))
-        elif c in model.numerical:
-            val = _grid_lookup(model.grids[c], u) if model.grids.get(c) else F.lit(None)
-            if model.null_share.get(c, 0.0) > 0:
+        i = latent.index(c) if c in latent else None
+        if c in model.numerical:
+            val = _grid_lookup(model.grids[c], F.col(f"_u{i}")) if model.grids.get(c) else F.lit(None)
+            if model.null_share.get(c, 0.0) > 0 and c not in cond:
                 miss = seeded_uniform(seed, F.col("_draw"), f"null:{c}") < F.lit(model.null_share[c])
                 val = F.when(miss, F.lit(None)).otherwise(val)
             if model.types[c] in ("tinyint", "smallint", "int", "bigint"):
                 val = F.rint(val)
+            if c in cond:
+                val = F.least(F.greatest(val, F.lit(float(ranges[c][2]))), F.lit(float(ranges[c][3])))
         else:
-            val = _category_lookup(model.categories[c], u)
+            val = F.lit(_level_text(model, c, cond[c])) if c in cond else F.col(f"_v{i}")
             val = F.when(val == F.lit("nan"), F.lit(None)).otherwise(val)
         cols.append(val.cast(model.types[c]).alias(c))
     return staged.select(*cols)
