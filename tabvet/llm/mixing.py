@@ -6,12 +6,20 @@ blocks of ``block`` words. Blocks are given to the sources by highest quotients
 over 1, 3, 5, ...), then within a source to its shards by size in the same way, never
 more than ``most`` times a shard's blocks. A shard is a seeded hash share of a source's
 documents (about ``SHARD_WORDS`` words, at most ``SHARDS`` shards a source), so a
-source with a third of all rows is spread. Inside a shard the documents stand in seeded
-order as one stream; a quota of q blocks out of n takes the whole stream q div n times
-and, of the rest, the blocks that a seeded affine permutation puts first.
+source with a third of all rows is spread. What whole blocks leave of a source's target,
+or take beyond it (a stream's last block may be short, and a source smaller than a
+block), is handed to or taken from its shards in words, so a source's taken words are
+its target, rounded.
+
+Inside a shard the documents stand in seeded order as one stream. The words due take the
+whole stream as often as they hold it and, of the rest, the blocks that a seeded affine
+permutation puts first, the last of them in part. The short block at the end of a stream
+comes after all others.
 
 Every draw is a hash of seed and ids, so reruns agree. Null text: size 0; null source: a
-source of its own, last. Equal rows are taken each on their own.
+source of its own, last. Equal rows are taken each on their own. Further columns may have
+any name: ``mixed_texts`` keeps them all; ``mix_plan`` leaves out those that bear the name of one of
+its own (``mix_...``). An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -30,6 +38,8 @@ WEIGHTS, MOST, BLOCK, SEED = (1, 2, 3), 3, 16, 11
 SHARD_WORDS, SHARDS, GROUPS = 65_536, 4096, 4096
 #: A prime above any number of blocks of a shard, so multiplying by it permutes them.
 _PRIME = 1_500_450_271
+_OWN = {f"mix_{n}" for n in ("size", "source", "source_size", "target", "place", "shards", "shard", "order", "words", "due", "passes", "rest", "full",
+                             "whole", "part", "start", "ranges", "taken")}
 
 
 def sainte_lague(weight: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
@@ -68,7 +78,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def _quotas(table: DataFrame, within: str, seats: str, weight: str, most: str) -> DataFrame:
-    """Add ``quota``: the group's ``seats`` dealt over its rows. Groups are bounded by GROUPS, SHARDS and sources / GROUPS."""
+    """Add ``quota``: the group's ``seats`` dealt over its rows, by ``place``. A lot has about sources / GROUPS rows."""
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
@@ -78,11 +88,30 @@ def _quotas(table: DataFrame, within: str, seats: str, weight: str, most: str) -
     return table.groupBy(within).applyInPandas(deal, f"{fields}, quota bigint")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The columns of ``docs`` (doc_id, source, text needed; text left out unless there are others) with
+def _words_due(streams: DataFrame, block: int, most: int) -> DataFrame:
+    """Add ``due``, the words that each shard gives: its source's blocks dealt over the shards, then what is left of the
+    source's target in words, to the first shards that have room. A source has at most SHARDS rows."""
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
+        words, blocks = rows["words"].to_numpy(np.int64), rows["blocks"].to_numpy(np.int64)
+        quota = sainte_lague(words.astype(np.float64), int(rows["seats"].iloc[0]), most * blocks)
+        due = np.minimum(block * quota, most * words)
+        left = int(np.floor(rows["target"].iloc[0] + 0.5)) - int(due.sum())
+        room = most * words - due if left > 0 else due
+        step = np.clip(abs(left) - (np.cumsum(room) - room), 0, room)
+        return rows.assign(due=due + np.sign(left) * step)
+
+    fields = ", ".join(f"{n} {t}" for n, t in streams.dtypes)
+    return streams.groupBy("source_place").applyInPandas(deal, f"{fields}, due bigint")
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED,
+             texts: bool = True) -> DataFrame:
+    """The columns of ``docs`` (doc_id, source, text needed; text left out unless ``texts``) with
     mix_size, mix_source_size, mix_target, mix_passes (whole copies), mix_ranges (further words, from - to), mix_taken."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    kept = docs.columns if len(docs.columns) > 3 else [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c.lower() not in _OWN and (texts or c != "text")]
     rows = docs.withColumn("mix_size", size).select(*kept, "mix_size")
     per_source = in_shared_folder(rows.groupBy("source").agg(F.sum("mix_size").alias("source_size")), "source-sizes")
     targets = in_shared_folder(source_targets(per_source, weights, most), "targets")
@@ -104,31 +133,41 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     seats = sainte_lague(weight, round(weight.sum() / block), np.array([r.most for r in lots], np.int64)) if lots else []
     by_lot = docs.sparkSession.createDataFrame([(int(r.lot), int(n)) for r, n in zip(lots, seats, strict=True)], "lot bigint, seats bigint")
     sources = _quotas(sources.join(F.broadcast(by_lot), "lot"), "lot", "seats", "target", "most")
-    streams = streams.withColumn("most", most * F.col("blocks")).join(
-        sources.select(F.col("place").alias("source_place"), F.col("quota").alias("seats")), "source_place")
-    quotas = in_shared_folder(_quotas(streams, "source_place", "seats", "words", "most"), "quotas").select(
-        F.col("source_place").alias("mix_place"), F.col("place").alias("mix_shard"), F.col("blocks").alias("mix_blocks"), F.col("quota").alias("mix_quota"))
+    streams = streams.join(sources.select(F.col("place").alias("source_place"), F.col("quota").alias("seats"), "target"), "source_place")
+    due = in_shared_folder(_words_due(streams, block, most), "due").select(
+        F.col("source_place").alias("mix_place"), F.col("place").alias("mix_shard"), F.col("words").alias("mix_words"), F.col("due").alias("mix_due"))
 
     place = ["mix_place", "mix_shard"]
-    stream = Window.partitionBy(*place).orderBy("mix_order", "doc_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = (dealt.join(F.broadcast(quotas) if quotas.count() <= 100_000 else quotas, place)
-            .withColumn("mix_start", F.coalesce(F.sum("mix_size").over(stream), F.lit(0))))
-    blocks, start, end = F.greatest(F.col("mix_blocks"), F.lit(1)), F.col("mix_start"), F.col("mix_start") + F.col("mix_size")
-    laid = laid.withColumns({"mix_passes": F.floor(F.col("mix_quota") / blocks), "mix_rest": F.pmod(F.col("mix_quota"), blocks)})
-    turn = F.pmod(F.xxhash64(F.lit(seed + 2), *place), blocks)
+    ties = [F.xxhash64("text")] if texts else []  # without texts, rows of one id and size are alike
+    stream = Window.partitionBy(*place).orderBy("mix_order", "doc_id", "mix_size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    laid = dealt.join(due, place).withColumn("mix_start", F.coalesce(F.sum("mix_size").over(stream), F.lit(0)))
+    words, full, whole, part = F.greatest(F.col("mix_words"), F.lit(1)), F.col("mix_full"), F.col("mix_whole"), F.col("mix_part")
+    laid = laid.withColumns({"mix_passes": F.floor(F.col("mix_due") / words), "mix_rest": F.pmod("mix_due", words), "mix_full": F.floor(words / block)})
+    laid = laid.withColumn("mix_whole", F.least(F.floor(F.col("mix_rest") / block), full))
+    laid = laid.withColumn("mix_part", F.col("mix_rest") - F.col("mix_whole") * block)
+    start, end = F.col("mix_start"), F.col("mix_start") + F.col("mix_size")
+    turn = F.xxhash64(F.lit(seed + 2), *place)
+
+    def taken(k):
+        """The words that block k gives beside the whole passes."""
+        rank = F.pmod(k * _PRIME + F.pmod(turn, F.greatest(full, F.lit(1))), F.greatest(full, F.lit(1)))
+        return F.when(k < full, F.when(rank < whole, F.lit(block)).when(rank == whole, part).otherwise(0)).otherwise(
+            F.when(whole == full, part).otherwise(0))
+
     touched = F.when(F.col("mix_size") > 0, F.sequence(F.floor(start / block), F.floor((end - 1) / block)))
-    chosen = F.filter(F.coalesce(touched, F.array().cast("array<bigint>")), lambda k: F.pmod(k * _PRIME + turn, blocks) < F.col("mix_rest"))
-    ranges = F.transform(chosen, lambda k: F.struct((F.greatest(k * block, start) - start).alias("from"), (F.least((k + 1) * block, end) - start).alias("to")))
-    laid = laid.withColumn("mix_ranges", ranges)
-    part = F.aggregate("mix_ranges", F.lit(0).cast("bigint"), lambda total, r: total + r["to"] - r["from"])
-    return laid.withColumn("mix_taken", F.col("mix_passes") * F.col("mix_size") + part).drop(
-        "mix_order", "mix_shard", "mix_shards", "mix_place", "mix_blocks", "mix_quota", "mix_rest", "mix_start")
+    ranges = F.transform(F.coalesce(touched, F.array().cast("array<bigint>")), lambda k: F.struct(
+        (F.greatest(k * block, start) - start).alias("from"), (F.least(k * block + taken(k), end) - start).alias("to")))
+    laid = laid.withColumn("mix_ranges", F.filter(ranges, lambda r: r["to"] > r["from"]))
+    further = F.aggregate("mix_ranges", F.lit(0).cast("bigint"), lambda total, r: total + r["to"] - r["from"])
+    return laid.withColumn("mix_taken", F.col("mix_passes") * F.col("mix_size") + further).drop(
+        "mix_order", "mix_shard", "mix_shards", "mix_place", "mix_words", "mix_due", "mix_rest", "mix_full", "mix_whole", "mix_part", "mix_start")
 
 
 def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document, and one row of its further words
     (joined by one space) if it has any. n_chars, where present, follows the text."""
-    plan, columns = mix_plan(docs, **settings), docs.columns
+    own = docs.toDF(*[c if c in ("doc_id", "source", "text") else f"extra_{i}" for i, c in enumerate(docs.columns)])
+    plan, columns = mix_plan(own, **settings), own.columns
     at = columns.index("text")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +185,5 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
             for low in range(0, out.num_rows, 2000):  # copies would make a batch three times as large
                 yield out.slice(low, 2000)
 
-    out = plan.where("mix_taken > 0").select(*columns, "mix_passes", "mix_ranges").mapInArrow(tidy(expand), docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*columns) if "n_chars" in columns else out
+    out = plan.where("mix_taken > 0").select(*columns, "mix_passes", "mix_ranges").mapInArrow(tidy(expand), own.schema).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -39,7 +39,7 @@ def op5_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), texts=False)
     return plan.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
                        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 

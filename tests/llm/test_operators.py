@@ -215,7 +215,7 @@ def test_mixing(docs):
     for r in got:
         taken[r.source] += r.mix_taken
         assert r.mix_source_size == size[r.source] and abs(r.mix_target - target[r.source]) < 1e-6 and 0 <= r.mix_taken <= 3 * r.mix_size
-    assert all(abs(taken[s] - target[s]) <= 32 for s in order) and len(got) == docs.count()
+    assert all(taken[s] == int(target[s] + 0.5) for s in order) and len(got) == docs.count()
     again = mixing.mix_plan(docs.repartition(7).select("doc_id", "source", "text")).collect()
     assert sorted((r.doc_id, r.mix_taken) for r in again) == sorted((r.doc_id, r.mix_taken) for r in got)
     mixed = mixing.mixed_texts(docs).collect()
@@ -229,6 +229,34 @@ def test_mixing(docs):
     assert +words == +want
 
 
+def test_mixing_reaches_targets_of_small_sources(spark):
+    say = lambda s, n: " ".join(f"{s}{k}" for k in range(n))
+    sizes = {"a": [2], "b": [20], "c": [7], "d": [0], "e": [1, 0, 40, 3], "f": [5000, 900], None: [33, 33]}
+    rows = [(n, s, say(s, k) if k else None) for s, ks in sizes.items() for n, k in enumerate(ks)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    plan = mixing.mix_plan(docs, texts=False).collect()
+    for s, ks in sizes.items():
+        own = [r for r in plan if r.source == s]
+        assert sum(r.mix_taken for r in own) == int(own[0].mix_target + 0.5) and own[0].mix_source_size == sum(ks)
+        assert all(0 <= r.mix_taken <= 3 * r.mix_size for r in own)
+    assert {r.source: r.mix_taken for r in plan if r.source in ("a", "b", "c")} == {"a": 6, "b": 60, "c": 21}
+    words = Counter()
+    for r in mixing.mixed_texts(docs).collect():  # no other column than these three
+        words[r.source, r.doc_id] += len(r.text.split())
+    assert +words == +Counter({(r.source, r.doc_id): r.mix_taken for r in plan})
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "mix_size", "mix_place", "text", "mix_source", "source", "place", "mix_taken", "extra_1", "words", "n_chars"]
+    docs = spark.createDataFrame([(1, "x", "y", "a b c", "z", "s", 4, 5, "e", "w", 5), (2, None, None, None, None, None, None, None, None, None, None)],
+                                 "doc_id bigint, mix_size string, mix_place string, text string, mix_source string, source string, place int, "
+                                 "mix_taken int, extra_1 string, words string, n_chars int")
+    got = mixing.mixed_texts(docs)
+    assert got.columns == names and got.schema == docs.schema
+    assert {tuple(r) for r in got.collect()} == {(1, "x", "y", "a b c", "z", "s", 4, 5, "e", "w", 5)}
+    assert mixing.mix_plan(docs).count() == 2
+
+
 def test_sainte_lague_takes_highest_quotients():
     rng = np.random.default_rng(4)
     for _ in range(30):
