@@ -1,8 +1,9 @@
 """WARC records in ZIP packages: write, and read by ranges without extraction.
 
 A package is a ZIP file with stored (uncompressed) members: ``archive/data.warc.gz``
-(one gzip member per record), ``indexes/index.cdxj`` (one line per record: key,
-JSON with offset and length in the archive member) and ``datapackage.json``. The
+(one gzip member per record), ``indexes/index.cdxj`` (one line per record, sorted: the URL
+with its host turned round, 14 digits of time, JSON with url, digest, and offset and
+length in the archive member) and ``datapackage.json``. The
 reader parses the end record, the ZIP64 locator and end record where present and
 the central directory, finds the stored archive members and indexes, and fetches
 each record with one range read; nothing is unpacked.
@@ -10,7 +11,8 @@ each record with one range read; nothing is unpacked.
 In Spark a package is one row (``part``, ``package`` binary) of a Parquet table
 in the shared folder: the write commits like any other, also when tasks rerun,
 and it works on every store Spark writes to. ``read_package`` takes any
-``fetch(offset, length)``, so packages in files or objects work as well.
+``fetch(offset, length)``: ``write_files`` puts packages into files and ``read_files`` reads
+files, or those records of them whose index line a filter accepts, by ranges only.
 """
 
 from __future__ import annotations
@@ -20,19 +22,24 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import in_shared_folder
+from tabvet.llm.common import in_shared_folder, shuffle_partitions
 
 PACKAGE_BYTES = 16 << 20
+#: Time of records whose pages carry none: fixed, so that reruns write the same bytes.
+CAPTURED = "1970-01-01T00:00:00Z"
 # Fixed values of the ZIP format: signatures and the mark that a 32-bit field's value stands in the ZIP64 field.
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _IN_ZIP64, _IN_ZIP64_SHORT = 0xFFFFFFFF, 0xFFFF
@@ -62,11 +69,24 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:int(fields["Content-Length"])]
 
 
-def page_record(key: str, url: str, digest: str, size: int, payload: bytes | None, refers_to: str | None) -> bytes:
+def url_key(url: str) -> str:
+    """The URL as an index key: host labels from the last on, comma-joined, ``)`` and the rest, lower-cased, without scheme,
+    user, fragment and white space. Text without a host is its own key; empty: ``-``."""
+    text = re.sub(r"\s", "%20", url.partition("#")[0]).lower()
+    scheme, mark, rest = text.partition("://")
+    if not mark:
+        return text or "-"
+    host, path = re.match(r"([^/?]*)(.*)", rest).groups()
+    name, colon, port = host.rpartition("@")[2].partition(":")
+    port = "" if (scheme, port) in (("http", "80"), ("https", "443")) else colon + port
+    return ",".join(reversed(name.split("."))) + port + ")" + (path if path.startswith("/") else "/" + path)
+
+
+def page_record(key: str, url: str, digest: str, size: int, payload: bytes | None, refers_to: str | None, captured: str = CAPTURED) -> bytes:
     """Response (``payload`` given) or revisit of ``refers_to`` (payload None)."""
     safe = "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url)
     headers = {"WARC-Type": "response" if payload is not None else "revisit", "WARC-Record-ID": f"<urn:page:{key}>",
-               "WARC-Target-URI": safe, "WARC-Payload-Digest": f"sha1:{digest}", "X-Payload-Length": str(size),
+               "WARC-Date": captured, "WARC-Target-URI": safe, "WARC-Payload-Digest": f"sha1:{digest}", "X-Payload-Length": str(size),
                "Content-Type": "application/http; msgtype=response"}
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if payload is None:
@@ -75,16 +95,19 @@ def page_record(key: str, url: str, digest: str, size: int, payload: bytes | Non
     return warc_record(headers, block + (payload or b""))
 
 
-def write_package(records: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A package of (key, record) pairs; ``zip64`` writes the 64-bit fields even where 32 bits suffice."""
+def write_package(records: list[bytes], zip64: bool = False) -> bytes:
+    """A package of page records; ``zip64`` writes the 64-bit fields even where 32 bits suffice."""
     data, index = io.BytesIO(), []
-    for key, raw in records:
-        packed = gzip.compress(raw, compresslevel=4, mtime=0)
-        index.append(f"{key} " + json.dumps({"offset": data.tell(), "length": len(packed), "filename": "data.warc.gz"}))
+    for raw in records:
+        packed, head = gzip.compress(raw, compresslevel=4, mtime=0), parse_record(raw)[0]
+        entry = {"url": head["WARC-Target-URI"], "digest": head["WARC-Payload-Digest"], "mime": "warc/revisit" if "WARC-Profile" in head else "text/html",
+                 "offset": data.tell(), "length": len(packed), "filename": "data.warc.gz"}
+        index.append((url_key(entry["url"]), re.sub(r"\D", "", head["WARC-Date"])[:14], entry))
         data.write(packed)
+    index = [f"{key} {time} {json.dumps(entry)}" for key, time, entry in sorted(index, key=lambda x: x[:2])]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-        for name, content in (("archive/data.warc.gz", data.getvalue()), ("indexes/index.cdxj", "\n".join(index).encode()),
+        for name, content in (("archive/data.warc.gz", data.getvalue()), ("indexes/index.cdxj", "".join(f"{x}\n" for x in index).encode()),
                               ("datapackage.json", json.dumps({"profile": "data-package", "records": len(index)}).encode())):
             info = zipfile.ZipInfo(name, date_time=(1980, 1, 1, 0, 0, 0))
             with z.open(info, "w", force_zip64=zip64) as f:
@@ -158,18 +181,22 @@ def content_at(fetch: Fetch, m: Member) -> int:
     return m.header_at + 30 + n + x
 
 
-def read_package(fetch: Fetch, size: int) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """Key, headers and block of each indexed record, one range read each."""
+def read_package(fetch: Fetch, size: int, wanted: Callable[[str, dict], bool] | None = None) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """Key, headers and block of each indexed record, one range read each; ``wanted`` (of the line's URL key and its
+    JSON) leaves the others unread."""
     found = members(fetch, size)
     starts = {n.rpartition("/")[2]: content_at(fetch, m) for n, m in found.items() if n.startswith("archive/")}
     for name, m in found.items():
         if not name.startswith("indexes/"):
             continue
-        for line in fetch(content_at(fetch, m), m.size).decode().splitlines():
-            key, _, entry = line.partition(" ")
+        for line in fetch(content_at(fetch, m), m.size).decode().split("\n"):
+            if not line:
+                continue
+            key, _, entry = line.split(" ", 2)
             at = json.loads(entry)
-            raw = fetch(starts[at["filename"]] + at["offset"], at["length"])
-            yield key, *parse_record(gzip.decompress(raw))
+            if wanted is None or wanted(key, at):
+                head, block = parse_record(gzip.decompress(fetch(starts[at["filename"]] + at["offset"], at["length"])))
+                yield head["WARC-Record-ID"][len("<urn:page:"):-1], head, block
 
 
 def mark_duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -185,13 +212,14 @@ def mark_duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return sized.join(groups, "digest_hex", "left")
 
 
-def write_packages(pages: DataFrame, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+def write_packages(pages: DataFrame, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES, captured: str = CAPTURED) -> DataFrame:
     """One record per row of ``pages`` (page_id, url, html); returns the written table (part, package).
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the
     largest page_id is a response, the others are revisits of it. Null html: empty
     payload; null url: empty target; null page_id: key ``-`` and, where no page of the
     group has an id, a response. Rows repeated with the keeper's id are responses too.
+    ``captured`` is the time of all records (UTC, as in 2024-01-31T00:00:00Z), as pages carry none.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +234,8 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, package_bytes: int =
                 payload = (html or "").encode()
                 own, to = keeper is None or keeper == page, None if keeper is None else str(keeper)
                 key = "-" if page is None else str(page)
-                records.append((key, page_record(key, url or "", sha1_base32(payload), len(payload), payload if own else None, to)))
-                size += len(records[-1][1])
+                records.append(page_record(key, url or "", sha1_base32(payload), len(payload), payload if own else None, to, captured))
+                size += len(records[-1])
                 if size >= package_bytes:
                     yield flush()
                     part, records, size = part + 1, [], 0
@@ -219,25 +247,79 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, package_bytes: int =
                             "warc")
 
 
+_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
+                   ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_PAGE_DDL = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+
+
+def _pages(records: Iterator[tuple[str, dict[str, str], bytes]], most_bytes: int = PACKAGE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Records as rows, in batches of some ``most_bytes`` of payload."""
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PAGE, strict=True)], schema=_PAGE)
+
+    for key, head, block in records:
+        digest, to = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("WARC-Refers-To")
+        payload = None if to else block.partition(b"\r\n\r\n")[2]
+        if payload is not None and sha1_base32(payload) != digest:
+            raise ValueError(f"record {key}: the payload does not have its digest")
+        rows.append((None if key == "-" else int(key), head["WARC-Target-URI"], payload, int(head["X-Payload-Length"]),
+                     digest, head["WARC-Type"], int(to[len("<urn:page:"):-1]) if to else None))
+        held += len(payload or b"")
+        if held >= most_bytes:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
 def read_packages(packages: DataFrame) -> DataFrame:
     """One row per record of the packages: page_id, url, payload (null for revisits), payload_bytes, payload_digest,
     record_type, refers_to. A response whose payload doesn't have its stated digest raises."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()),
-                            ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for b in batches:
             for package in b.column(0):
-                view, rows = memoryview(package.as_buffer()), []
-                for key, head, block in read_package(lambda at, n, v=view: bytes(v[at:at + n]), len(view)):
-                    digest, to = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("WARC-Refers-To")
-                    payload = None if to else block.partition(b"\r\n\r\n")[2]
-                    if payload is not None and sha1_base32(payload) != digest:
-                        raise ValueError(f"record {key}: the payload does not have its digest")
-                    rows.append((None if key == "-" else int(key), head["WARC-Target-URI"], payload, int(head["X-Payload-Length"]),
-                                 digest, head["WARC-Type"], int(to[len("<urn:page:"):-1]) if to else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)],
-                                                 schema=schema)
-
-    return packages.select("package").mapInArrow(unpack, "page_id bigint, url string, payload binary, payload_bytes bigint, "
-                                                         "payload_digest string, record_type string, refers_to bigint")
+                view = memoryview(package.as_buffer())
+                yield from _pages(read_package(lambda at, n, v=view: bytes(v[at:at + n]), len(view)))
+
+    return packages.select("package").mapInArrow(unpack, _PAGE_DDL)
+
+
+def write_files(packages: DataFrame, folder: str) -> DataFrame:
+    """Put each package into a file of its own below ``folder`` (a URI or path that all executors see, whose store renames
+    files as one step); returns the written table (path, bytes). A file gets its name once it is whole, so a task that
+    runs again replaces it by the same bytes."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            paths, sizes = [], []
+            for part, package in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                name, content = f"pages-{part:016x}.wacz", package.as_buffer()
+                growing = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(growing) as f:
+                    f.write(content)
+                store.move(growing, f"{root}/{name}")
+                paths.append(f"{folder.rstrip('/')}/{name}")
+                sizes.append(content.size)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return in_shared_folder(packages.select("part", "package").mapInArrow(put, "path string, bytes bigint"), "warc-files")
+
+
+def read_files(files: DataFrame, wanted: Callable[[str, dict], bool] | None = None) -> DataFrame:
+    """As ``read_packages``, of the packages at ``files.path``: directory, index and the records that ``wanted`` accepts
+    (all by default) are fetched by ranges; nothing else of a file is read. One row of ``files`` is one task's work at
+    a time, so they are spread first."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                store, at = pyarrow.fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    yield from _pages(read_package(lambda start, n, f=f: f.read_at(n, start), f.size(), wanted))
+
+    return files.select("path").repartition(shuffle_partitions(files.sparkSession)).mapInArrow(unpack, _PAGE_DDL)

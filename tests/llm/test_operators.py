@@ -334,7 +334,7 @@ def test_warc(spark, least):
 
 
 def test_packages_with_64_bit_fields_read_the_same():
-    records = [(str(i), warc.page_record(str(i), "http://x", "D" * 32, 3, b"abc", None)) for i in range(5)]
+    records = [warc.page_record(str(i), "http://x", "D" * 32, 3, b"abc", None) for i in range(5)]
     for z in (False, True):
         package, reads = warc.write_package(records, zip64=z), []
         def fetch(at, n, package=package, reads=reads):
@@ -347,6 +347,33 @@ def test_packages_with_64_bit_fields_read_the_same():
         warc.members(lambda at, n: b"x" * n, 100)
 
 
+def test_records_and_index_have_times_and_url_keys():
+    keys = {"http://www.Example.com:80/A/b?Q=1#f": "com,example,www)/a/b?q=1", "https://u@x.org:8443": "org,x:8443)/", "http://x.org?a b": "org,x)/?a%20b",
+            "no url": "no%20url", "": "-"}
+    assert {u: warc.url_key(u) for u in keys} == keys
+    urls = ["http://b.org/2", "http://a.org/1", "", "http://a.org/\u2028 x"]
+    package = warc.write_package([warc.page_record(str(i), u, "D" * 32, 3, b"abc", None, "2024-01-31T10:20:30Z") for i, u in enumerate(urls)])
+    fetch = lambda at, n: package[at:at + n]
+    m = warc.members(fetch, len(package))["indexes/index.cdxj"]
+    lines = fetch(warc.content_at(fetch, m), m.size).decode().split("\n")[:-1]
+    assert [x.split(" ", 2)[:2] for x in lines] == [[k, "20240131102030"] for k in sorted(map(warc.url_key, [*urls[:3], "http://a.org/%2028 x"]))]
+    got = {k: head for k, head, _ in warc.read_package(fetch, len(package))}
+    assert set(got) == set("0123") and all(h["WARC-Date"] == "2024-01-31T10:20:30Z" for h in got.values())
+    assert [k for k, *_ in warc.read_package(fetch, len(package), lambda key, entry: key.startswith("org,b)"))] == ["0"]
+
+
+def test_package_files_are_read_by_ranges(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i}", "x" * (i % 9)) for i in range(60)], "page_id bigint, url string, html string").repartition(3)
+    packages = warc.write_packages(pages, package_bytes=2000)
+    files = warc.write_files(packages, (tmp_path / "packages").as_uri())
+    assert files.count() == packages.count() == len(list((tmp_path / "packages").iterdir())) > 3
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    key = lambda df: df.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "payload")
+    assert rows(key(warc.read_files(files))) == rows(key(warc.read_packages(packages)))
+    some = warc.read_files(files, lambda key, entry: key.startswith("org,h3)"))
+    assert {r.page_id for r in some.collect()} == {i for i in range(60) if i % 7 == 3}
+
+
 @pytest.mark.parametrize("block", [200_000, 3])
 def test_decontamination(spark, docs, corpus, block):
     some = [t for t in corpus.values() if t and len(t.split()) > 60]
