@@ -115,6 +115,18 @@ def _check(spec: dict) -> None:
         raise ValueError("added tokens that reach beyond a word")
 
 
+class _Numbers(dict):
+    """Numbers of words in order of appearance; new ones stand in ``waiting`` until they are encoded."""
+
+    def __init__(self) -> None:
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.waiting.append(word)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts for a lower-casing tokenizer that splits at white space and drops it (ValueError for any other).
 
@@ -136,15 +148,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        encoder = self
-
-        class Numbers(dict):
-            def __missing__(self, word: str) -> int:
-                self[word] = n = len(self)
-                encoder.waiting.append(word)
-                return n
-
-        self.numbers, self.waiting, self.parts = Numbers(), [], {}
+        self.numbers, self.parts = _Numbers(), {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length, self.known = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
 
@@ -156,7 +160,7 @@ class WordEncoder:
         # Lower-casing early is the same only where it goes letter by letter.
         simple = text.isascii() or not _UNUSUAL.search(text)
         numbers = np.fromiter(map(self.numbers.__getitem__, (text.lower() if simple else text).split()), np.int64)
-        if self.waiting:
+        if self.numbers.waiting:
             self._learn()
         length = self.length[numbers]
         ends = np.cumsum(length)
@@ -168,7 +172,7 @@ class WordEncoder:
         ids, parts, tokenize = [], self.parts, self.model.tokenize
         if len(parts) > self.cache_words // 2:
             parts.clear()
-        for word in self.waiting:
+        for word in self.numbers.waiting:
             plain = _PLAIN(word)
             if plain is None:
                 ids.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -192,7 +196,7 @@ class WordEncoder:
             self.offset, self.length = np.concatenate([self.offset, grow]), np.concatenate([self.length, grow])
         self.flat[self.used:self.used + total] = [i for x in ids for i in x]
         self.offset[self.known:words], self.length[self.known:words] = self.used + np.cumsum(n) - n, n
-        self.used, self.known, self.waiting = self.used + total, words, []
+        self.used, self.known, self.numbers.waiting = self.used + total, words, []
 
 
 def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS,
