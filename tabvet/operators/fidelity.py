@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.exprs import r6, safe_div
-from tabvet.operators.pairs import (long_categorical, long_numeric, prefix_sum, shared_kinds, tagged_union)
+from tabvet.operators.pairs import (column_kinds_of, long_categorical, long_numeric, prefix_sum, shared_kinds, tagged_union)
+from tabvet.session import cut_lineage
 
 # Quantile grid and histogram bin count of the distribution detail.
 QUANTILE_GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -217,6 +218,52 @@ def distribution_details(real: DataFrame, syn: DataFrame, kinds=None) -> DataFra
     return out
 
 
+def numeric_report(real: DataFrame, syn: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """F1, F4-F6 of the given columns from one frame of value counts: column_name, ks_statistic,
+    normalized_wasserstein, quantile_error, histogram_overlap; columns with fewer than two values on a side are left out.
+
+    The counts and their CDFs are written once; every later step reads values with
+    their multiplicities, not rows. The frames joined to them have one row per column.
+    """
+    cdf = cut_lineage(numeric_cdfs(real, syn, columns).where((F.col("na") >= 2) & (F.col("nb") >= 2)))
+    per = cdf.groupBy("col").agg(
+        F.max(F.abs(F.col("F") - F.col("G"))).alias("ks"),
+        F.sum(F.abs(F.col("F") - F.col("G")) * F.coalesce(F.col("next_v") - F.col("v"), F.lit(0.0))).alias("w1"),
+        F.min("v").alias("lo"), F.max("v").alias("hi"), safe_div(F.sum(F.col("a") * F.col("v")), F.first("na")).alias("mean"))
+    spread = cdf.join(F.broadcast(per.select("col", "mean")), "col").groupBy("col").agg(
+        F.sqrt(safe_div(F.sum(F.col("a") * (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))), F.first("na"))).alias("std"))
+    scale = F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))
+    place = F.least(F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))), F.lit(bins - 1))
+    overlap = (cdf.join(F.broadcast(per.where("hi > lo").select("col", "lo", "hi")), "col").groupBy("col", place.alias("bin"))
+               .agg(F.least(safe_div(F.sum("a"), F.first("na")), safe_div(F.sum("b"), F.first("nb"))).alias("shared"))
+               .groupBy("col").agg(F.sum("shared").alias("overlap")))
+    errors = (_order_statistics(cdf, "real", QUANTILE_GRID).join(_order_statistics(cdf, "syn", QUANTILE_GRID), ["col", "p"])
+              .groupBy("col").agg(F.avg(F.abs(F.col("q_real") - F.col("q_syn"))).alias("error")))
+    one_value = F.coalesce(F.col("overlap"), F.lit(1.0))
+    return per.join(spread, "col").join(errors, "col").join(overlap, "col", "left").select(
+        F.col("col").alias("column_name"), r6(F.col("ks")).alias("ks_statistic"), r6(F.col("w1") / scale).alias("normalized_wasserstein"),
+        r6(F.col("error") / scale).alias("quantile_error"), r6(F.least(F.greatest(one_value, F.lit(0.0)), F.lit(1.0))).alias("histogram_overlap"))
+
+
+def distribution_report(real: DataFrame, syn: DataFrame, kinds=None) -> DataFrame:
+    """one row for each column of ``real``: column_name, kind, status and the metrics of its kind.
+
+    Status ``missing_in_synthetic``: ``syn`` has no such column. ``not_applicable``: a numerical column
+    with fewer than two values, or a categorical one without any, on either side. Else ``computed``. Metrics
+    that don't belong to the kind or the status are null.
+    """
+    numerical, categorical = kinds if kinds is not None else column_kinds_of(real)
+    listed = real.sparkSession.createDataFrame(
+        [(c, kind, c in syn.columns) for kind, names in (("numerical", numerical), ("categorical", categorical)) for c in names],
+        "column_name string, kind string, present boolean")
+    numbers = numeric_report(real, syn, [c for c in numerical if c in syn.columns])
+    classes = js_divergence(real, syn, ([], list(categorical)))
+    out = listed.join(numbers, "column_name", "left").join(classes, "column_name", "left")
+    done = F.coalesce(F.col("ks_statistic"), F.col("total_variation_distance")).isNotNull()
+    status = (F.when(~F.col("present"), F.lit("missing_in_synthetic")).when(done, F.lit("computed")).otherwise(F.lit("not_applicable")))
+    return out.select("column_name", "kind", status.alias("status"), *numbers.columns[1:], *classes.columns[1:])
+
+
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, rho) for every column pair a < b (by position), pairwise-complete.
 
@@ -296,6 +343,41 @@ def diversity_score(real: DataFrame, syn: DataFrame, kinds=None) -> DataFrame:
 
 
 def class_share_comparison(real: DataFrame, syn: DataFrame, target: str) -> DataFrame:
-    """outer-aligned class shares, original vs synthetic, missing -> 0."""
-    sh = category_shares(real, syn, [target], keep_null=False)
+    """outer-aligned class shares, original vs synthetic, missing -> 0; null is the class ``nan``."""
+    sh = category_shares(real, syn, [target], keep_null=True)
     return sh.select(F.col("v").alias("class"), r6(F.col("p")).alias("original_share"), r6(F.col("q")).alias("synthetic_share"))
+
+
+def histogram_comparison(real: DataFrame, syn: DataFrame, kinds=None, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """overlaid histograms of the numerical columns: column_name, bin, lower, upper, rows and shares of both sides.
+
+    Equal bins over the joint range of both tables, the last one closed, empty ones
+    included; a column with a single value has one bin. Nulls, NaN and infinities are in no bin.
+    """
+    numerical, _ = shared_kinds(real, syn, kinds)
+    values = long_numeric(tagged_union(real, syn, numerical), numerical, extra=["src"]).where(F.abs("v") < float("inf"))
+    ranges = values.groupBy("col").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(1 - F.col("src")).alias("na"), F.sum("src").alias("nb"))
+    ranges = cut_lineage(ranges)  # one row per column, read three times
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))),
+                                                     F.lit(bins - 1))).otherwise(F.lit(0)).cast("bigint")
+    counts = values.join(F.broadcast(ranges.select("col", "lo", "hi")), "col").groupBy("col", place.alias("bin")).agg(
+        F.sum(1 - F.col("src")).alias("a"), F.sum("src").alias("b"))
+    every = F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))
+    grid = ranges.withColumn("bin", F.explode(every.cast("array<bigint>")))
+    a, b = (F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in "ab")
+    return grid.join(counts, ["col", "bin"], "left").select(
+        F.col("col").alias("column_name"), "bin", r6(F.col("lo") + F.col("bin") * width).alias("lower"),
+        r6(F.col("lo") + (F.col("bin") + 1) * width).alias("upper"), a.alias("original_rows"), b.alias("synthetic_rows"),
+        r6(F.coalesce(safe_div(a, F.col("na")), F.lit(0.0))).alias("original_share"),
+        r6(F.coalesce(safe_div(b, F.col("nb")), F.lit(0.0))).alias("synthetic_share"))
+
+
+def correlation_comparison(real: DataFrame, syn: DataFrame, kinds=None) -> DataFrame:
+    """both correlation matrices side by side: row_column, column_name, original, synthetic, difference."""
+    numerical, _ = shared_kinds(real, syn, kinds)
+    if not numerical:
+        return real.sparkSession.createDataFrame([], "row_column string, column_name string, original double, synthetic double, difference double")
+    original, synthetic = (correlation_matrix(df, numerical).withColumnRenamed("correlation", name)
+                           for df, name in ((real, "original"), (syn, "synthetic")))
+    return original.join(synthetic, ["row_column", "column_name"]).withColumn("difference", r6(F.col("synthetic") - F.col("original")))

@@ -74,12 +74,12 @@ def priced_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(part, "l_partkey").withColumn("estimate", F.col("l_quantity") * F.col("p_retailprice"))
 
 
-def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_grid(spark: SparkSession, sf_dir: str, fill: bool = True) -> DataFrame:
     """Regular hourly series per event_type, zero-filled: (event_type, hour, n_events, value_sum).
 
     The spine runs from each type's first to last occupied hour, so the grid
     is regular by construction (the explicit regularisation the sequence
-    operators require).
+    operators require).  Without ``fill``, value_sum is null in hours without events.
     """
     ev = load_table(spark, sf_dir, "events").select("event_type", F.date_trunc("hour", "ts").alias("hour"), "value")
     hourly = ev.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value_sum"))
@@ -87,7 +87,16 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = bounds.select("event_type", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
     return spine.join(hourly, ["event_type", "hour"], "left").select(
         "event_type", "hour", F.coalesce("n_events", F.lit(0)).cast("bigint").alias("n_events"),
-        F.coalesce("value_sum", F.lit(0.0)).alias("value_sum"))
+        F.coalesce("value_sum", F.lit(0.0)).alias("value_sum") if fill else F.col("value_sum"))
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as the log of runs: a user is a run, an event type a stage with a status."""
+    status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "error", "failed")
+              .when(F.col("event_type") == "purchase", "completed").otherwise("running"))
+    return load_table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("event"), status.alias("status"),
+        F.col("props").alias("payload"), F.col("ts").alias("at"))
 
 
 def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

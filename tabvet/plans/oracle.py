@@ -1100,3 +1100,95 @@ SELECT training, round(avg(abs(e)) * max(s) / 2, 6) + 0.0 AS mae, round(sqrt(avg
 FROM e, (SELECT CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END AS s FROM st) GROUP BY training"""
 
 ORACLE["t17_forecast_utility"] = FORECAST
+
+
+# ---- reports, records, generator inputs ----
+
+_NUMBERS = "ks_statistic, normalized_wasserstein, quantile_error, histogram_overlap"
+_CLASSES = "total_variation_distance, jensen_shannon_divergence, category_coverage"
+_NO_NUMBERS, _NO_CLASSES = (", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in names.split(", ")) for names in (_NUMBERS, _CLASSES))
+DISTRIBUTION_REPORT = f"""
+SELECT column_name, 'numerical' AS kind, 'computed' AS status, {_NUMBERS}, {_NO_CLASSES}
+FROM ({KS}) JOIN ({WASSERSTEIN}) USING (column_name) JOIN ({QUANTILE_ERROR}) USING (column_name) JOIN ({HISTOGRAM_OVERLAP}) USING (column_name)
+WHERE column_name <> 'net_price'
+UNION ALL SELECT column_name, 'categorical', 'computed', {_NO_NUMBERS}, {_CLASSES} FROM ({JS}) WHERE column_name NOT IN ('l_tax', 'l_linestatus')
+UNION ALL SELECT column_name, kind, status, {_NO_NUMBERS}, {_NO_CLASSES}
+FROM (VALUES ('net_price', 'numerical', 'not_applicable'), ('l_linestatus', 'categorical', 'not_applicable'),
+             ('l_tax', 'categorical', 'missing_in_synthetic')) AS t(column_name, kind, status)"""
+
+CLASS_SHARES = f"""WITH {PAIR}, {CAT_SHARES}
+SELECT v AS class, {r6('p')} AS original_share, {r6('q')} AS synthetic_share FROM csh WHERE col = 'l_returnflag'"""
+
+HISTOGRAMS = f"""WITH {PAIR}, lnum AS ({_long_num()}),
+rng AS (SELECT col, min(v) AS lo, max(v) AS hi, sum(1 - src) AS na, sum(src) AS nb FROM lnum GROUP BY col),
+c AS (SELECT col, CASE WHEN hi > lo THEN CAST(least(floor((v - lo) * (10.0 / (hi - lo))), 9) AS BIGINT) ELSE 0 END AS bin,
+             sum(1 - src) AS a, sum(src) AS b FROM lnum JOIN rng USING (col) GROUP BY 1, 2),
+every AS (SELECT *, unnest(range(CASE WHEN hi > lo THEN 10 ELSE 1 END)) AS bin FROM rng)
+SELECT col AS column_name, bin, {r6('lo + bin * ((hi - lo) / 10.0)')} AS lower, {r6('lo + (bin + 1) * ((hi - lo) / 10.0)')} AS upper,
+       CAST(coalesce(a, 0) AS BIGINT) AS original_rows, CAST(coalesce(b, 0) AS BIGINT) AS synthetic_rows,
+       {r6('coalesce(a, 0) / na')} AS original_share, {r6('coalesce(b, 0) / nb')} AS synthetic_share
+FROM every LEFT JOIN c USING (col, bin)"""
+
+_DIAGONAL = " UNION ALL ".join(
+    f"SELECT '{c}' AS a, '{c}' AS b, CASE WHEN max({c}) > min({c}) THEN 1.0 ELSE 0.0 END AS rho, src FROM li GROUP BY src" for c in NUM_COLS)
+MATRICES = f"""WITH {PAIR},
+half AS (SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END AS rho, 0 AS src FROM ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 0')})
+         UNION ALL SELECT a, b, CASE WHEN sx * sy > 0 THEN c / (sx * sy) ELSE 0.0 END, 1 FROM ({_pearson_pairs('li', NUM_COLS, 'WHERE src = 1')})),
+m AS (SELECT a, b, rho, src FROM half UNION ALL SELECT b, a, rho, src FROM half UNION ALL {_DIAGONAL}),
+w AS (SELECT a, b, {r6('max(rho) FILTER (WHERE src = 0)')} AS original, {r6('max(rho) FILTER (WHERE src = 1)')} AS synthetic FROM m GROUP BY a, b)
+SELECT a AS row_column, b AS column_name, original, synthetic, {r6('synthetic - original')} AS difference FROM w"""
+
+RUN_LOG = """log AS (
+  SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS event, props AS payload, ts AS "at",
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END AS status
+  FROM events),
+latest AS (
+  SELECT run_id, event, status, payload, "at", min("at") OVER (PARTITION BY run_id) AS created_at, count(*) OVER (PARTITION BY run_id) AS n_events
+  FROM log QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY "at" DESC, event DESC, status DESC, payload DESC) = 1)"""
+
+
+def _range_draw(c: str) -> str:
+    u = _md5u(f"42:range:{c}", "CAST(d AS VARCHAR)") + " / 4503599627370496.0"
+    return f"(SELECT CAST(min({c}) AS DOUBLE) FROM orders) + {u} * (SELECT CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE) FROM orders)"
+
+
+def _jitter(k: int) -> str:
+    key = f"CAST(draw AS VARCHAR) || ':' || CAST(t AS VARCHAR) || ':{k}'"
+    u1, u2 = (f"{_md5u(f'42:jitter_{i}', key)} / 4503599627370496.0" for i in (1, 2))
+    return f"least(greatest(f{k} + sqrt(-2 * ln(greatest({u1}, 1e-300))) * cos(2 * pi() * {u2}) * 0.05, -1.0), 1.0)"
+
+
+_FORECAST_VALIDATION = FORECAST.replace("split = 'test' UNION ALL", "split = 'validation' UNION ALL").replace(
+    "FROM range((SELECT count(*) FROM tr_ix)))", "FROM range((SELECT count(*) FROM ids WHERE split = 'test')))")
+
+ORACLE.update({
+    "f7_distribution_report": DISTRIBUTION_REPORT,
+    "f11_class_shares": CLASS_SHARES,
+    "f11_histograms": HISTOGRAMS,
+    "f11_correlation_matrices": MATRICES,
+    "s4_csv_round_trip_orders": "SELECT * FROM orders",
+    "s5_run_record_lineitem": f"""SELECT 'run-1' AS run_id, 'completed' AS status, '{{"rows": ' || num_rows || ', "table": "lineitem"}}' AS config,
+                                         CAST(dataset_hash AS VARCHAR) AS dataset_hash FROM ({FINGERPRINT})""",
+    "s5_split_ids_labeled": ORACLE["u1_three_way_split_labeled"],
+    "s12_run_log_latest": f"WITH {RUN_LOG} SELECT * FROM latest",
+    "s12_run_log_list": f"WITH {RUN_LOG} SELECT * FROM latest ORDER BY created_at DESC, run_id LIMIT 50",
+    "s12_run_log_recovered": f"""WITH {RUN_LOG} SELECT CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status,
+                                        count(*) AS runs FROM latest GROUP BY 1""",
+    "p16_generator_input_lineitem": "SELECT * FROM lineitem",
+    "g6_align_output_orders": "SELECT * FROM orders",
+    "g11_registered_generator_orders": f"""SELECT CAST(round_even({_range_draw('o_custkey')}, 0) AS BIGINT) AS o_custkey, {_range_draw('o_totalprice')} AS o_totalprice
+                                           FROM range((SELECT count(*) FROM orders)) AS r(d)""",
+    "t5_fill_missing": f"""WITH {SPLIT_GRID.replace('coalesce(h.value_sum, 0.0) AS value_sum', 'h.value_sum')},
+                           md AS (SELECT quantile_cont(value_sum, 0.5) AS md FROM sp WHERE split = 'train')
+                           SELECT event_type AS entity, hour, split, n_events, coalesce(value_sum, md) AS value_sum FROM sp, md""",
+    "t8_inverse_scale": f"""WITH {SCALE}
+        SELECT split, event_type AS entity, CAST(s AS BIGINT) AS start,
+               round(sum((f0 + 1) / 2 * CASE WHEN hi0 > lo0 THEN hi0 - lo0 ELSE 1.0 END + lo0), 4) + 0.0 AS events_total,
+               round(sum((f1 + 1) / 2 * CASE WHEN hi1 > lo1 THEN hi1 - lo1 ELSE 1.0 END + lo1), 4) + 0.0 AS value_total
+        FROM win, st GROUP BY split, event_type, s""",
+    "t10_jittered_bootstrap": f"""SELECT draw, source_window_id, round(sum({_jitter(0)} + {_jitter(1)}), 4) + 0.0 AS value_total
+        FROM ({WINDOW_BOOTSTRAP}) JOIN (WITH {SCALE} SELECT wid AS source_window_id, t, f0, f1 FROM win) USING (source_window_id)
+        GROUP BY draw, source_window_id""",
+    "t18_temporal_gates_forecast": f"""SELECT failed_gates, eligible, round(1.0 / (1.0 + mae), 6) + 0.0 AS validation_score
+        FROM ({ORACLE['t18_temporal_gates_all']}), ({_FORECAST_VALIDATION}) WHERE training = 'synthetic_only'""",
+})

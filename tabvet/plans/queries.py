@@ -663,7 +663,7 @@ def q_run_experiment_tables(spark, sf_dir):
 
 
 def q_run_experiment_sequences(spark, sf_dir):
-    out = pipe.run_experiment_sequences(event_grid(spark, sf_dir), GRID_SPEC)
+    out = pipe.run_experiment_sequences(event_grid(spark, sf_dir), GRID_SPEC, forecast_target="n_events")
     return out["gates"].crossJoin(out["summary"])  # two one-row frames
 
 
@@ -672,3 +672,138 @@ QUERIES.update({
     "r7_run_experiment_tables": q_run_experiment_tables,
     "r8_run_experiment_sequences": q_run_experiment_sequences,
 })
+
+
+# ---- reports, records, generator inputs (F7, F11, S4, S5, S12, P16, G6, G11, T5, T8, T10, T18) ----
+
+import uuid  # noqa: E402
+from dataclasses import replace  # noqa: E402
+
+from tabvet.functions.exprs import seeded_uniform  # noqa: E402
+from tabvet.operators.pairs import INTEGER_TYPES, is_numeric_type, schema_types  # noqa: E402
+from tabvet.plans.fixtures import run_events  # noqa: E402
+from tabvet.session import checkpoint_dir  # noqa: E402
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def q_distribution_report(spark, sf_dir):
+    """A synthetic half without l_tax, and with nothing in net_price and l_linestatus."""
+    real, syn = lineitem_halves(spark, sf_dir)
+    nothing = {"net_price": F.lit(None).cast("double"), "l_linestatus": F.lit(None).cast("string")}
+    return fid.distribution_report(real, syn.drop("l_tax").withColumns(nothing))
+
+
+def q_csv_round_trip(spark, sf_dir):
+    """The whole of orders written as CSV and read with its schema."""
+    orders = load_table(spark, sf_dir, "orders")
+    return sio.read_table(spark, sio.write_table(orders, _new_path(spark, "orders.csv"), fmt="csv"), orders.schema)
+
+
+def q_run_record(spark, sf_dir):
+    """The record of a run over lineitem with the table's fingerprint, read back."""
+    path = _new_path(spark, "runs")
+    seen = sio.dataset_fingerprint(load_table(spark, sf_dir, "lineitem"), "source", 42).first()
+    sio.write_run_record(spark, path, "run-1", "completed", {"table": "lineitem", "rows": seen["num_rows"]}, str(seen["dataset_hash"]))
+    return sio.read_run_records(spark, path).select("run_id", "status", "config", "dataset_hash")
+
+
+def q_split_ids(spark, sf_dir):
+    """The parts of the labelled documents, written by part and read back."""
+    path = sio.write_split_ids(q_three_way_labeled(spark, sf_dir), _new_path(spark, "split"), ["doc_id"])
+    return spark.read.parquet(path).select("doc_id", "split")
+
+
+def q_run_log_recovered(spark, sf_dir):
+    """Runs per status after the open ones were marked as failed in the written log."""
+    path = _new_path(spark, "log")
+    run_events(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp")).write.parquet(path)
+    sio.run_log_recover(spark, path)
+    return sio.run_log_latest(spark.read.parquet(path)).groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def q_align_output(spark, sf_dir):
+    """Orders with columns in another order, numbers as text and a further column, brought back to their schema."""
+    orders = load_table(spark, sf_dir, "orders")
+    types = schema_types(orders)
+    loose = orders.select(*[F.col(c).cast("string").alias(c) if is_numeric_type(types[c]) else F.col(c) for c in reversed(orders.columns)],
+                          F.lit(1).alias("extra"))
+    return gen.align_output(loose, orders, n_expected=orders.count())
+
+
+def _range_fit(df: DataFrame):
+    bounds = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in df.columns for f in (F.min, F.max)]).first()
+    return [(c, schema_types(df)[c], bounds[f"min_{c}"], bounds[f"max_{c}"]) for c in df.columns]
+
+
+def _range_sample(spark: SparkSession, params, n: int, seed: int, where) -> DataFrame:
+    def column(c, dtype, low, high):
+        x = F.lit(float(low)) + seeded_uniform(seed, F.col("id"), f"range:{c}") * F.lit(float(high) - float(low))
+        return (F.rint(x) if isinstance(dtype, INTEGER_TYPES) else x).cast(dtype).alias(c)
+
+    return spark.range(n).select(*[column(*p) for p in params])
+
+
+def q_registered_generator(spark, sf_dir):
+    """A user's own generator (uniform between each column's least and greatest value), registered, fitted and sampled by name."""
+    orders = load_table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    try:
+        gen.get_generator("uniform_range")
+    except gen.GeneratorError:
+        gen.register_generator("uniform_range", _range_fit, _range_sample)
+    return gen.generate("uniform_range", orders, orders.count(), 42)
+
+
+def q_fill_missing(spark, sf_dir):
+    """Hours without events get the training median."""
+    spec = replace(GRID_SPEC, missing_policy="training_median")
+    filled, _ = seq.fill_missing(seq.chronological_split(event_grid(spark, sf_dir, fill=False), spec), spec)
+    return filled.select(F.col("_entity").alias("entity"), F.timestamp_micros("_t").alias("hour"), "split", "n_events", "value_sum")
+
+
+def q_inverse_scale(spark, sf_dir):
+    p = _grid_windows(spark, sf_dir)
+
+    def total(i: int):
+        return F.round(F.aggregate("values", F.lit(0.0), lambda a, step: a + step[i]), 4)
+
+    return seq.inverse_scale(p.windows, p.scaler).select("split", "entity", "start", total(0).alias("events_total"), total(1).alias("value_total"))
+
+
+def q_jittered_bootstrap(spark, sf_dir):
+    w = _grid_windows(spark, sf_dir).windows
+    drawn = seq.jittered_bootstrap(w.where(F.col("split") == "train"), w.where(F.col("split") == "test").count(), seed=42)
+    return drawn.select("draw", "source_window_id", F.round(F.aggregate(F.flatten("values"), F.lit(0.0), lambda a, x: a + x), 4).alias("value_total"))
+
+
+def q_temporal_gates_forecast(spark, sf_dir):
+    """The gates over all windows with the score from forecasting validation windows."""
+    p = _grid_windows(spark, sf_dir)
+    train, val = (p.windows.where(F.col("split") == s) for s in ("train", "validation"))
+    syn = cut_lineage(seq.window_bootstrap(train, p.windows.where(F.col("split") == "test").count(), seed=42))
+    per, _ = seq.sequence_metrics(val, syn, 2, 24)
+    forecast = seq.forecast_utility(train, val, syn, target_index=0, horizon=2, span=p.scaler.span[0], length=GRID_SPEC.sequence_length)
+    return seq.temporal_gates(per, seq.sequence_distance_privacy_all(train, val, syn), forecast)
+
+
+QUERIES.update({
+    "f7_distribution_report": q_distribution_report,
+    "f11_class_shares": _pair(lambda real, syn: fid.class_share_comparison(real, syn, "l_returnflag")),
+    "f11_histograms": _pair(fid.histogram_comparison),
+    "f11_correlation_matrices": _pair(fid.correlation_comparison),
+    "s4_csv_round_trip_orders": q_csv_round_trip,
+    "s5_run_record_lineitem": q_run_record,
+    "s5_split_ids_labeled": q_split_ids,
+    "s12_run_log_latest": lambda spark, sf_dir: sio.run_log_latest(run_events(spark, sf_dir)),
+    "s12_run_log_list": lambda spark, sf_dir: sio.run_log_list(run_events(spark, sf_dir), 50),
+    "s12_run_log_recovered": q_run_log_recovered,
+    "p16_generator_input_lineitem": _on("lineitem", prof.validate_generator_input),
+    "g6_align_output_orders": q_align_output,
+    "g11_registered_generator_orders": q_registered_generator,
+    "t5_fill_missing": q_fill_missing,
+    "t8_inverse_scale": q_inverse_scale,
+    "t10_jittered_bootstrap": q_jittered_bootstrap,
+    "t18_temporal_gates_forecast": q_temporal_gates_forecast,
+})

@@ -6,7 +6,7 @@ import datetime as _dt
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,12 +87,26 @@ def write_run_record(spark: SparkSession, path: str, run_id: str, status: str, c
         raise ValueError(f"unknown run status {status!r}")
     row = [(run_id, status, json.dumps(config, sort_keys=True, default=str), dataset_hash, failure_type,
             failure_message, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))]
-    rec = spark.createDataFrame(row, "run_id string, status string, config string, dataset_hash string, "
-                                     "failure_type string, failure_message string, at timestamp")
+    rec = spark.createDataFrame(row, RUN_RECORD_SCHEMA)
     rec.coalesce(1).write.mode("append").json(path)
     return rec
 
 
+RUN_RECORD_SCHEMA = ("run_id string, status string, config string, dataset_hash string, "
+                     "failure_type string, failure_message string, at timestamp")
+
+
+def read_run_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records below ``path``, one row each."""
+    return spark.read.schema(RUN_RECORD_SCHEMA).json(path)
+
+
+def write_split_ids(split: DataFrame, path: str, ids: Sequence[str], by: str = "split") -> str:
+    """Which part each row of a run went to, as a table partitioned by part, so that one part is read alone."""
+    split.select(*ids, by).write.partitionBy(by).parquet(path)
+    return path
+
+
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """First n rows in a stable order (a top-n: each task keeps n rows)."""
     return df.orderBy(*order_by).limit(n)
@@ -136,11 +150,13 @@ def run_log_append(spark: SparkSession, path: str, run_id: str, event: str, stat
 
 
 def run_log_latest(events: DataFrame) -> DataFrame:
-    """Latest state per run: last event by time (ties: event name), plus creation time."""
-    w = Window.partitionBy("run_id").orderBy(F.col("at").desc(), F.col("event").desc())
-    created = events.groupBy("run_id").agg(F.min("at").alias("created_at"), F.count(F.lit(1)).alias("n_events"))
-    latest = events.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    return latest.join(created, "run_id")
+    """Latest state per run: last event by time (ties: event name, status, payload), plus creation time.
+
+    One aggregate that combines before the shuffle, however many events a run has.
+    """
+    last = F.max(F.struct("at", "event", "status", "payload"))
+    runs = events.groupBy("run_id").agg(last.alias("last"), F.min("at").alias("created_at"), F.count(F.lit(1)).alias("n_events"))
+    return runs.select("run_id", "last.event", "last.status", "last.payload", "last.at", "created_at", "n_events")
 
 
 def run_log_list(events: DataFrame, limit: int = 50) -> DataFrame:
