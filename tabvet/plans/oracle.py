@@ -1158,7 +1158,7 @@ def _jitter(k: int) -> str:
     return f"least(greatest(f{k} + sqrt(-2 * ln(greatest({u1}, 1e-300))) * cos(2 * pi() * {u2}) * 0.05, -1.0), 1.0)"
 
 
-_FORECAST_VALIDATION = FORECAST.replace("split = 'test' UNION ALL", "split = 'validation' UNION ALL").replace(
+_FORECAST_VALIDATION = FORECAST.replace("wid, wid FROM ids WHERE split = 'test'", "wid, wid FROM ids WHERE split = 'validation'").replace(
     "FROM range((SELECT count(*) FROM tr_ix)))", "FROM range((SELECT count(*) FROM ids WHERE split = 'test')))")
 
 ORACLE.update({
