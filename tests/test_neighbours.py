@@ -166,3 +166,43 @@ def test_knn_discriminator_is_exact(spark):
         scores.append(round((y[d < kth].sum() + (5 - n) * y[d == kth].mean()) / 5, 9))
     want = brute_auc([s for s, r in zip(scores, test, strict=True) if r._label], [s for s, r in zip(scores, test, strict=True) if not r._label])
     assert out.status == "computed" and out.auc == pytest.approx(want, abs=2e-3)
+
+
+@pytest.mark.parametrize("kind", ["mean", "gower", "squared", "series"])
+@pytest.mark.parametrize("k", [1, 5])
+def test_block_compares_few_leaves(kind, k):
+    """A block's nearest rows are those of brute force, found without comparing every probe with every row."""
+    rng = np.random.default_rng(k)
+    d, codes = 3, 0 if kind == "series" else 1
+    x, c = points(rng, 200, d, codes, kind in ("mean", "gower"))
+    y, e = points(rng, 1000, d, codes, kind in ("mean", "gower"))
+    x, y = x + rng.normal(size=x.shape), y + rng.normal(size=y.shape)
+    space = {"mean": lambda: neighbours.MeanDifference(np.ones(d), d + codes), "gower": lambda: neighbours.Gower(np.full(d, 6.0)),
+             "squared": lambda: neighbours.SquaredMixed(d), "series": lambda: neighbours.Euclidean(d, [[0, 1], [2]])}[kind]()
+    m, s = rng.integers(1, 3, len(y)), rng.random(len(y))
+    pairs, apart = [0], space.apart
+    space.apart = lambda *a: (lambda out: (pairs.__setitem__(0, pairs[0] + out.size), out)[1])(apart(*a))
+    order = neighbours._by_leaves(space.index(y), e, space.weights)
+    assert sorted(order) == list(range(len(y)))
+    p, dist, n, t = neighbours.Block(space, y[order], e[order], m[order], s[order]).nearest(x, c, np.full(len(x), np.inf), k)
+    assert pairs[0] < len(x) * len(y) * 0.7
+    for i, want in enumerate(brute(space, x, c, y, e, m, s, k, math.inf)):
+        assert [(a, b, z) for a, b, z in zip(dist[p == i], n[p == i], t[p == i], strict=True)] == [(pytest.approx(a), b, pytest.approx(z)) for a, b, z in want]
+
+
+@pytest.mark.parametrize("kind", ["mean", "gower", "squared", "series"])
+def test_cells_out_of_reach_of_a_pack(kind):
+    """No point of a pack has a lower bound below that of the pack."""
+    rng = np.random.default_rng(2)
+    d, codes = 4, 0 if kind == "series" else 2
+    space = {"mean": lambda: neighbours.MeanDifference(np.ones(d), d + codes), "gower": lambda: neighbours.Gower(np.full(d, 6.0)),
+             "squared": lambda: neighbours.SquaredMixed(d), "series": lambda: neighbours.Euclidean(d, [[0, 1], [2, 3]])}[kind]()
+    y, e = points(rng, 640, d, codes, kind in ("mean", "gower"))
+    at = space.index(y)
+    order = neighbours._by_leaves(at, e, space.weights)
+    boxes = neighbours._leaf_boxes(at[order].reshape(20, 32, -1), e[order].reshape(20, 32, -1))
+    for missing in (False, kind in ("mean", "gower")):
+        x, c = points(rng, 6, d, codes, missing)
+        x, c = x + 2, c + 1
+        pack, each = neighbours._from_all(space, x, c, boxes), space.bounds(x, c, boxes)
+        assert (pack <= each.min(axis=0) + 1e-9).all() and pack.max() > 0
