@@ -24,9 +24,13 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +38,10 @@ from tabvet.llm.common import in_shared_folder, shuffle_partitions, slice_bounds
 
 MAGIC = b"TIDS1\0\0\0"
 BLOCK_IDS = 1_000_000
-#: Distinct words a task keeps the ids of; it starts anew beyond.
+#: Distinct pieces of words an encoder keeps the ids of; it starts anew beyond.
 CACHE_WORDS = 200_000
+#: Characters of texts that are split into words at once; a longer text is split alone.
+CHUNK_CHARS = 1 << 21
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -91,8 +97,12 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _UNUSUAL = re.compile("[ªºİ\u0250-\U0010ffff]")
 # ASCII punctuation but the apostrophe, which the tokenizer's pattern joins to what follows.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-# A word of lower-case letters and closing punctuation: neither the normaliser nor the splitter changes it.
-_PLAIN = re.compile(f"([{''.join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower() and not _UNUSUAL.match(c))}]+)([{re.escape(_PUNCTUATION)}]*)").fullmatch
+# Lower-case letters and punctuation: neither the normaliser nor the splitter changes a run of them.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower() and not _UNUSUAL.match(c))
+_RUN = re.compile(f"[{_LETTERS}]+|[{re.escape(_PUNCTUATION)}]+").fullmatch
+# White space for str.split and Arrow, not for the tokenizer.
+_NO_SPACE = re.compile("[\x1c-\x1f]").search
+_ID = attrgetter("id")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -116,24 +126,31 @@ def _check(spec: dict) -> None:
 
 
 class _Numbers(dict):
-    """Numbers of words in order of appearance; new ones stand in ``waiting`` until they are encoded."""
+    """Numbers of pieces in order of appearance; new ones stand in ``waiting`` until they are encoded."""
 
     def __init__(self) -> None:
         self.waiting: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.waiting.append(word)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.waiting.append(piece)
         return n
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``flat[s:s + n]`` for every start and length, joined."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - (ends - length), length) + np.arange(ends[-1])] if len(ends) else flat[:0]
+
+
 class WordEncoder:
     """Ids of whole texts for a lower-casing tokenizer that splits at white space and drops it (ValueError for any other).
 
     Such a tokenizer encodes a text as its words one after another, so each
-    distinct word is given to the library once. A word of plain letters, or
-    letters and closing punctuation, goes straight to the library's model (the
-    normaliser and the splitter leave such a word as it is, but for the case);
+    distinct word of about ``CHUNK_CHARS`` of texts is looked up once, and each distinct
+    piece is given to the library once. A word of plain letters and closing
+    punctuation is two pieces that go straight to the library's model (the
+    normaliser and the splitter leave them as they are, but for the case);
     any other goes through the library's full ``encode``.
     """
 
@@ -148,55 +165,89 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers, self.parts = _Numbers(), {}
+        self.numbers = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.offset, self.length, self.known = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64), 0
+        self.none = self.numbers[""]
 
     def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has."""
+        ids, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
+                chars += len(texts[to])
+                to += 1
+            for all_parts, part in zip((ids, counts), self._chunk(texts[at:to]), strict=True):
+                all_parts.append(part)
+            at = to
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > self.cache_words:
             self.clear()
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split, not for the tokenizer
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        apart = [i for i, t in enumerate(texts) if _NO_SPACE(t)]
         # Lower-casing early is the same only where it goes letter by letter.
-        simple = text.isascii() or not _UNUSUAL.search(text)
-        numbers = np.fromiter(map(self.numbers.__getitem__, (text.lower() if simple else text).split()), np.int64)
+        low = [t.lower() if t.isascii() or not _UNUSUAL.search(t) else t for t in texts]
+        for i in apart:
+            low[i] = ""
+        split = pc.utf8_split_whitespace(pa.array(low, pa.string()))
+        words = split.flatten().dictionary_encode()
+        pieces = self._pieces(words.dictionary)
         if self.numbers.waiting:
             self._learn()
-        length = self.length[numbers]
-        ends = np.cumsum(length)
-        if not len(numbers):
-            return np.zeros(0, np.uint32)
-        return self.flat[np.repeat(self.offset[numbers] - (ends - length), length) + np.arange(ends[-1])]
+        length = self.length[pieces]
+        flat = _gather(self.flat, self.offset[pieces].ravel(), length.ravel())
+        length = length.sum(axis=1)
+        at = words.indices.to_numpy()
+        start, length = (np.cumsum(length) - length)[at], length[at]
+        ids = _gather(flat, start, length)
+        ends = np.concatenate([[0], np.cumsum(length)])[split.offsets.to_numpy()]
+        if not apart:
+            return ids, np.diff(ends)
+        each = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i in apart:
+            each[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _pieces(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers of the two pieces of each word; of one that is not plain, of the word and of the empty piece."""
+        stem = pc.utf8_rtrim(words, characters=_PUNCTUATION)
+        plain = pc.match_substring_regex(stem, f"\\A[{_LETTERS}]+\\z")
+        out = np.full((len(words), 2), self.none)
+        out[:, 0] = np.fromiter(map(self.numbers.__getitem__, pc.if_else(plain, stem, words).to_numpy(zero_copy_only=False)), np.int64, len(words))
+        closing = pc.subtract(pc.binary_length(words), pc.binary_length(stem)).to_numpy()
+        closed = np.flatnonzero(plain.to_numpy(zero_copy_only=False) & (closing > 0))
+        tails = (w[-n:] for w, n in zip(words.take(pa.array(closed)).to_numpy(zero_copy_only=False), closing[closed].tolist(), strict=True))
+        out[closed, 1] = np.fromiter(map(self.numbers.__getitem__, tails), np.int64, len(closed))
+        return out
 
     def _learn(self) -> None:
-        ids, parts, tokenize = [], self.parts, self.model.tokenize
-        if len(parts) > self.cache_words // 2:
-            parts.clear()
-        for word in self.numbers.waiting:
-            plain = _PLAIN(word)
-            if plain is None:
-                ids.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
-                continue
-            stem, tail = plain.groups()
-            got = parts.get(stem)
-            if got is None:
-                got = parts[stem] = [t.id for t in tokenize(stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.alphabet))]
-            if tail:
-                closing = parts.get(tail)
-                if closing is None:
-                    closing = parts[tail] = [t.id for t in tokenize(tail)]
-                got = got + closing
-            ids.append(got)
+        ids, tokenize = [], self.model.tokenize
+        for piece in self.numbers.waiting:
+            if not _RUN(piece):
+                ids.append(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            else:
+                ids.append(list(map(_ID, tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)))))
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, words = int(n.sum()), self.known + len(ids)
+        total, pieces = int(n.sum()), self.known + len(ids)
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-        if words > len(self.offset):
+        if pieces > len(self.offset):
             grow = np.zeros(max(len(self.offset), len(ids)), np.int64)
             self.offset, self.length = np.concatenate([self.offset, grow]), np.concatenate([self.length, grow])
-        self.flat[self.used:self.used + total] = [i for x in ids for i in x]
-        self.offset[self.known:words], self.length[self.known:words] = self.used + np.cumsum(n) - n, n
-        self.used, self.known, self.numbers.waiting = self.used + total, words, []
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.offset[self.known:pieces], self.length[self.known:pieces] = self.used + np.cumsum(n) - n, n
+        self.used, self.known, self.numbers.waiting = self.used + total, pieces, []
+
+
+@lru_cache(maxsize=1)
+def kept_encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, which find the tokenizer and the pieces of the tasks before."""
+    return WordEncoder(path, cache_words)
 
 
 def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS,
@@ -213,7 +264,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids
              .sortWithinPartitions("slice", "doc_id", "text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, end = encoder(tokenizer_path).encode, np.array([end_id], np.uint32)
+        words, end = encoder(tokenizer_path), np.array([end_id], np.uint32)
         parts, counts, keys, held, block, at = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -225,12 +276,12 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids
 
         for b in batches:
             at = b.column(2)[0].as_py() if b.num_rows else at
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = to_ids(text)
-                parts += [ids, end]
-                counts.append(len(ids) + 1)
+            ids, lengths = words.encode_all(b.column(1).to_pylist())
+            for key, n, to in zip(b.column(0).to_pylist(), lengths.tolist(), np.cumsum(lengths).tolist(), strict=True):
+                parts += [ids[to - n:to], end]
+                counts.append(n + 1)
                 keys.append(key)
-                held += len(ids) + 1
+                held += n + 1
                 if held >= block_ids:
                     yield flush()
                     parts, counts, keys, held, block = [], [], [], 0, block + 1

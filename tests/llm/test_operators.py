@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -307,6 +308,28 @@ def test_word_encoder_equals_the_library():
         assert mine.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_encoder_gives_a_piece_to_the_library_once(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, mine = Tokenizer.from_file(path), token_ids.kept_encoder(path, 50)
+    texts = ["Lone, lone lone... ", "", "x\x1fy lone", "Été été! ΣΟΦΟΣ été's", "\u3000 \x85a\xa0b ", "!? lone!?"]
+    asked, full = [], []
+    model, tokenizer = mine.model, mine.tokenizer
+    mine.model, mine.tokenizer = (SimpleNamespace(tokenize=lambda p: asked.append(p) or model.tokenize(p)),
+                                  SimpleNamespace(encode=lambda t, **k: full.append(t) or tokenizer.encode(t, **k)))
+    for _ in range(2):  # a second task of the worker
+        assert token_ids.kept_encoder(path, 50) is mine
+        ids, counts = mine.encode_all(texts)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(asked) == len(set(asked)) and asked.count("lone") == 1
+    assert [t for t in full if t != texts[2]] == list(dict.fromkeys(t for t in full if t != texts[2]))
+    monkeypatch.setattr(token_ids, "CHUNK_CHARS", 4)
+    assert [x.tolist() for x in mine.encode_all(texts)] == [ids.tolist(), counts.tolist()]
+    assert [x.tolist() for x in mine.encode_all([])] == [[], []]
+    token_ids.kept_encoder.cache_clear()
+
+
 def test_block_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 3, 4, 5, 1000):
