@@ -63,10 +63,16 @@ def sainte_lague(weight: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, place (by code point, null last), target. ``sizes``: source, source_size."""
-    ordered = sizes.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+    # Ids that rise through the sorted partitions: the partition above 33 bits, the row in it below. No Python worker is started for them.
+    ordered = in_shared_folder(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), "ordered-sources")
+    ordered = ordered.withColumn("part", F.shiftright("id", 33)).withColumn("row", F.col("id").bitwiseAND((1 << 33) - 1))
+    before, first = 0, {}
+    for r in ordered.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        first[r.part], before = before, before + r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for kv in first.items() for x in kv]), F.col("part")) if first else F.lit(0)
+    ordered = ordered.select("source", "source_size", (offset + F.col("row")).cast("bigint").alias("place"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
-    sources = in_shared_folder(sizes.sparkSession.createDataFrame(ordered, "source string, source_size bigint, place bigint")
-                               .withColumn("weight", weight), "sources")
+    sources = in_shared_folder(ordered.withColumn("weight", weight), "sources")
     top, capped, share = F.lit(float(most)) * F.col("source_size"), -1, 0.0
     while True:
         above = (F.col("weight") * share > top) if capped >= 0 else F.lit(False)
@@ -178,12 +184,13 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
             for i in further:
                 words = texts[i].encode().split()  # bytes split at the same six characters
                 rest.append(b" ".join(w for r in ranges[i] for w in words[r["from"]:r["to"]]).decode())
+            own_columns = b.select(range(len(columns)))
             whole = np.repeat(np.arange(b.num_rows), passes)
-            out = b.select(range(len(columns))).take(pa.array(np.concatenate([whole, np.array(further, np.int64)]).astype(np.int64)))
-            text = pa.concat_arrays([out.column(at).slice(0, len(whole)), pa.array(rest, out.schema.field(at).type)])
-            out = out.set_column(at, out.schema.field(at), text)
-            for low in range(0, out.num_rows, 2000):  # copies would make a batch three times as large
-                yield out.slice(low, 2000)
+            for low in range(0, len(whole), 2000):  # copies would make a batch three times as large
+                yield own_columns.take(pa.array(whole[low:low + 2000], pa.int64()))
+            if further:
+                out = own_columns.take(pa.array(further, pa.int64()))
+                yield out.set_column(at, out.schema.field(at), pa.array(rest, out.schema.field(at).type))
 
     out = plan.where("mix_taken > 0").select(*columns, "mix_passes", "mix_ranges").mapInArrow(tidy(expand), own.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

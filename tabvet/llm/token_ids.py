@@ -41,7 +41,7 @@ BLOCK_IDS = 1_000_000
 #: Distinct pieces of words an encoder keeps the ids of; it starts anew beyond.
 CACHE_WORDS = 200_000
 #: Characters of texts that are split into words at once; a longer text is split alone.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -147,20 +147,20 @@ class WordEncoder:
     """Ids of whole texts for a lower-casing tokenizer that splits at white space and drops it (ValueError for any other).
 
     Such a tokenizer encodes a text as its words one after another, so each
-    distinct word of about ``CHUNK_CHARS`` of texts is looked up once, and each distinct
+    distinct word of about ``chunk_chars`` of texts is looked up once, and each distinct
     piece is given to the library once. A word of plain letters and closing
     punctuation is two pieces that go straight to the library's model (the
     normaliser and the splitter leave them as they are, but for the case);
     any other goes through the library's full ``encode``.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, chunk_chars: int = CHUNK_CHARS):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             _check(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.cache_words = self.tokenizer.model, cache_words
+        self.model, self.cache_words, self.chunk_chars = self.tokenizer.model, cache_words, chunk_chars
         self.alphabet = _byte_alphabet()
         self.clear()
 
@@ -178,7 +178,7 @@ class WordEncoder:
         ids, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         while at < len(texts):
             to, chars = at, 0
-            while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
+            while to < len(texts) and (to == at or chars + len(texts[to]) <= self.chunk_chars):
                 chars += len(texts[to])
                 to += 1
             for all_parts, part in zip((ids, counts), self._chunk(texts[at:to]), strict=True):
@@ -245,9 +245,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def kept_encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+def kept_encoder(path: str, cache_words: int = CACHE_WORDS, chunk_chars: int = CHUNK_CHARS) -> WordEncoder:
     """One encoder for all tasks of a Python worker, which find the tokenizer and the pieces of the tasks before."""
-    return WordEncoder(path, cache_words)
+    return WordEncoder(path, cache_words, chunk_chars)
 
 
 def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS,

@@ -247,6 +247,27 @@ def test_mixing_reaches_targets_of_small_sources(spark):
     assert +words == +Counter({(r.source, r.doc_id): r.mix_taken for r in plan})
 
 
+def test_sources_are_placed_without_python_workers(spark, monkeypatch):
+    names = [None, "", "é", "Z", "a", "aa", *[f"s{i:02}" for i in range(40)]]
+    sizes = spark.createDataFrame([(n, i) for i, n in enumerate(reversed(names))], "source string, source_size bigint").repartition(5)
+    def refuse(frame):
+        raise AssertionError("rows of a DataFrame go through Python workers")
+
+    monkeypatch.setattr(type(sizes), "rdd", property(refuse))
+    merged, parts = "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (merged, parts)}
+    try:
+        spark.conf.set(merged, "false")
+        spark.conf.set(parts, "7")
+        got = {r.source: (r.place, r.source_size, r.weight) for r in mixing.source_targets(sizes).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = sorted(names, key=lambda s: (s is None, (s or "").encode()))
+    assert got == {s: (i, len(names) - 1 - names.index(s), (1.0, 2.0, 3.0)[i % 3]) for i, s in enumerate(order)}
+    assert mixing.source_targets(sizes.limit(0)).count() == 0
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     names = ["doc_id", "mix_size", "mix_place", "text", "mix_source", "source", "place", "mix_taken", "extra_1", "words", "n_chars"]
     docs = spark.createDataFrame([(1, "x", "y", "a b c", "z", "s", 4, 5, "e", "w", 5), (2, None, None, None, None, None, None, None, None, None, None)],
@@ -308,7 +329,7 @@ def test_word_encoder_equals_the_library():
         assert mine.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
-def test_word_encoder_gives_a_piece_to_the_library_once(monkeypatch):
+def test_word_encoder_gives_a_piece_to_the_library_once():
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
     whole, mine = Tokenizer.from_file(path), token_ids.kept_encoder(path, 50)
@@ -324,7 +345,7 @@ def test_word_encoder_gives_a_piece_to_the_library_once(monkeypatch):
         assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
     assert len(asked) == len(set(asked)) and asked.count("lone") == 1
     assert [t for t in full if t != texts[2]] == list(dict.fromkeys(t for t in full if t != texts[2]))
-    monkeypatch.setattr(token_ids, "CHUNK_CHARS", 4)
+    mine.chunk_chars = 4
     assert [x.tolist() for x in mine.encode_all(texts)] == [ids.tolist(), counts.tolist()]
     assert [x.tolist() for x in mine.encode_all([])] == [[], []]
     token_ids.kept_encoder.cache_clear()
