@@ -98,3 +98,46 @@ def test_mmd_over_all_rows_knows_rare_levels(spark, monkeypatch):
     assert models.mmd(real, syn, cap=None, n_features=16, kinds=([], ["k"])).first()["status"] == "computed"
     labels = [s for s in fitted[0].model.stages if hasattr(s, "labels")][0].labels
     assert sorted(labels) == sorted(["a", *(f"rare{i}" for i in range(12))])
+
+
+def test_discriminators_are_fitted_on_every_row(spark, monkeypatch):
+    """A level of few rows that a sample of 500 rows a table would hardly hold is told apart, and every training row counts."""
+    fitted = {}
+
+    def noted(kind):
+        est = getattr(models, kind)
+        fit = est.fit
+
+        def run(self, df, *a):
+            fitted[kind] = df.agg(F.sum("w") if "w" in df.columns else F.count(F.lit(1))).first()[0]
+            return fit(self, df, *a)
+
+        monkeypatch.setattr(est, "fit", run)
+
+    for kind in ("LogisticRegression", "RandomForestClassifier", "GBTClassifier"):
+        noted(kind)
+    boosting = models.GBTClassifier
+    monkeypatch.setattr(models, "GBTClassifier", lambda **kw: boosting(**(kw | {"maxIter": 2})))
+    monkeypatch.setattr(models, "DISCRIMINATOR_TREES", 3)
+    rows = spark.range(3000)
+    x = (F.col("id") * 37 % 1009).cast("double").alias("x")
+    real = rows.select(x, F.when(F.col("id") % 50 < 49, "a").otherwise(F.concat(F.lit("r"), (F.col("id") % 7).cast("string"))).alias("k"))
+    syn = rows.select(x, F.lit("a").alias("k"))
+    out = {r.model: r for r in models.discriminator_ensemble(real, syn, kinds=(["x"], ["k"])).collect()}
+    assert fitted == dict.fromkeys(fitted, 3000) and len(fitted) == 3
+    assert {r.status for r in out.values()} == {"computed"}
+
+
+def test_tree_bins_come_from_all_rows(spark):
+    """Each value of few is a bin; of many, the bins hold about equally many rows."""
+    df = spark.range(6400).select((F.col("id") % 20).cast("double").alias("x0"), F.col("id").cast("double").alias("x1"), F.lit(1.0).alias("x2"))
+    few, many, one = models._tree_edges(df)
+    assert few == [float(i) for i in range(1, 20)] and one == []
+    assert len(many) == 31 and np.allclose(many, np.arange(200, 6400, 200), atol=15)
+
+
+def test_forests_draw_single_rows_or_small_portions(spark, monkeypatch):
+    cells = spark.createDataFrame([(0.0, [1.0], 5.0), (1.0, [0.0], 300.0)], "_label double, features array<double>, w double")
+    assert sorted((r._label, r.w) for r in models._portions(cells).collect()) == [(0.0, 1.0)] * 5 + [(1.0, 1.0)] * 300
+    monkeypatch.setattr(models, "FOREST_DRAWS", 61)
+    assert sorted((r._label, r.w) for r in models._portions(cells).collect()) == [(0.0, 5.0)] + [(1.0, 5.0)] * 60
