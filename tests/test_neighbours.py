@@ -206,3 +206,46 @@ def test_cells_out_of_reach_of_a_pack(kind):
         x, c = x + 2, c + 1
         pack, each = neighbours._from_all(space, x, c, boxes), space.bounds(x, c, boxes)
         assert (pack <= each.min(axis=0) + 1e-9).all() and pack.max() > 0
+
+
+def grid_points(spark, n, step):
+    """n different points with one code of three."""
+    i = F.col("id")
+    x = F.array((i * 37 % 1009).cast("double") / 100, (i * step % 4001).cast("double") / 400, i.cast("double") / n)
+    return spark.range(n).select(x.alias("x"), F.array((i % 3).cast("bigint")).alias("c"), F.lit(1).cast("bigint").alias("m"), F.lit(0.0).alias("s"))
+
+
+def test_search_writes_little_and_collects_no_rows(spark, monkeypatch):
+    """The driver gets samples and boxes as columns; a point takes few bytes in the shared folder."""
+    import os
+    from urllib.parse import urlparse
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tabvet.session import checkpoint_dir
+
+    collected, collect = [0], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (lambda rows: (collected.__setitem__(0, max(collected[0], len(rows))), rows)[1])(collect(self)))
+    root = urlparse(checkpoint_dir(spark)).path
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(root) for f in files)
+    before, n = size(), 20_000
+    search = neighbours.Search(grid_points(spark, n, 53), neighbours.Gower(np.array([10.0, 10.0, 1.0])), 3, 1, cell_rows=200)
+    found = search.nearest(grid_points(spark, n, 59), within=0.05, one_is_enough=True)
+    assert found.count() == n
+    assert size() - before < 100 * n and collected[0] < 50
+
+
+def test_block_lists_few_rows(monkeypatch):
+    """The five nearest rows of a block are found without sorting the whole nearest leaf of each probe."""
+    rng = np.random.default_rng(4)
+    y, x = rng.normal(size=(2048, 3)), rng.normal(size=(500, 3))
+    e, c = np.zeros((2048, 1), np.int64), np.zeros((500, 1), np.int64)
+    space = neighbours.SquaredMixed(3)
+    order = neighbours._by_leaves(y, e, space.weights)
+    listed, lists = [0], neighbours._listed
+    monkeypatch.setattr(neighbours, "_listed", lambda p, *a: (listed.__setitem__(0, listed[0] + len(p)), lists(p, *a))[1])
+    block = neighbours.Block(space, y[order], e[order], np.ones(2048, np.int64), np.zeros(2048))
+    p, d, _, _ = block.nearest(x, c, np.full(500, np.inf), 5)
+    want = np.sort(((x[:, None] - y[None]) ** 2).sum(axis=2), axis=1)[:, :5]
+    np.testing.assert_allclose(d.reshape(500, 5), want)
+    assert listed[0] < 12 * 500
