@@ -159,3 +159,18 @@ def test_sequence_experiment(spark):
     assert out["forecast"].where(F.col("training") == "synthetic_only").first().mae is not None
     with pytest.raises(seq.SequenceError):
         jobs.run_experiment_sequences(df, spec, candidates=("unknown",))
+
+
+def test_whole_validation_summary_frees_files_between_its_parts(spark, monkeypatch):
+    """Over all rows the parts run one after the other, and each begins with the files of the last one given up."""
+    from tabvet.operators import validation
+
+    events = []
+    monkeypatch.setattr(validation, "free_shuffles", lambda s: events.append("free"))
+    for module, name in ((validation.fid, "correlation_score"), (validation.fid, "diversity_score"), (validation.priv, "privacy_score")):
+        part = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, part=part, name=name, **kw: (events.append(name), part(*a, **kw))[1])
+    real = spark.range(60).select((F.col("id") * 7 % 31).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("k"))
+    got = {r.metric: r.value for r in validation.validation_summary(real, real, whole_privacy=True).collect()}
+    assert events == ["free", "free", "correlation_score", "free", "diversity_score", "free", "privacy_score", "free"]
+    assert got["fidelity_score"] == 1.0 and got["privacy_score"] == 0.0
